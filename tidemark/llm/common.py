@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,36 @@ def forget(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+_MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_CACHE = 200_000
+
+
+class WordHash:
+    """64-bit hashes of words; remembers a bounded number of them."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        seen = self.seen
+        if len(seen) > _CACHE:
+            seen.clear()
+        for w in set(words):
+            if w not in seen:
+                seen[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX2
+    x = (x ^ (x >> np.uint64(29))) * _MIX1
+    return x ^ (x >> np.uint64(32))
+
+
+def rolling(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n consecutive words from the words' hashes (a polynomial modulo 2**64, then mixed)."""
+    out = np.zeros(len(h) - n + 1, np.uint64)
+    for k in range(n):
+        out = out * _MIX1 + h[k : k + len(out)]
+    return mixed(out)

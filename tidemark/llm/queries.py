@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, urls
+from . import fingerprints, html, jaccard, mixing, packing, quality, rules, substrings, urls, warc
 from .common import table
 
 URL_RULES = [
@@ -27,18 +28,54 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of the pages' records in which some, chosen by the MD5 of their ids, are altered, cut or missing."""
+    pages = table(spark, sf_dir, "pages")
+    kind = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 2)
+    half = F.floor(F.length("html") / 2).cast("int")
+    altered = F.concat(F.substring("html", 1, half), F.lit("~"), F.expr("substring(html, int(floor(length(html) / 2)) + 2)"))
+    body = F.when(kind.isin("00", "01", "02"), altered).when(kind == "03", F.substring("html", 1, half)).otherwise(F.col("html"))
+    held = warc.manifest(pages)
+    digests = pages.select("page_id", F.sha2(F.encode(warc.record_text(F.col("page_id"), F.col("url"), F.coalesce(body, F.lit(""))), "utf-8"), 256).alias("d"), kind.alias("kind"))
+    replica = held.select("file", "place", "page_id").join(digests.where("kind != '04'").hint("merge"), "page_id").select("file", "place", F.col("d").alias("digest"))
+    return warc.audit(held, replica)
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_url_filters, op4_best_fit_packing, op8_source_mixing)
+    for f in (
+        op1_quality_classifier, op2_url_filters, op3_substring_dedup, op4_best_fit_packing, op5_document_fingerprints, op6_html_extraction,
+        op7_quality_rules, op8_source_mixing, op9_warc_fixity, op10_ngram_jaccard_join,
+    )
 }
 
 ORACLES: dict[str, str] = {}
