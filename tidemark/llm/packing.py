@@ -13,6 +13,7 @@ out. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -27,15 +28,23 @@ from pyspark.sql import functions as F
 from .common import keep
 
 LIMIT, END_ID = 4096, 1
-_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
-_CACHE = 150_000
+_RUNS_KEPT = 700_000
+# Characters for which the tokenizer's split is plain: runs of these letters, single digits, runs of these marks (no apostrophe).
+_LETTERS, _MARKS, _BLANK = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~", r"\x20\x09-\x0d"
+_ODD = re.compile(rf"[^{_LETTERS}{_MARKS}{_BLANK}0-9]")
+_RUNS = re.compile(rf"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
+#: The same, but a word that has any other character is one run.
+_RUNS_OR_WORDS = re.compile(rf"(?<![^{_BLANK}])[^{_BLANK}]*[^{_LETTERS}{_MARKS}{_BLANK}0-9][^{_BLANK}]*|{_RUNS.pattern}")
 
 
 class Encoder:
     """Ids of whole texts as little-endian bytes.
 
-    The tokenizer's rules never join anything over a blank, so words are encoded
-    once each and remembered (a bounded number of them); tests compare with whole texts.
+    The tokenizer's rules never join anything over a blank and split plain text
+    into runs of letters or marks; each run is encoded once and remembered (a
+    bounded number of them). New runs are encoded many at a time and cut after
+    the ids that end a run. Texts with special tokens go to the tokenizer whole.
+    Tests compare with the tokenizer's ids of whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,22 +52,49 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {"": b""}
+        self.runs: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        probe = "Ab.c1!? 22 d"
+        self.plain = b"".join(self._ids(_RUNS.findall(probe.lower()))) == self._ids([probe])[0]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [r for r in new if not _ODD.search(r)]
+        for k in range(0, len(plain), 1000):
+            part = plain[k : k + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            self.runs.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(part) else self._ids(part)))
+        other = [r for r in new if _ODD.search(r)]
+        self.runs.update(zip(other, self._ids(other)))
+
+    def _split(self, text: str) -> list[str]:
+        return _RUNS_OR_WORDS.findall(text) if _ODD.search(text) else _RUNS.findall(text.lower())
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            words = _SPLIT.split(text or "")
-            seen = self.seen
-            new = [w for w in set(words) if w not in seen]
+        whole = [not self.plain or "<|" in (t or "") for t in texts]
+        for k in range(0, len(texts), 64):
+            part = [t or "" for t in texts[k : k + 64]]
+            split = [[] if w else self._split(t) for t, w in zip(part, whole[k:])]
+            distinct = set().union(*split)
+            new = distinct.difference(self.runs)
+            if len(self.runs) + len(new) > _RUNS_KEPT:
+                self.runs, new = {}, distinct
             if new:
-                if len(seen) > _CACHE:
-                    seen.clear()
-                    new = list(set(words))
-                for k in range(0, len(new), 4096):
-                    part = new[k : k + 4096]
-                    for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                        seen[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(seen.__getitem__, words))
+                self._learn(list(new))
+            for text, runs, w in zip(part, split, whole[k:]):
+                yield self._ids([text])[0] if w else b"".join(map(self.runs.__getitem__, runs))
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker process keeps its encoder, and what that remembers, from task to task."""
+    return Encoder(path)
 
 
 def vocabulary_path(name: str) -> str:
@@ -75,10 +111,10 @@ def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, uid = Encoder(vocabulary_path(tokenizer)), TaskContext.get().partitionId() << 40
+        encode, uid = encoder(vocabulary_path(tokenizer)), TaskContext.get().partitionId() << 40
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b.doc_id, encode(b.text)):
+            for doc_id, ids in zip(b.doc_id, encode(b.text.tolist())):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]
