@@ -1,10 +1,8 @@
-"""Registered queries and their SQL: one entry per operator."""
+"""All registered queries of the core: importing the binding modules fills the registry."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .bindings import aggregates, documents, folds, intervals, joins, pipelines, scalars, sequences  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
