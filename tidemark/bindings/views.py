@@ -33,3 +33,31 @@ EV = f"""ev AS (SELECT event_id AS seq, user_id % 20 AS title_id, user_id, event
   CASE WHEN event_type = 'purchase' THEN {SCORE} ELSE least(2, {SCORE}) END AS rank FROM events)"""
 WITH = f"WITH {EV}"
 LEVEL = "CASE {} WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'unknown' END"
+
+
+def media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence with the sources and kinds of a title: pictures, on-screen text, chapters, seeks, captions."""
+    e = evidence(spark, sf_dir)
+    s, k = F.col("source"), F.col("k")
+    source = F.when(s == "click", "video").when(s == "error", "ocr").when(s == "purchase", "metadata").when(s == "signup", "playback").otherwise("subtitle")
+    kind = (
+        F.when(s == "click", F.when(k % 3 == 0, "scene-change").when(k % 3 == 1, "setting").otherwise("action"))
+        .when(s == "purchase", F.when(k % 5 == 0, "chapter").otherwise("title")).when(s == "signup", F.when(k % 2 == 0, "seek").otherwise("play"))
+    )
+    return e.select("title_id", "seq", "user_id", source.alias("source"), kind.alias("kind"), "start_ms", "end_ms", (F.col("value") / 100).alias("cut"), F.lit(False).alias("significant"), F.lit(0).alias("duration_ms"), "k", "value", "confidence")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8 x 8 luma grids, a title for each label, a frame every 500 ms."""
+    luma = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("int"))
+    t = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("title_id"), F.col("vec_id").alias("seq"), (F.col("vec_id") * 500).alias("at_ms"), luma.alias("luma"))
+    at = F.transform("luma", lambda v: F.least(F.lit(31), F.floor(v / 8)))
+    hist = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.size(F.filter("at", lambda x: x == b)) / 64)
+    mean = F.aggregate("luma", F.lit(0.0), lambda s, x: s + x) / (64 * 255)
+    return t.withColumn("at", at).select("title_id", "seq", "at_ms", "luma", hist.alias("histogram"), mean.alias("mean"))
+
+
+MEDIA = f"""{EV}, media AS (SELECT title_id, seq, user_id, k, value, rank, start_ms, end_ms, value / 100 AS cut,
+  CASE source WHEN 'click' THEN 'video' WHEN 'error' THEN 'ocr' WHEN 'purchase' THEN 'metadata' WHEN 'signup' THEN 'playback' ELSE 'subtitle' END AS source,
+  CASE WHEN source = 'click' THEN CASE k % 3 WHEN 0 THEN 'scene-change' WHEN 1 THEN 'setting' ELSE 'action' END WHEN source = 'purchase' THEN CASE WHEN k % 5 = 0 THEN 'chapter' ELSE 'title' END
+  WHEN source = 'signup' THEN CASE WHEN k % 2 = 0 THEN 'seek' ELSE 'play' END END AS kind FROM ev)"""
