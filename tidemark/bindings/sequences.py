@@ -134,7 +134,7 @@ _FRAMES = """fr0 AS (SELECT CAST(label AS BIGINT) AS title_id, vec_id AS seq, ve
 fr AS (SELECT title_id, seq, at_ms, i, CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS INT) AS luma FROM fr0),
 od AS (SELECT title_id, seq, at_ms, lag(seq) OVER (PARTITION BY title_id ORDER BY at_ms, seq) AS prev FROM (SELECT DISTINCT title_id, seq, at_ms FROM fr)),
 df AS (SELECT o.title_id, o.seq, o.at_ms, o.prev, a.i, a.luma, b.luma AS was, abs(a.luma - b.luma) AS d FROM od o JOIN fr a ON a.seq = o.seq JOIN fr b ON b.seq = o.prev AND b.i = a.i),
-hs AS (SELECT seq, least(31, luma // 8) AS bin, count(*) / 64.0 AS share FROM fr GROUP BY 1, 2), hd AS (SELECT o.seq, 1 - coalesce(sum(least(a.share, b.share)), 0) AS hist FROM od o LEFT JOIN hs a ON a.seq = o.seq LEFT JOIN hs b ON b.seq = o.prev AND b.bin = a.bin WHERE o.prev IS NOT NULL GROUP BY o.seq),
+hs AS (SELECT seq, least(31, luma // 8) AS bin, count(*) / 64.0 AS share FROM fr GROUP BY 1, 2), hd AS (SELECT o.seq, 1 - coalesce(sum(least(a.share, coalesce(b.share, 0))), 0) AS hist FROM od o LEFT JOIN hs a ON a.seq = o.seq LEFT JOIN hs b ON b.seq = o.prev AND b.bin = a.bin WHERE o.prev IS NOT NULL GROUP BY o.seq),
 mn AS (SELECT seq, sum(luma) / (64 * 255.0) AS mean FROM fr GROUP BY seq), fd AS (SELECT title_id, seq, at_ms, prev, sum(d) / (64 * 255.0) AS frame_difference FROM df GROUP BY 1, 2, 3, 4),
 bl AS (SELECT seq, ((i - 1) // 8) // 4 * 2 + ((i - 1) % 8) // 4 AS b, sum(d) / (16 * 255.0) AS m FROM df GROUP BY 1, 2), bm AS (SELECT seq, avg(m) AS mean, max(m) AS top FROM bl GROUP BY seq),
 mt AS (SELECT fd.title_id, fd.seq, fd.at_ms, frame_difference, CASE WHEN bm.mean <= 0.001 THEN 0.0 ELSE least(1.0, bm.mean * 4 * (0.4 + 0.6 * least(1.0, (top - bm.mean) / greatest(bm.mean, 0.02)))) END AS motion,
