@@ -1 +1,152 @@
-"""To come."""
+"""Composed plans over the tables: fusion, search, requests, characters, builds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..plans import build, characters, fusion, requests, search
+from ..registry import query
+from .documents import _BEATS, beats
+from .joins import BUCKET, _moments, cues
+from .views import EV, WITH, evidence, media, table
+
+C = F.col
+HOUR = 3_600_000
+
+
+@query()
+def p2_fuse_dialogue(spark, sf_dir):
+    return fusion.fuse_dialogue(*cues(spark, sf_dir), BUCKET, HOUR)[0].select("title_id", "beat_id", "start_ms", "end_ms", "text", F.array_join("sources", ",").alias("sources"), "confidence")
+
+
+@query(f"""{WITH}, t AS (SELECT *, CASE WHEN k % 4 = 0 THEN '[noise]' ELSE 'words' END AS text FROM ev), c AS (SELECT title_id, start_ms FROM t WHERE source = 'view' AND text = '[noise]')
+SELECT title_id, seq, 'sound' AS type, start_ms FROM t WHERE source = 'view' AND text = '[noise]' UNION ALL
+SELECT title_id, seq, 'sound', start_ms FROM t WHERE source = 'error' AND NOT (rank = 0) AND NOT EXISTS (SELECT 1 FROM c WHERE c.title_id = t.title_id AND abs(c.start_ms - t.start_ms) < {HOUR}) UNION ALL
+SELECT title_id, seq, 'action', start_ms FROM t WHERE source = 'click' UNION ALL SELECT title_id, seq, 'on-screen-text', start_ms FROM t WHERE source = 'signup'""")
+def p3_fuse_other(spark, sf_dir):
+    e = evidence(spark, sf_dir)
+    s = C("source")
+    source = F.when(s == "view", "subtitle").when(s == "error", "audio-event").when(s == "click", "video").when(s == "signup", "ocr").otherwise("metadata")
+    rows = e.select("title_id", "seq", source.alias("source"), F.when(s == "error", "unclassified").otherwise("action").alias("kind"), "start_ms", F.when(C("k") % 4 == 0, "[noise]").otherwise("words").alias("text"), F.lit(False).alias("significant"), "confidence")
+    return fusion.fuse_other(rows, HOUR).select("title_id", "seq", "type", "start_ms")
+
+
+def _built(spark, sf_dir):
+    m = media(spark, sf_dir).withColumn("key", F.when(C("source") == "subtitle", F.concat_ws(":", "source", "user_id")))
+    return build.build(m, 2 * HOUR, 600_000, 12 * HOUR, 4 * HOUR)
+
+
+@query()
+def p4_p5_build(spark, sf_dir):
+    return _built(spark, sf_dir)[0]
+
+
+@query()
+def p8_inspect(spark, sf_dir):
+    return build.inspect(*_built(spark, sf_dir))
+
+
+@query()
+def r2_finalized_scenes(spark, sf_dir):
+    scenes, _, _ = _built(spark, sf_dir)
+    return build.finalize(scenes, scenes.groupBy("title_id").agg(F.max("start_ms").alias("now_ms")), HOUR)
+
+
+@query(f"WITH {_BEATS} SELECT title_id, place, type, CAST(strpos(lower(text), 'th') - 1 AS INT) AS at FROM b WHERE contains(regexp_replace(lower(text), '[.,!?;:\"()]', '', 'g'), 'th') AND type = 'dialogue'")
+def p7_search(spark, sf_dir):
+    return search.search(beats(spark, sf_dir), "Th", "dialogue", None).select("title_id", "place", "type", "at")
+
+
+@query(f"""{WITH}, w AS (SELECT * FROM ev WHERE source = 'view'), s AS (SELECT title_id, seq AS window_seq, start_ms AS a, end_ms AS b, 0 AS i, greatest(start_ms, least(end_ms, start_ms - 1000)) AS start_ms, greatest(start_ms, least(end_ms, start_ms + k * 60000)) AS end_ms FROM w WHERE k % 2 = 0 UNION ALL SELECT title_id, seq, start_ms, end_ms, 0, start_ms, end_ms FROM w WHERE k % 2 = 1)
+SELECT title_id, window_seq, i, start_ms, end_ms FROM s""")
+def p9_transcript_to_evidence(spark, sf_dir):
+    e = evidence(spark, sf_dir)
+    segment = F.array(F.struct(F.lit(-1000).cast("long").alias("start_ms"), (C("k") * 60000).alias("end_ms"), F.lit("said").alias("text")))
+    w = e.where("source = 'view'").select("title_id", "seq", "start_ms", "end_ms", F.lit("all of it").alias("text"), F.when(C("k") % 2 == 0, segment).alias("segments"))
+    speakers = e.where("source = 'signup'").select("title_id", C("seq").alias("r_seq"), C("start_ms").alias("r_start"), C("end_ms").alias("r_end"))
+    return requests.transcript_to_evidence(w, speakers, HOUR).select("title_id", "window_seq", "i", "start_ms", "end_ms")
+
+
+def _analyses(spark, sf_dir):
+    """Windows of clicks with provider results in prose; some are broken."""
+    e = evidence(spark, sf_dir).where("source = 'click'")
+    body = F.concat(F.lit('{"actions": [{"offset_ms": '), C("k").cast("string"), F.lit(', "description": "runs", "confidence": "low"}, {"description": " "}], "text": [{"text": "EXIT", "offset_ms": 5}]}'))
+    text = F.when(C("k") % 5 == 0, "no result").when(C("k") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return e.select("title_id", "seq", "start_ms", "end_ms", "k", text.alias("answer"))
+
+
+@query(f"""{WITH}, w AS (SELECT * FROM ev WHERE source = 'click' AND k % 5 <> 0) SELECT title_id, seq AS window_seq, 'video' AS source, 'action' AS kind, start_ms + least(greatest(k, 0), end_ms - start_ms) AS at_ms, 'runs' AS text, 'low' AS confidence, true AS inferred FROM w
+UNION ALL SELECT title_id, seq, 'ocr', 'text', start_ms + least(5, end_ms - start_ms), 'EXIT', 'low', true FROM w""")
+def x31_x32_p10_vision_to_evidence(spark, sf_dir):
+    w = _analyses(spark, sf_dir)
+    return requests.vision_to_evidence(w.withColumn("v", requests.validate_analysis(requests.extract_json(C("answer")))))
+
+
+@query(f"""WITH {EV}, m AS (SELECT title_id, start_ms, seq, CASE WHEN source = 'view' THEN 'name:user ' || CAST(user_id AS VARCHAR) ELSE 'speaker:' || CAST(user_id AS VARCHAR) END AS key FROM ev WHERE source IN ('view', 'click')),
+o AS (SELECT title_id, key, min(start_ms * 1000000 + seq) AS f, count(*) AS lines FROM m GROUP BY title_id, key), n AS (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY f) AS c, sum(CASE WHEN starts_with(key, 'speaker:') THEN 1 ELSE 0 END) OVER (PARTITION BY title_id ORDER BY f // 1000000, key) AS s FROM o)
+SELECT title_id, key, 'character-' || CAST(c AS VARCHAR) AS character_id, lines, CASE WHEN starts_with(key, 'name:') THEN upper(substr(key, 6)) ELSE 'SPEAKER ' || CAST(s AS VARCHAR) END AS cue FROM n""")
+def p13_p14_characters(spark, sf_dir):
+    e = evidence(spark, sf_dir).where("source in ('view', 'click')")
+    m = e.select("title_id", C("start_ms").alias("at_ms"), "seq", F.when(C("source") == "view", F.concat(F.lit(" User  "), C("user_id").cast("string"))).alias("name"), C("user_id").cast("string").alias("speaker"))
+    c = characters.cue_name(characters.ensure_characters(m))
+    return c.select("title_id", "key", "character_id", "lines", F.trim(F.regexp_replace("cue", r"\s+", " ")).alias("cue"))
+
+
+@query(f"""WITH {EV}, l AS (SELECT title_id, seq, start_ms AS at_ms, 'c' || CAST(user_id % 4 AS VARCHAR) AS character_id FROM ev WHERE source = 'view'), m AS (SELECT title_id, median(start_ms) AS mid, min(seq) AS one FROM ev WHERE source = 'view' GROUP BY title_id),
+a AS (SELECT l.title_id, l.seq, l.at_ms, CASE WHEN character_id = 'c1' THEN 'c2' ELSE character_id END AS c FROM l), b AS (SELECT a.title_id, a.seq, CASE WHEN c = 'c2' AND at_ms >= floor(mid) THEN 'c9' ELSE c END AS c, one FROM a JOIN m USING (title_id))
+SELECT title_id, seq, CASE WHEN seq = one THEN 'c7' ELSE c END AS character_id FROM b""")
+def p12_corrections(spark, sf_dir):
+    e = evidence(spark, sf_dir).where("source = 'view'")
+    lines = e.select("title_id", "seq", C("start_ms").alias("at_ms"), F.concat(F.lit("c"), (C("user_id") % 4).cast("string")).alias("character_id"))
+    m = e.groupBy("title_id").agg(F.floor(F.median("start_ms")).alias("mid"), F.min("seq").alias("one"))
+    entry = lambda n, op, a, b, line, at: F.struct(F.lit(n).alias("log_seq"), F.lit(op).alias("op"), F.lit(a).cast("string").alias("from_id"), F.lit(b).alias("to_id"), line.cast("long").alias("line_seq"), at.cast("long").alias("at_ms"))
+    none = F.lit(None)
+    log = m.select("title_id", F.explode(F.array(entry(1, "merge", "c1", "c2", none, none), entry(2, "forward", "c2", "c9", none, C("mid")), entry(3, "single", None, "c7", C("one"), none))).alias("x")).select("title_id", "x.*")
+    return characters.apply_corrections(lines, log).select("title_id", "seq", "character_id")
+
+
+@query()
+def p21_request_table(spark, sf_dir):
+    e = evidence(spark, sf_dir)
+    w = e.where("source = 'purchase'").select("title_id", "seq", "start_ms", "end_ms")
+    lines = e.where("source = 'view'").select("title_id", C("seq").alias("r_seq"), C("start_ms").alias("r_start"), C("end_ms").alias("r_end"))
+    return requests.request_table(w, lines, _moments(e, "signup"), _moments(e, "click"), HOUR, 50 * HOUR, 12 * HOUR)
+
+
+def pcm(spark, sf_dir):
+    """Embeddings as PCM chunks: each vector eight times over, a title for each label."""
+    x = table(spark, sf_dir, "embeddings")
+    return x.select(C("label").cast("long").alias("title_id"), C("vec_id").alias("chunk"), (C("vec_id") * 32).alias("start_ms"), F.lit(16000).alias("sample_rate"), F.flatten(F.array_repeat("embedding", 8)).alias("samples"))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT vec_id AS chunk, round(greatest(-100, 20 * log10(greatest(sqrt(avg(x * x)), 1e-5))), 6) AS db FROM v GROUP BY vec_id""")
+def p15_audio_features(spark, sf_dir):
+    from ..plans.signals import audio_features
+
+    return audio_features(pcm(spark, sf_dir)).select("chunk", F.round("db", 6).alias("db"))
+
+
+@query()
+def p15_audio_spectra(spark, sf_dir):
+    from ..plans.signals import audio_features
+
+    return audio_features(pcm(spark, sf_dir)).select("chunk", *[F.round(c, 4).alias(c) for c in ("zcr", "centroid", "flatness", "spectrum_sum")], F.size("mfcc").alias("n_mfcc"))
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, 64)) AS i FROM embeddings), l AS (SELECT vec_id, i, CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS BIGINT) AS y FROM v), b AS (SELECT vec_id, (i // 8) // 2 AS r, (i % 8) // 2 AS c, floor(avg(y) + 0.5) AS m FROM l GROUP BY 1, 2, 3)
+SELECT vec_id AS seq, CAST(sum(m) AS BIGINT) AS total FROM b GROUP BY vec_id""")
+def p16_frame_signatures(spark, sf_dir):
+    from ..plans.signals import frame_signatures
+
+    grey = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("int"))
+    x = table(spark, sf_dir, "embeddings").select(C("vec_id").alias("seq"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.flatten(F.transform(grey, lambda v: F.array(v, v, v, F.lit(255)))).alias("rgba"))
+    return frame_signatures(x, 4, 4).select("seq", F.aggregate("luma", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
+
+
+@query()
+def p19_slice_pcm(spark, sf_dir):
+    from ..plans.signals import slice_pcm
+
+    chunks = pcm(spark, sf_dir)
+    w = chunks.where("chunk % 10 = 0").select("title_id", C("chunk").alias("seq"), (C("start_ms") + 5).alias("start_ms"), (C("start_ms") + 25).alias("end_ms"))
+    return slice_pcm(chunks, w).select("title_id", "seq", F.size("samples").alias("n"))
