@@ -78,4 +78,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+# urls: rules, then classes of aliases by reachability over canonical links and redirects
+_HOST = f"translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"
+_FITS = " ".join(
+    f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.action} {r.text}'" for r in sorted(URL_RULES, key=lambda r: -len(r.text))
+)
+_OP2 = rf"""WITH RECURSIVE p AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN regexp_replace(url, '(?s)^.*?://', '') ELSE '' END AS rest FROM pages),
+l0 AS (SELECT url, unnest([regexp_extract(regexp_extract(html, '(?is)(<link[^>]*rel\s*=\s*["'']?canonical[^>]*>)', 1), '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1),
+ regexp_extract(regexp_extract(html, '(?is)(<meta[^>]*http-equiv\s*=\s*["'']?refresh[^>]*>)', 1), '(?is)url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target FROM p),
+l AS (SELECT regexp_replace(url, '(?s)#.*$', '') AS a, regexp_replace(replace(target, '&amp;', '&'), '(?s)#.*$', '') AS b FROM l0 WHERE contains(target, '://')),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT a AS n, a AS m FROM e UNION SELECT reach.n, e.b FROM reach JOIN e ON e.a = reach.m),
+u AS (SELECT DISTINCT n AS url FROM reach), uh AS (SELECT url, regexp_replace(url, '(?s)^.*?://', '') AS rest FROM u), ur AS (SELECT url, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM uh),
+uv AS (SELECT url, CASE {_FITS} END AS fit FROM ur),
+bad AS (SELECT reach.n AS url FROM reach JOIN uv ON uv.url = reach.m GROUP BY reach.n HAVING count(*) FILTER (WHERE starts_with(fit, 'block')) > 0 AND count(*) FILTER (WHERE starts_with(fit, 'allow')) = 0),
+h AS (SELECT page_id, url, coalesce({_HOST}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+v AS (SELECT *, CASE {_FITS} END AS fit FROM h)
+SELECT page_id, host, path, CASE WHEN fit IS NOT NULL THEN substr(fit, 7) END AS rule, CASE WHEN fit IS NOT NULL THEN substr(fit, 1, 5) WHEN regexp_replace(v.url, '(?s)#.*$', '') IN (SELECT url FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM v"""
+
+_OP3 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+n AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35), x AS (SELECT n.r, n.i, sha256(array_to_string(list_slice(w, n.i, n.i + 34), ' ')) AS h FROM n JOIN d ON d.r = n.r),
+t AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1), c AS (SELECT DISTINCT r, i + unnest(range(0, 35)) AS i FROM x WHERE h IN (SELECT h FROM t)),
+g AS (SELECT r, list(i) AS gone FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_transform(w, lambda y, k: CASE WHEN list_contains(gone, k) THEN NULL ELSE y END), lambda y: y IS NOT NULL), lambda y: y) END, ' ')) AS kept_sha256 FROM d LEFT JOIN g USING (r)"""
+
+_OP9 = r"""WITH k AS (SELECT page_id, url, html, substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS kind, CAST(floor(length(html) / 2.0) AS INT) AS half FROM pages),
+b AS (SELECT *, CASE WHEN kind IN ('00', '01', '02') THEN substr(html, 1, half) || '~' || substr(html, half + 2) WHEN kind = '03' THEN substr(html, 1, half) ELSE html END AS held FROM k),
+r AS (SELECT page_id, kind, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
+ html, held FROM b),
+c AS (SELECT page_id, kind, head || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec, head || strlen(held) || chr(13) || chr(10) || chr(13) || chr(10) || held || chr(13) || chr(10) || chr(13) || chr(10) AS rep FROM r),
+s AS (SELECT page_id, page_id // 1000 AS file, strlen(rec) AS length, sha256(rec) AS digest, CASE WHEN kind = '04' THEN 'missing' ELSE sha256(rep) END AS replica_digest FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY page_id) - 1 AS place, CAST(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS "offset" FROM s)
+SELECT file, place, "offset", length, page_id, digest, replica_digest FROM o WHERE digest <> replica_digest"""
+
+_OP10 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + 3), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT a AS n, a AS m FROM e UNION SELECT reach.n, e.b FROM reach JOIN e ON e.a = reach.m), k AS (SELECT n, min(m) AS c FROM reach GROUP BY n)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(k.c, d.doc_id)) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.n = d.doc_id"""
+
+ORACLES: dict[str, str] = {"op2_url_filters": _OP2, "op3_substring_dedup": _OP3, "op9_warc_fixity": _OP9, "op10_ngram_jaccard_join": _OP10}
