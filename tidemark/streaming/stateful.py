@@ -57,22 +57,38 @@ def sessions(stream: DataFrame, at: str = "at", gap: str = "30 minutes", late: s
     return stream.withWatermark(at, late).groupBy(F.session_window(at, gap), "title_id").agg(F.count("*").alias("events"))
 
 
+def _there(df: DataFrame, path: str) -> bool:
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def rolling_scenes(path: str, build: Callable[[DataFrame], DataFrame], behind_ms: int = 8000) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: scenes of the evidence so far, in Parquet under ``path``, those behind the playhead finalized.
+    """A foreachBatch function: after batch N, path/scenes/batch=N has the scenes of every title with their status.
 
-    Evidence is appended under path/evidence; late rows that end before a title's finalized prefix are left out there. Each batch writes
-    path/scenes/batch=N, so a batch that is run again writes the same. A seek back (rows of source playback and kind seek whose
-    to_ms lies before) re-opens what it jumps over, as scenes are built anew from the evidence of the open tail.
+    Finalized scenes are carried over as they are; the others are built anew from the evidence behind them, which is appended under
+    path/evidence. Rows that end before a title's finalized prefix came too late and are left out. A seek back (source playback, kind
+    seek, to_ms) opens finalized scenes that end at or after its target again. A batch that is run again writes the same.
     """
     from ..plans.build import finalize
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        before = f"{path}/scenes/batch={number - 1}"
+        final = spark.read.parquet(before).where("status = 'finalized'") if _there(batch, before) else None
+        if final is not None:
+            back = batch.where("source = 'playback' and kind = 'seek'").groupBy("title_id").agg(F.min("to_ms").alias("to_ms"))
+            final = final.join(back, "title_id", "left").where("to_ms is null or end_ms < to_ms").drop("to_ms")
+            until = final.groupBy("title_id").agg(F.max("end_ms").alias("until"))
+            batch = batch.join(until, "title_id", "left").where(C("until").isNull() | (F.coalesce("end_ms", "start_ms") >= C("until"))).drop("until")
         batch.write.mode("overwrite").parquet(f"{path}/evidence/batch={number}")
-        held = spark.read.parquet(f"{path}/evidence")
-        scenes = build(held)
+        held = spark.read.parquet(f"{path}/evidence").where(C("batch") <= number).drop("batch")
         now = held.groupBy("title_id").agg(F.max(F.coalesce("end_ms", "start_ms")).alias("now_ms"))
-        finalize(scenes, now, behind_ms).write.mode("overwrite").parquet(f"{path}/scenes/batch={number}")
+        if final is not None:
+            held = held.join(until, "title_id", "left").where(C("until").isNull() | (C("start_ms") >= C("until"))).drop("until")
+        scenes = finalize(build(held), now, behind_ms)
+        out = scenes if final is None else scenes.unionByName(final)
+        out.write.mode("overwrite").parquet(f"{path}/scenes/batch={number}")
 
     return run
 
