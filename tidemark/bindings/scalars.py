@@ -212,3 +212,15 @@ def x35_x36_ceiling_and_fps(spark, sf_dir):
 def w37_roll_up_overlap(spark, sf_dir):
     """A caption rolled up into the next: all its words begin the joined one."""
     return _turns(spark, sf_dir).select("conv_id", "turn", text.roll_up_overlap(C("a"), F.concat_ws(" ", "a", "b")).alias("words"))
+
+
+@query(f"{WITH} SELECT seq, CASE k % 3 WHEN 0 THEN 'Subtitle + Audio ASR' WHEN 1 THEN 'On-screen text' ELSE 'No source' END AS said FROM ev")
+def x23_describe_sources(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    sources = F.when(C("k") % 3 == 0, F.array(F.lit("subtitle"), F.lit("audio-asr"))).when(C("k") % 3 == 1, F.array(F.lit("ocr"))).otherwise(none)
+    return evidence(spark, sf_dir).select("seq", labels.describe_sources(sources).alias("said"))
+
+
+@query(f"{WITH} SELECT seq, greatest(0, end_ms - start_ms) AS duration_ms, CAST(floor(value * 1000 + 0.5) AS BIGINT) AS rounded_ms FROM ev")
+def x18_durations(spark, sf_dir):
+    return evidence(spark, sf_dir).select("seq", F.greatest(F.lit(0), C("end_ms") - C("start_ms")).alias("duration_ms"), time.seconds_to_ms(C("value")).alias("rounded_ms"))

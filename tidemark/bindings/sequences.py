@@ -231,3 +231,9 @@ def p11_local_vision_rules(spark, sf_dir):
     return m.select("seq", F.when(C("cut") >= 0.6, "shot").alias("shot"), F.when(C("cut") >= 0.35, "strong").when(C("cut") >= 0.12, "some").alias("movement"))
 
 
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, 64)) AS i FROM embeddings), l AS (SELECT vec_id, i, CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS INT) AS y FROM v),
+d AS (SELECT a.vec_id, abs(a.y - b.y) AS d FROM l a JOIN l b ON b.vec_id = a.vec_id AND b.i = a.i + 1 WHERE a.i // 8 < 4 AND a.i % 8 < 7) SELECT vec_id AS seq, least(1.0, sum(d) / (28 * 96.0)) AS energy FROM d GROUP BY vec_id""")
+def p18_edge_energy(spark, sf_dir):
+    return frames(spark, sf_dir).select("seq", sequences.edge_energy(C("luma"), 8, 8, 0.05, 0.05, 0.9, 0.35).alias("energy"))
