@@ -14,7 +14,7 @@ some repeated window covers are removed.
 3. Buckets expand their strings into windows and count them by sorting; equal
    hashes are compared word by word. A minimiser with more than ``hot``
    different strings is not one task's work: its windows are counted one by
-   one as rows (pre-aggregated), dealt by the window itself.
+   one as rows (pre-aggregated), dealt by the window's 128-bit digest.
 4. Repeated windows go back to the documents, which drop the covered words.
 
 Null and empty texts and texts under ``width`` words lose nothing. Repeated
@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, keep, mixed, rolling, words_of
+from .common import hash_words, keep, mixed, rolling, small_batches, utf8_words
 
 WIDTH, GRAM = 35, 6
 def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -60,10 +60,10 @@ def super_kmers(h: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarr
     return first, count, least[first], places
 
 
-def repeated_windows(strings: list[str], times: list[int], width: int = WIDTH) -> list[np.ndarray]:
+def repeated_windows(strings: list[bytes], times: list[int], width: int = WIDTH) -> list[np.ndarray]:
     """For each packed string, which of its windows occur twice or more in all of them; times: occurrences of each string. Exact."""
-    ids: dict[str, int] = {}
-    split = [s.split(" ") for s in strings]
+    ids: dict[bytes, int] = {}
+    split = [s.split(b" ") for s in strings]
     flat = np.array([ids.setdefault(w, len(ids)) for words in split for w in words], np.int64)
     sizes = np.array([len(words) - width + 1 for words in split])
     begins = np.concatenate(([0], np.cumsum([len(words) for words in split])[:-1]))
@@ -87,9 +87,9 @@ def repeated_windows(strings: list[str], times: list[int], width: int = WIDTH) -
     return np.split(flag, np.cumsum(sizes)[:-1])
 
 
-def _by_words(split: list[list[str]], times: list[int], width: int) -> list[np.ndarray]:
+def _by_words(split: list[list[bytes]], times: list[int], width: int) -> list[np.ndarray]:
     """The same by the words themselves, for the rare bucket in which two different windows have one hash."""
-    seen: dict[tuple[str, ...], int] = {}
+    seen: dict[tuple[bytes, ...], int] = {}
     for words, n in zip(split, times):
         for k in range(len(words) - width + 1):
             w = tuple(words[k : k + width])
@@ -97,8 +97,8 @@ def _by_words(split: list[list[str]], times: list[int], width: int) -> list[np.n
     return [np.array([seen[tuple(words[k : k + width])] > 1 for k in range(len(words) - width + 1)]) for words in split]
 
 
-def _digest(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+def _digest(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
 def _bits(flags: np.ndarray) -> bytes:
@@ -115,37 +115,29 @@ def covered(n: int, found: list[tuple[int, int, bytes]], width: int = WIDTH) ->
     return np.cumsum(edge[:n]) > 0
 
 
-def _text_key(text: str | None) -> bytes:
-    return hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _key(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _packs(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple]:
-    """(batch, [(minimiser, key of the string, string, row of the batch, first, count)]) from texts with their suspect marks."""
-    for b in batches:
-        out = []
-        for row, (text, marks) in enumerate(zip(b.text, b.marks)):
-            words = words_of(text)
-            for m in marks:
-                packed = " ".join(words[m["first"] : m["first"] + m["count"] + width - 1])
-                out.append((m["least"], _text_key(packed), packed, row, m["first"], m["count"]))
-        yield b, out
+def _text_key(text: str | None) -> bytes:
+    return _key((text or "").encode("utf-8", "surrogatepass"))
 
 
 def find_suspects(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """Of each row its text's key, n_words and digest; and the texts (with copies) that have suspect super-k-mers, with these."""
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = WordHash()
         for b in batches:
             out = []
             for doc_id, text in zip(b.doc_id, b.text):
-                words = words_of(text)
-                first, count, least, places = super_kmers(hashed((text or "").encode("utf-8", "surrogatepass").split()), width) if len(words) >= width else (np.zeros(0, int),) * 4
-                out.append((None if pd.isna(doc_id) else int(doc_id), _text_key(text), len(words), _digest(words), least.astype(np.uint64).view(np.int64), first.astype(np.int32), count.astype(np.int32), places.astype(np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "text_key", "n_words", "sha", "least", "first", "count", "places"]).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, text_key binary, n_words long, sha string, least array<long>, first array<int>, count array<int>, places array<int>"
-    marks = keep(docs.select("doc_id", "text").mapInPandas(mark, schema), "substr-marks")
+                words = utf8_words(text)
+                first, count, least, places = super_kmers(hash_words(text.encode("utf-8", "surrogatepass")), width) if len(words) >= width else (np.zeros(0, int),) * 4
+                out.append((doc_id, _text_key(text), len(words), _digest(words), least.astype(np.uint64).view(np.int64), first.astype(np.int32), count.astype(np.int32), places.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["doc_id", "text_key", "n_words", "sha", "least", "first", "count", "places"])
+
+    small_batches(docs.sparkSession)
+    schema = "doc_id string, text_key binary, n_words long, sha string, least array<long>, first array<int>, count array<int>, places array<int>"
+    marks = keep(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(mark, schema), "substr-marks")
     each = marks.select("text_key", F.explode(F.arrays_zip("least", "first", "count", "places")).alias("m")).select("text_key", "m.*")
     often = each.groupBy("least").agg(F.sum("places").alias("n")).where("n > 1").select("least")
     suspects = each.join(often.hint("merge"), "least").groupBy("text_key").agg(F.collect_set(F.struct("least", "first", "count")).alias("marks"))
@@ -154,19 +146,26 @@ def find_suspects(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataF
         return text.map(_text_key)
 
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", text_key("text"))
-    return marks.drop("least", "first", "count", "places"), keep(texts.join(suspects.hint("merge"), "text_key"), "substr-suspects")
+    return marks.select(F.col("doc_id").cast("long").alias("doc_id"), "text_key", "n_words", "sha"), keep(texts.join(suspects.hint("merge"), "text_key"), "substr-suspects")
 
 
-def find_repeats(suspects: DataFrame, width: int = WIDTH, hot: int = 20_000) -> DataFrame:
+def find_repeats(suspects: DataFrame, width: int = WIDTH, hot: int = 2000) -> DataFrame:
     """text_key, found: of each text with repeated windows the array of (first, count, bits)."""
     spark = suspects.sparkSession
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, out in _packs(batches, width):
-            yield pd.DataFrame([x[:3] for x in out], columns=["least", "key", "packed"])
-
+        for b in batches:
+            out = []
+            for text_key, text, marks in zip(b.text_key, b.text, b.marks):
+                words = utf8_words(text)
+                for m in marks:
+                    packed = b" ".join(words[m["first"] : m["first"] + m["count"] + width - 1])
+                    out.append((m["least"], _key(packed), packed, text_key, m["first"], m["count"]))
+            yield pd.DataFrame(out, columns=["least", "key", "packed", "text_key", "first", "count"])
+
+    packs = keep(suspects.mapInPandas(pack, "least long, key binary, packed binary, text_key binary, first int, count int"), "substr-packs")
     # equal strings (same minimiser and 128-bit key) become one row with their number before the shuffle
-    strings = keep(suspects.select("text", "marks").mapInPandas(pack, "least long, key binary, packed string").groupBy("least", "key", "packed").agg(F.count("*").alias("times")), "substr-strings")
+    strings = keep(packs.groupBy("least", "key", "packed").agg(F.count("*").alias("times")), "substr-strings")
     many = keep(strings.groupBy("least").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("least"), "substr-hot")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 8
     schema = "least long, key binary, bits binary"
@@ -185,31 +184,26 @@ def find_repeats(suspects: DataFrame, width: int = WIDTH, hot: int = 20_000) ->
         def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for least, key, packed, times in zip(b.least, b.key, b.packed, b.times):
-                    words = packed.split(" ")
+                    words = packed.split(b" ")
                     n = len(words) - width + 1
-                    yield pd.DataFrame([(least, key, k, " ".join(words[k : k + width]), times, n) for k in range(n)], columns=["least", "key", "place", "window", "times", "count"])
+                    yield pd.DataFrame([(least, key, k, _key(b" ".join(words[k : k + width])), times, n) for k in range(n)], columns=["least", "key", "place", "window", "times", "count"])
 
         def gather(b: pd.DataFrame) -> pd.DataFrame:
             flags = np.zeros(int(b["count"].iloc[0]), bool)
             flags[b.place.to_numpy()] = True
             return pd.DataFrame({"least": [b.least.iloc[0]], "key": [b.key.iloc[0]], "bits": [_bits(flags)]})
 
-        windows = keep(strings.join(many.hint("merge"), "least", "left_semi").mapInPandas(spread, "least long, key binary, place int, window string, times long, count int"), "substr-windows")
+        windows = keep(strings.join(many.hint("merge"), "least", "left_semi").mapInPandas(spread, "least long, key binary, place int, window binary, times long, count int"), "substr-windows")
         twice = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
         found = found.unionByName(windows.join(twice.hint("merge"), "window").groupBy("least", "key").applyInPandas(gather, schema))
     found = keep(found, "substr-found")
 
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b, out in _packs(batches, width):
-            keys = b.text_key.tolist()
-            yield pd.DataFrame([(x[0], x[1], keys[x[3]], x[4], x[5]) for x in out], columns=["least", "key", "text_key", "first", "count"])
-
-    spots = suspects.mapInPandas(places, "least long, key binary, text_key binary, first int, count int").distinct()
+    spots = packs.select("least", "key", "text_key", "first", "count").distinct()
     return spots.join(found.hint("merge"), ["least", "key"]).groupBy("text_key").agg(F.collect_list(F.struct("first", "count", "bits")).alias("found"))
 
 
-def _kept_words(text: str | None, found: object, width: int) -> tuple[list[str], list[str]]:
-    words = words_of(text)
+def _kept_words(text: str | None, found: object, width: int) -> tuple[list[bytes], list[bytes]]:
+    words = utf8_words(text)
     if found is None or isinstance(found, float) or not len(found):
         return words, words
     gone = covered(len(words), [(m["first"], m["count"], m["bits"]) for m in found], width)
@@ -248,7 +242,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         out = []
         for t, f in zip(text, found):
             words, left = _kept_words(t, f, width)
-            out.append(t if len(left) == len(words) else " ".join(left))
+            out.append(t if len(left) == len(words) else b" ".join(left).decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype=object)
 
     keyed = docs.withColumn("_text_key", text_key(F.coalesce("text", F.lit(""))))
