@@ -9,8 +9,8 @@ its transpose counts overlaps; it is never formed whole:
    size-derived bound |x & y| >= t / (1 + t) * (|x| + |y|), rows that link share
    one of their first |x| - ceil(t |x|) + 1 columns, and the places of a shared
    column bound their overlap. Entries outside these prefixes are not multiplied.
-2. In each column every row is first paired with one pivot, the row whose rarest
-   column is the most frequent. Found links give components; after that only
+2. In each column every row is first paired with one pivot, the row in which the
+   column stands first. Found links give components; after that only
    pairs of rows in different components remain and all of these are tested.
    So a large group of near copies costs a star of pairs and not its square, and
    no link between different components is lost.
@@ -31,28 +31,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, forget, keep, mixed, rolling
+from .common import forget, hash_words, keep, mixed, rolling, small_batches
 from .components import components
 
 SKETCH = 1 << 20
-BLOCKS = 4
+BLOCKS = 8
 FILTER = 1 << 24
 _SLICES = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEN = 200_000
 
 
-def ngram_set(text: str | None, hashed: WordHash, n: int, salt: int = 0) -> np.ndarray:
+def ngram_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles of a text, A-Z lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hashed(words)
-    grams = rolling(h, n) if len(words) >= n else rolling(h, len(words)) ^ np.uint64(len(words))
-    return np.unique(mixed(grams ^ np.uint64(salt)) if salt else grams)
+    h = hash_words((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    if not len(h):
+        return h
+    grams = np.sort(rolling(h, n) if len(h) >= n else mixed(rolling(h, len(h)) ^ np.uint64(len(h))))
+    return grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
 
 
 def set_key(s: np.ndarray) -> bytes:
@@ -86,63 +85,77 @@ def read_sets(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, key, sid) of every row, and the counters of column frequencies (each task counts a set once)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, once, counts = WordHash(), _Once(), np.zeros(SKETCH, np.int64)
+        once, counts = _Once(), np.zeros(SKETCH, np.int32)
         for b in batches:
             out = []
             for doc_id, text in zip(b.doc_id, b.text):
-                s = ngram_set(text, hashed, n)
+                s = ngram_set(text, n)
                 key = set_key(s) if len(s) else None
                 sid = _short(key) if key else None
                 if key and once(sid):
                     np.add.at(counts, (s % np.uint64(SKETCH)).astype(np.int64), 1)
-                out.append((None if pd.isna(doc_id) else int(doc_id), len(s), key, sid, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "key", "sid", "slice", "counts"]).astype({"doc_id": "Int64", "sid": "Int64", "slice": "Int32"})
+                out.append((doc_id, len(s), key, sid, None, None))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "key", "sid", "slice", "counts"], dtype=object).astype({"sid": "Int64", "slice": "Int32"})
         if counts.any():
             parts = counts.reshape(_SLICES, -1)
-            yield pd.DataFrame({"doc_id": None, "n_shingles": 0, "key": None, "sid": None, "slice": range(_SLICES), "counts": [p.astype(np.int64).tobytes() for p in parts]}).astype({"doc_id": "Int64", "sid": "Int64", "slice": "Int32"})
+            yield pd.DataFrame({"doc_id": None, "n_shingles": 0, "key": None, "sid": None, "slice": range(_SLICES), "counts": [p.tobytes() for p in parts]}).astype({"sid": "Int64", "slice": "Int32"})
 
-    rows = keep(docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, key binary, sid long, slice int, counts binary"), "jaccard-sets")
+    # ids travel as strings: pandas would make floats of numbers with nulls
+    rows = keep(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n_shingles long, key binary, sid long, slice int, counts binary"), "jaccard-sets")
 
     def add(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": [b["slice"].iloc[0]], "counts": [sum(np.frombuffer(c, np.int64) for c in b.counts).tobytes()]})
+        return pd.DataFrame({"slice": [b["slice"].iloc[0]], "counts": [sum(np.frombuffer(c, np.int32).astype(np.int64) for c in b.counts).tobytes()]})
 
     total = np.zeros((_SLICES, SKETCH // _SLICES), np.int64)
     for r in rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect():
         total[r.slice] = np.frombuffer(r.counts, np.int64)
-    return rows.where("slice is null").drop("slice", "counts"), total.reshape(-1)
+    return rows.where("slice is null").drop("slice", "counts").withColumn("doc_id", F.col("doc_id").cast("long")), total.reshape(-1)
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, counts: Broadcast) -> DataFrame:
-    """(token, sid, n, place, rank) of the prefix columns of each set, once for each task that has it."""
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """A table of bits of fixed size with those of the documents in ids (first); more documents only make it let more through."""
+    bit = F.pmod(F.xxhash64("first"), F.lit(FILTER))
+    words = ids.where("first is not null").select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
+    table = np.zeros(FILTER // 64, np.int64)
+    for r in words.toLocalIterator():
+        table[r.word] = r.bits
+    return table
+
+
+def with_bits(docs: DataFrame) -> DataFrame:
+    """text, the place of the document's bit, and free: null ids pass every filter."""
+    return docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("bit"), F.col("doc_id").isNull().alias("free"))
+
+
+def passing(b: pd.DataFrame, flags: np.ndarray) -> pd.Series:
+    """The texts of a batch whose bit is set."""
+    bit = b.bit.to_numpy()
+    return b.text[((flags[bit >> 6] >> (bit & 63)) & 1 == 1) | b.free.to_numpy()]
+
+
+def prefixes(docs: DataFrame, n: int, percent: int, counts: Broadcast, bits: Broadcast) -> DataFrame:
+    """(token, sid, at) of the prefix columns of each set, from the documents whose bits are set; at holds the set's size and the column's place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, once, often = WordHash(), _Once(), counts.value
+        once, often, flags = _Once(), counts.value, bits.value
         for b in batches:
             found: list[np.ndarray] = []
-            meta: list[tuple[int, int, int, int]] = []
-            for text in b.text:
-                s = ngram_set(text, hashed, n)
+            meta: list[tuple[int, int, int]] = []
+            for text in passing(b, flags):
+                s = ngram_set(text, n)
                 if not len(s) or not once(sid := _short(set_key(s))):
                     continue
                 c = often[(s % np.uint64(SKETCH)).astype(np.int64)]
                 k = prefix_size(len(s), percent)
                 near = np.flatnonzero(c <= np.partition(c, k - 1)[k - 1]) if k < len(s) else np.arange(len(s))
-                near = near[np.lexsort((s[near], c[near]))][:k]
-                found.append(s[near])
-                # the pivot of a column is the row with the greatest rank
-                rank = (min(int(c[near[0]]), (1 << 30) - 1) << 33) | (sid & ((1 << 33) - 1))
-                meta.append((sid, len(s), k, rank))
+                found.append(s[near[np.lexsort((s[near], c[near]))][:k]])
+                meta.append((sid, len(s), k))
             if found:
                 k = [m[2] for m in meta]
-                yield pd.DataFrame({
-                    "token": np.concatenate(found).view(np.int64),
-                    "sid": np.repeat(np.array([m[0] for m in meta], np.int64), k),
-                    "n": np.repeat(np.array([m[1] for m in meta], np.int32), k),
-                    "place": np.concatenate([np.arange(x, dtype=np.int32) for x in k]),
-                    "rank": np.repeat(np.array([m[3] for m in meta], np.int64), k),
-                })
+                at = np.concatenate([(size << 32) + np.arange(x, dtype=np.int64) for _, size, x in meta])
+                yield pd.DataFrame({"token": np.concatenate(found).view(np.int64), "sid": np.repeat(np.array([m[0] for m in meta], np.int64), k), "at": at})
 
-    return docs.select("text").mapInPandas(run, "token long, sid long, n int, place int, rank long")
+    return with_bits(docs).mapInPandas(run, "token long, sid long, at long")
 
 
 def _may_link(percent: int):
@@ -152,55 +165,62 @@ def _may_link(percent: int):
     return (100 * n >= percent * m) & (100 * m >= percent * n) & (1 + F.least(n - 1 - F.col("place"), m - 1 - F.col("spot")) >= need)
 
 
-def overlaps(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """(a, b, both): the overlap of each pair of sets, summed over blocks of columns."""
-    spark = pairs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).select(F.pmod("sid", F.lit(FILTER)).alias("bit"))
-    words = wanted.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
-    table = np.zeros(FILTER // 64, np.int64)  # fixed size
-    for r in words.toLocalIterator():
-        table[r.word] = r.bits
-    bits = spark.sparkContext.broadcast(table)
+def linked(pairs: DataFrame, docs: DataFrame, first: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, n, m) whose sets are similar enough.
 
-    # a fixed-size filter drops most sets that no pair needs; what it lets through besides is dropped by the joins
-    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, once, flags = WordHash(), _Once(), bits.value
-        step = (1 << 64) // BLOCKS
-        edges = np.array([k * step for k in range(1, BLOCKS)], np.uint64)
+    Overlaps are summed over blocks of columns. After the first block a pair goes on only if the columns that one set has
+    there and the other lacks leave enough for the size-derived bound.
+    """
+    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(id_bits(first.join(sids.hint("merge"), "sid", "left_semi")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        once, flags = _Once(), bits.value
+        edges = np.array([k * ((1 << 64) // BLOCKS) for k in range(1, BLOCKS)], np.uint64)
         for b in batches:
             out = []
-            for text in b.text:
-                s = ngram_set(text, hashed, n)
-                if not len(s):
-                    continue
-                sid = _short(set_key(s))
-                bit = sid % FILTER
-                if int(flags[bit >> 6]) >> (bit & 63) & 1 and once(sid):
+            for text in passing(b, flags):
+                s = ngram_set(text, n)
+                if len(s) and once(sid := _short(set_key(s))):
                     out += [(sid, k, part.tobytes()) for k, part in enumerate(np.split(s, np.searchsorted(s, edges))) if len(part)]
-            if out:
-                yield pd.DataFrame(out, columns=["sid", "block", "grams"])
+            yield pd.DataFrame(out, columns=["sid", "block", "grams"])
 
-    sets = keep(docs.select("text").mapInPandas(chosen, "sid long, block int, grams binary").dropDuplicates(["sid", "block"]), "jaccard-grams")
-    both = pairs.join(sets.select(F.col("sid").alias("b"), "block", F.col("grams").alias("right")).hint("merge"), "b").join(sets.select(F.col("sid").alias("a"), "block", F.col("grams").alias("left")).hint("merge"), ["a", "block"])
+    # the bits drop most documents; what they let through besides is dropped by the joins
+    sets = keep(with_bits(docs).mapInPandas(run, "sid long, block int, grams binary").dropDuplicates(["sid", "block"]), "jaccard-grams")
+    side = lambda name, grams: sets.select(F.col("sid").alias(name), "block", F.col("grams").alias(grams))
 
     @F.pandas_udf("long")
     def shared(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(left, right)], dtype="int64")
-
-    return both.select("a", "b", "n", "m", shared("left", "right").alias("both")).groupBy("a", "b", "n", "m").agg(F.sum("both").alias("both"))
-
-
-def link_sets(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(a, b) of sids: links enough to connect all rows that links connect."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))
-    entries = keep(prefixes(docs, n, percent, shared), "jaccard-entries")
-    tops = entries.groupBy("token").agg(F.max("rank").alias("top"), F.min("sid").alias("low"), F.max("sid").alias("high")).where("low != high").select("token", "top")
-    columns = keep(entries.join(tops.hint("merge"), "token").dropDuplicates(["token", "sid"]), "jaccard-columns")
+        return pd.Series([0 if x is None or y is None else len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(left, right)], dtype="int64")
+
+    head = pairs.join(side("b", "right").where("block = 0").drop("block").hint("merge"), "b", "left").join(side("a", "left").where("block = 0").drop("block").hint("merge"), "a", "left")
+    size = lambda c: F.coalesce(F.octet_length(c) / 8, F.lit(0))
+    need = F.ceil(percent * (F.col("n") + F.col("m")) / F.lit(100 + percent))
+    head = head.select("a", "b", "n", "m", shared("left", "right").alias("both"), size("left").alias("in_a"), size("right").alias("in_b"))
+    head = keep(head.where((F.col("in_a") - F.col("both") <= F.col("m") - need) & (F.col("in_b") - F.col("both") <= F.col("n") - need)).select("a", "b", "n", "m", "both"), "jaccard-head")
+    tail = head.select("a", "b").join(side("b", "right").where("block > 0").hint("merge"), "b").join(side("a", "left").where("block > 0").hint("merge"), ["a", "block"])
+    more = tail.select("a", "b", shared("left", "right").alias("more")).groupBy("a", "b").agg(F.sum("more").alias("more"))
+    both = F.col("both") + F.coalesce("more", F.lit(0))
+    out = keep(head.join(more.hint("merge"), ["a", "b"], "left").where(100 * both >= percent * (F.col("n") + F.col("m") - both)).select("a", "b"), "jaccard-links")
+    forget(sets)
+    return out
+
+
+def link_sets(docs: DataFrame, first: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """(a, b) of sids: links enough to connect all rows that links connect. first: (sid, first), a document of each set."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    # one document of each set is enough, so copies are read and left out before anything is shuffled
+    one = docs.sparkSession.sparkContext.broadcast(id_bits(first))
+    entries = keep(prefixes(docs, n, percent, shared, one), "jaccard-entries")
+    place = F.col("at").bitwiseAND((1 << 32) - 1)
+    # the pivot of a column is the row in which the column stands first; equal ends mean that there is one row
+    lead = F.shiftleft(place, 33).bitwiseOR(F.col("sid").bitwiseAND((1 << 33) - 1))
+    tops = entries.groupBy("token").agg(F.min(lead).alias("top"), F.max(lead).alias("end")).where("top != end").select("token", "top")
+    columns = keep(entries.join(tops.hint("merge"), "token").dropDuplicates(["token", "sid"]).select("token", "sid", F.shiftright("at", 32).alias("n"), place.alias("place"), (lead == F.col("top")).alias("pivot")), "jaccard-columns")
     forget(entries)
-    pivot = columns.where(F.col("rank") == F.col("top")).select("token", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("place").alias("spot"))
-    linked = lambda p: keep(overlaps(p, docs, n).where(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b"), "jaccard-links")
+    pivot = columns.where("pivot").select("token", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("place").alias("spot"))
     pairs = keep(columns.join(pivot.hint("merge"), "token").where("sid != a").where(_may_link(percent)).select("a", F.col("sid").alias("b"), "n", "m").dropDuplicates(["a", "b"]), "jaccard-pairs")
-    links = linked(pairs)
+    links = linked(pairs, docs, first, n, percent)
     member = keep(components(links), "jaccard-members").select(F.col("node").alias("sid"), "component")
     placed = keep(columns.select("token", "sid", "n", "place").join(member.hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "jaccard-placed")
     open_ = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
@@ -210,34 +230,54 @@ def link_sets(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Data
     rest = left.join(right.hint("merge"), (left["token"] == right["token"]) & (F.col("a") < F.col("sid")) & (F.col("other") != F.col("component")) & _may_link(percent))
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = keep(rest.select("a", F.col("sid").alias("b"), "n", "m").dropDuplicates(["a", "b"]).join(tested.hint("merge"), ["a", "b"], "left_anti"), "jaccard-rest")
-    return links if more.isEmpty() else links.unionByName(linked(more))
+    if not more.isEmpty():
+        links = links.unionByName(linked(more, docs, first, n, percent))
+    for done in (columns, pairs, placed, left, more):  # the links are written
+        forget(done)
+    return links
 
 
-def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def cluster(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, sid, component, component_id of every row; sid and component name sets and are null without words."""
+    small_batches(docs.sparkSession)
     rows, counts = read_sets(docs, n)
     # a clash of two sets in the first 64 bits of their keys would join strangers: it is looked for and never passed over
     clash = rows.where("sid is not null").groupBy("sid").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high")
     if not clash.isEmpty():
         raise ValueError("two different n-gram sets have the same 64-bit key")
-    member = components(link_sets(docs, n, percent, counts))
-    least = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
+    least = keep(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first")), "jaccard-first")
+    member = components(link_sets(docs, least, n, percent, counts))
     placed = least.join(member.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     placed = keep(placed, "jaccard-least")
     names = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    names = placed.select("sid", "component").join(names.hint("merge"), "component").select("sid", "component_id")
-    return rows.join(names.hint("merge"), "sid", "left").select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    names = placed.select("sid", "component").join(names.hint("merge"), "component").select("sid", "component", "component_id")
+    out = rows.join(names.hint("merge"), "sid", "left")
+    return out.select("doc_id", "n_shingles", "sid", "component", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return cluster(docs, n, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Of each group that links connect one row stays: the least doc_id, of equal ids the least text. Rows without words stay, each of them."""
+    """Of each group that links connect one row stays: the one with the least doc_id. Rows without words stay, each of them.
+
+    Rows of one id count as one document, of which the row with the least text hash is taken. A group of null ids only keeps one of its rows.
+    """
     names = docs.columns
-    found = join_documents(docs, n, percent)
-    kept = found.where("n_shingles > 0 and (component_id = doc_id or component_id is null)").select("doc_id").distinct()
+    found = keep(cluster(docs, n, percent), "jaccard-clusters")
     empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    a = docs.where(empty)
-    b = docs.where(~empty).withColumn("_tie", F.xxhash64("text"))
-    b = b.join(kept.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # repeated rows of one id are told apart by their text; all of them that are equal are one
-    b = b.dropDuplicates(["doc_id", "_tie"]).select(*names)
-    return b.unionByName(a.select(*names))
+    kept = found.where("sid is not null and component_id = doc_id").select("doc_id").distinct()
+    # the window has the join's partitioning, so texts are shuffled once
+    by_id = docs.where(~empty & F.col("doc_id").isNotNull()).join(kept.hint("merge"), "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    by_id = by_id.withColumn("_n", first).where("_n = 1").select(*names)
+
+    @F.pandas_udf("long")
+    def sid(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: _short(set_key(ngram_set(t, n)))).astype("int64")
+
+    free = found.where("sid is not null and component_id is null").groupBy("component").agg(F.min("sid").alias("_sid")).select("_sid")
+    nameless = docs.where(~empty & F.col("doc_id").isNull()).withColumn("_sid", sid("text")).join(free.hint("merge"), "_sid", "left_semi").dropDuplicates(["_sid"]).select(*names)
+    return by_id.unionByName(nameless).unionByName(docs.where(empty))
