@@ -116,6 +116,15 @@ def _distance(prefix: str = "") -> Column:
     return total
 
 
+#: Up to so many groups (21 doubles each) their table is broadcast; beyond it both sides are shuffled.
+MOST_BROADCAST = 5000
+
+
+def attach(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the columns of their group (grp). groups is a written table, so its size is known."""
+    return rows.join(F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups.hint("merge"), "grp", how)
+
+
 def robust_groups(stats: DataFrame, steps: int = 4, share: float = 0.75) -> DataFrame:
     """Minimum-covariance-determinant estimates of each group of rows (grp, statistics)."""
     long = stats.select("grp", F.posexplode(F.array(*STATS)).alias("dim", "x"))
@@ -123,9 +132,9 @@ def robust_groups(stats: DataFrame, steps: int = 4, share: float = 0.75) -> Data
     diagonal = {f"l{i}{j}": F.lit(FLOORS[i] if i == j else 0.0) for i in range(_P) for j in range(i + 1)}
     now = keep(medians.withColumns(diagonal), "mcd")
     for _ in range(steps):
-        near = stats.join(now.hint("merge"), "grp").withColumn("d", F.log(_distance() + 1e-6))
-        edge = _bin_quantile(near, ["grp"], F.col("d"), share, 0.05)
-        inside = near.join(edge.hint("merge"), "grp").where("d <= q + 0.025").select("grp", *STATS)
+        near = attach(stats, now).withColumn("d", F.log(_distance() + 1e-6))
+        edge = keep(_bin_quantile(near, ["grp"], F.col("d"), share, 0.05), "mcd-edge")
+        inside = attach(near, edge).where("d <= q + 0.025").select("grp", *STATS)
         now = keep(_estimates(inside), "mcd")
     return now
 
@@ -137,8 +146,9 @@ def judge(docs: DataFrame, cutoff: float = 40.0, min_rows: int = 200, steps: int
     usable = stats.where("not base_failed")
     rows = usable.select(F.explode(F.array(F.col("own"), F.lit("*"))).alias("grp"), *STATS)
     groups = keep(robust_groups(rows, steps).join(rows.groupBy("grp").agg(F.count("*").alias("rows")).hint("merge"), "grp"), "groups")
-    large = groups.where((F.col("rows") >= min_rows) | (F.col("grp") == "*"))
-    sizes = groups.select(F.col("grp").alias("own"), F.when(F.col("rows") >= min_rows, F.col("grp")).otherwise(F.lit("*")).alias("grp"))
-    placed = stats.join(sizes.hint("merge"), "own", "left").withColumn("grp", F.coalesce("grp", F.lit("*")))
-    far = placed.join(large.hint("merge"), "grp", "left").withColumn("distance", _distance())
+    # each row's own group if that is large enough, else that of all rows
+    large = groups.where((F.col("rows") >= min_rows) & (F.col("grp") != "*")).select(F.col("grp").alias("own")).distinct()
+    placed = stats.join(F.broadcast(large) if groups.count() <= MOST_BROADCAST else large.hint("merge"), stats["own"] == large["own"], "left")
+    placed = placed.select(*[stats[c] for c in stats.columns], F.coalesce(large["own"], F.lit("*")).alias("grp"))
+    far = attach(placed, groups, "left").withColumn("distance", _distance())
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"), "distance")
