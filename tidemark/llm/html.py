@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Element names of HTML.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object"}
 NEVER = RAW | {"head", "nav", "footer", "aside", "form", "menu", "button", "select", "dialog"}
@@ -43,6 +45,7 @@ _NOT_CONTENT = re.compile(
 )
 _ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|alert|alertdialog|dialog|menu|menubar|form)$", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)|([^<]+|<)", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][\w:-]*)([^>]*)(>|\Z)()", re.S)
 _ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _BARE = re.compile(r"\bhidden\b", re.I)
 
@@ -61,8 +64,8 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             raw = ""
             continue
         m = _TOKEN.match(page, position)
-        if not m:  # a tag that its quotes leave open
-            m = re.compile(r"<(/?)([a-zA-Z][\w:-]*)([^>]*)(>|\Z)()", re.S).match(page, position)
+        if m[5] == "<":  # a tag that its quotes leave open, or a plain sign
+            m = _LOOSE.match(page, position) or m
         position = m.end()
         if m[2]:
             name = m[2].lower()
@@ -161,9 +164,13 @@ def extract(page: str | None, weight: dict[str, float], never: frozenset[str]) -
             if not walk.off:
                 parts.append((weight.get(walk.context(), 0.8) * len(key.split()), key))
         else:
-            off = walk.off
+            off, inside = walk.off, walk.inside
             walk.step(kind, name, key)
             score = weight.get("<" + key.lstrip("!"), -0.3)
+            if inside and walk.inside:  # within a content element tags part nothing
+                score = max(score, -0.05)
+            if off and walk.off:  # nor do tags of an element that is left out
+                continue
             if name in BLOCKS:
                 parts.append((score, None))
             elif name == "br" and not walk.off:
@@ -209,6 +216,7 @@ def learn(pages: DataFrame, sample_rows: int = 2000, max_keys: int = 20_000) ->
 
 def main_text(pages: DataFrame, sample_rows: int = 2000) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
+    small_batches(pages.sparkSession)
     weight, never = learn(pages, sample_rows)
 
     @F.pandas_udf("string")

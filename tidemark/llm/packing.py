@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, small_batches
 
 LIMIT, END_ID = 4096, 1
 _RUNS_KEPT = 700_000
@@ -118,11 +118,13 @@ def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]
-                    rows.append((uid, None if pd.isna(doc_id) else int(doc_id), piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                    rows.append((uid, doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
                     uid += 1
-            yield pd.DataFrame(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    # ids travel as strings: pandas would make floats of numbers with nulls
+    pieces = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(cut, "uid long, doc_id string, piece int, start long, length long, ids_crc32 long")
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def best_fit(lengths: list[int], limit: int) -> tuple[list[int], list[int]]:
@@ -167,6 +169,7 @@ def _round(items: DataFrame, number: int, tasks: int, limit: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = LIMIT, end_id: int = END_ID, slack: int = 8, items_per_task: int = 100_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece; bins with at most ``slack`` free tokens are final at once."""
+    small_batches(docs.sparkSession)
     pieces = keep(token_pieces(docs, tokenizer, limit, end_id), "pieces")
     items = pieces
     left, number, maps = pieces.count(), 1, []

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import small_batches, words_of
 
 DIMENSIONS = 1 << 18
 _EDGE = re.compile(r"[\W\d_]+$|^[\W\d_]+")
@@ -161,4 +161,5 @@ def score(docs: DataFrame, model: OrdinalModel, min_tail: float = 0.5) -> DataFr
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000, min_tail: float = 0.5) -> DataFrame:
+    small_batches(docs.sparkSession)
     return score(docs, train(docs, labels, sample_rows), min_tail)
