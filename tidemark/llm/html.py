@@ -197,8 +197,11 @@ def extract(page: str | None, weight: dict[str, float], never: frozenset[str]) -
 
 
 def learn(pages: DataFrame, sample_rows: int = 2000, max_keys: int = 20_000) -> tuple[dict[str, float], frozenset[str]]:
-    """Weights from at most ``sample_rows`` labelled pages (least seeded hashes) and their ``max_keys`` most frequent keys."""
-    labelled = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b")).select("html").orderBy(F.xxhash64("page_id", F.lit(3)), F.xxhash64("html")).limit(sample_rows)
+    """Weights from the labelled pages of at most ``sample_rows`` ids (least seeded hashes) and their ``max_keys`` most frequent keys."""
+    # ids are chosen first, so no task gathers pages; the chosen ones are sample_rows at most and may be broadcast
+    marked = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b") & F.col("page_id").isNotNull())
+    chosen = marked.select("page_id").distinct().orderBy(F.xxhash64("page_id", F.lit(3)), "page_id").limit(sample_rows)
+    labelled = marked.select("page_id", "html").join(F.broadcast(chosen), "page_id").select("html")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
