@@ -48,6 +48,14 @@ def test_query(spark, con, name):
     assert rows == sorted((tuple(norm(r[i]) for i in at) for r in cur.fetchall()), key=repr)
 
 
+def test_every_chunk_has_a_window(spark):
+    from pyspark.sql import functions as F
+
+    out = QUERIES["p19_slice_pcm"](spark, SF).collect()
+    chunks = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("label").cast("long"), "vec_id").collect()
+    assert sorted((r.title_id, r.seq) for r in out) == sorted(map(tuple, chunks)) and {r.n for r in out} == {320}
+
+
 def test_contract(spark):
     import __spark_entry__ as e
 

@@ -148,5 +148,5 @@ def p19_slice_pcm(spark, sf_dir):
     from ..plans.signals import slice_pcm
 
     chunks = pcm(spark, sf_dir)
-    w = chunks.where("chunk % 10 = 0").select("title_id", C("chunk").alias("seq"), (C("start_ms") + 5).alias("start_ms"), (C("start_ms") + 25).alias("end_ms"))
+    w = chunks.select("title_id", C("chunk").alias("seq"), (C("start_ms") + 5).alias("start_ms"), (C("start_ms") + 25).alias("end_ms"))
     return slice_pcm(chunks, w).select("title_id", "seq", F.size("samples").alias("n"))
