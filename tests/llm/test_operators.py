@@ -296,6 +296,18 @@ def test_rules_reject_outliers(spark):
     assert all(out[i] for i in range(500)) and not any(out[1000 + i] for i in range(8))
 
 
+def test_rules_reject_by_one_statistic(spark):
+    """Where a group has no symbols and no repeats, 5 % symbols, 40 % repeated lines or 45 % repeated words are far out each; 5 % repeated lines are not."""
+    lines = lambda n, twice, seed: "\n".join([*(prose(10, 1000 * seed + k) for k in range(n)), *(prose(10, 1000 * seed) for _ in range(twice))])
+    rows = [(i, lines(10 + i % 5, 0, i + 1), "en", "s", 0) for i in range(300)]
+    symbols = prose(120, 900).split(" ")
+    symbols = " ".join(w + "#" if i % 6 == 0 else w for i, w in enumerate(symbols))
+    odd = [symbols, lines(12, 8, 901), prose(66, 902) + " a b c" * 18, lines(19, 1, 903)]
+    out = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows + [(1000 + i, t, "en", "s", 0) for i, t in enumerate(odd)], SCHEMA)).collect()}
+    assert not any(out[1000 + i].base_failed for i in range(4)) and [out[1000 + i].kept for i in range(4)] == [False, False, False, True]
+    assert sum(out[i].kept for i in range(300)) == 300
+
+
 def test_mcd_step_by_numpy(spark):
     """Mean, covariance and distance agree with numpy on the rows that a step takes."""
     r = np.random.default_rng(1)

@@ -4,12 +4,15 @@ Each text gives a vector of transformed statistics. Per language and source a
 minimum-covariance-determinant estimate is made: start from the rows nearest
 the coordinatewise median, then repeat concentration steps (mean and covariance
 of the 75 % of rows with the smallest Mahalanobis distance). Rows farther than
-``cutoff`` (squared distance) from their group's estimate are rejected. Groups
+``cutoff`` (squared distance; 20.5 is the 0.999 quantile of chi-square with five
+degrees of freedom) from their group's estimate are rejected. Groups
 with fewer than ``min_rows`` usable rows use the estimate of all rows together.
 
 Order statistics come from counts in fixed fine bins, so that a group with a
-third of all rows needs no single task. Every statistic has a least standard
-deviation, so that one that never varies in a group rejects nobody by a hair.
+third of all rows needs no single task. The square of a floor is added to each
+variance, so that a statistic that never varies in a group rejects nobody by a
+hair; by itself it still rejects at 4.5 floors from the mean: over 2 % symbols
+or 30 % repeated lines or words where the group has none.
 
 Null and empty texts have no words: all counts 0, base_failed, not kept.
 Repeated rows are judged alike. Other columns stay out of the result. An empty
@@ -25,7 +28,7 @@ from .common import keep, words_col
 
 STATS = ("s_words", "s_length", "s_symbols", "s_lines", "s_repeats")
 #: Least standard deviation of each statistic.
-FLOORS = (0.35, 0.10, 0.06, 0.12, 0.12)
+FLOORS = (0.35, 0.10, 0.03, 0.12, 0.12)
 #: Scale of the covariance of the nearest 75 % of 5-variate normal rows: 0.75 / P(chi2 with 7 df <= 6.626).
 CONSISTENCY = 1.41
 _P = len(STATS)
@@ -88,7 +91,7 @@ def _bin_quantile(rows: DataFrame, by: list[str], value: Column, share: float, s
 
 
 def _estimates(rows: DataFrame) -> DataFrame:
-    """grp, mean m0.. and the Cholesky factor l00.. of the covariance, with each variance at its floor at least."""
+    """grp, mean m0.. and the Cholesky factor l00.. of the covariance, the square of its floor added to each variance."""
     moments = [F.avg(s).alias(f"m{i}") for i, s in enumerate(STATS)]
     moments += [F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in range(_P) for j in range(i + 1)]
     out = rows.groupBy("grp").agg(*moments)
@@ -139,7 +142,7 @@ def robust_groups(stats: DataFrame, steps: int = 4, share: float = 0.75) -> Data
     return now
 
 
-def judge(docs: DataFrame, cutoff: float = 40.0, min_rows: int = 200, steps: int = 4) -> DataFrame:
+def judge(docs: DataFrame, cutoff: float = 20.5, min_rows: int = 200, steps: int = 4) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the squared distance of every row."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     stats = keep(vectors(base_stats(docs)).withColumn("own", F.concat(name("lang"), F.lit("\n"), name("source"))), "stats")
