@@ -308,6 +308,14 @@ def test_rules_reject_by_one_statistic(spark):
     assert sum(out[i].kept for i in range(300)) == 300
 
 
+def test_rules_judge_small_groups_by_their_own_estimate(spark):
+    """A language of 40 rows in which one word in six ends in a symbol is no outlier there; it would be among the other 300."""
+    marked = lambda t: " ".join(w + "#" if i % 6 == 0 else w for i, w in enumerate(t.split(" ")))
+    rows = [(i, prose(100 + i % 40, i), "en", "s", 0) for i in range(300)] + [(1000 + i, marked(prose(100 + i, 700 + i)), "de", "s", 0) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert rules.judge(df).where("kept").count() == 340 and rules.judge(df, min_rows=41).where("kept").count() == 300
+
+
 def test_mcd_step_by_numpy(spark):
     """Mean, covariance and distance agree with numpy on the rows that a step takes."""
     r = np.random.default_rng(1)

@@ -142,7 +142,7 @@ def robust_groups(stats: DataFrame, steps: int = 4, share: float = 0.75) -> Data
     return now
 
 
-def judge(docs: DataFrame, cutoff: float = 20.5, min_rows: int = 200, steps: int = 4) -> DataFrame:
+def judge(docs: DataFrame, cutoff: float = 20.5, min_rows: int = 25, steps: int = 4) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the squared distance of every row."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     stats = keep(vectors(base_stats(docs)).withColumn("own", F.concat(name("lang"), F.lit("\n"), name("source"))), "stats")
