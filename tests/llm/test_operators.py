@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark.llm import components, fingerprints, html, jaccard, mixing, packing, quality, rules, substrings, urls, warc
+from tidemark.llm import components, fingerprints, html, jaccard, mixing, packing, quality, queries, rules, substrings, urls, warc
 from tidemark.llm.common import WORDS, hash_words, utf8_words, words_of
 
 random.seed(5)
@@ -368,6 +368,30 @@ def test_merkle_audit(spark):
     assert warc.audit(held.limit(0), replica).count() == 0
 
 
+def test_audit_finds_extra_records(spark):
+    pages = spark.createDataFrame([(i, "u", str(i)) for i in range(50)], "page_id long, url string, html string")
+    held = warc.manifest(pages, per_file=20)
+    more = spark.createDataFrame([(0, 20, "a"), (1, 90, "b"), (9, 3, "c")], "file long, place long, digest string")
+    out = rows_of(warc.audit(held, held.select("file", "place", "digest").unionByName(more), fanout=4), "file", "place", "length", "page_id", "digest", "replica_digest")
+    assert out == [(0, 20, None, None, "missing", "a"), (1, 90, None, None, "missing", "b"), (9, 3, None, None, "missing", "c")]
+
+
+def test_fixity_of_null_and_repeated_ids(spark, tmp_path):
+    """Rows with null or repeated ids are held against their own record of the replica."""
+    rows = [(i, f"http://x/{i}", f"body of {i}") for i in range(300)] + [(None, f"http://n/{k}", f"null {k}") for k in range(5)] + [(i, f"http://y/{k}", f"again {k}") for i in (1, 3, 5) for k in range(4)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = collections.Counter()
+    for i, url, body in rows:
+        kind, half = hashlib.md5(b"" if i is None else str(i).encode()).hexdigest()[:2], len(body) // 2
+        copy = body[:half] + "~" + body[half + 1 :] if kind in ("00", "01", "02") else body[:half] if kind == "03" else body
+        record = lambda b: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Target-URI: {url}\r\nContent-Type: text/html\r\nContent-Length: {len(b)}\r\n\r\n{b}\r\n\r\n"  # noqa: E731, B023
+        a, b = (hashlib.sha256(record(x).encode()).hexdigest() for x in (body, copy))
+        if kind == "04" or a != b:
+            want[(i, a, "missing" if kind == "04" else b)] += 1
+    out = queries.op9_warc_fixity(spark, str(tmp_path)).collect()
+    assert want and collections.Counter((r.page_id, r.digest, r.replica_digest) for r in out) == want
+
+
 def test_read_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "héllo"), (2, "http://b/", "")], "page_id long, url string, html string")
     from pyspark.sql import functions as F

@@ -60,10 +60,9 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(F.length("html") / 2).cast("int")
     altered = F.concat(F.substring("html", 1, half), F.lit("~"), F.expr("substring(html, int(floor(length(html) / 2)) + 2)"))
     body = F.when(kind.isin("00", "01", "02"), altered).when(kind == "03", F.substring("html", 1, half)).otherwise(F.col("html"))
-    held = warc.manifest(pages)
-    digests = pages.select("page_id", F.sha2(F.encode(warc.record_text(F.col("page_id"), F.col("url"), F.coalesce(body, F.lit(""))), "utf-8"), 256).alias("d"), kind.alias("kind"))
-    replica = held.select("file", "place", "page_id").join(digests.where("kind != '04'").hint("merge"), "page_id").select("file", "place", F.col("d").alias("digest"))
-    return warc.audit(held, replica)
+    copy = F.sha2(F.encode(warc.record_text(F.col("page_id"), F.col("url"), F.coalesce(body, F.lit(""))), "utf-8"), 256)
+    held = warc.manifest(pages, copy=F.when(kind != "04", copy))
+    return warc.audit(held.drop("copy_digest"), held.where("copy_digest is not null").select("file", "place", F.col("copy_digest").alias("digest")))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

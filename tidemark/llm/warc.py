@@ -7,9 +7,10 @@ agree if their roots do; where they differ, only the children of differing
 nodes are compared, level by level, down to the records and their byte ranges.
 
 A replica's records take the places that the primary's manifest gives them; a
-record it lacks counts as the digest ``missing``, and so does a whole file.
+record that one side lacks counts there as the digest ``missing``, and so does a
+whole file. Records that only the replica holds have no offset, length and id.
 Null urls and bodies are written as empty; repeated rows are records of their
-own, told apart by their place. An empty table has no trees and no findings.
+own, told apart by their place. An empty manifest has no trees and no findings.
 """
 
 from __future__ import annotations
@@ -34,13 +35,16 @@ def record_text(page_id: Column, url: Column, body: Column) -> Column:
     )
 
 
-def manifest(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """file, place, offset, length, page_id, digest: a file holds the pages of ``per_file`` consecutive ids; null ids are file -1."""
+def manifest(pages: DataFrame, per_file: int = PER_FILE, copy: Column | None = None) -> DataFrame:
+    """file, place, offset, length, page_id, digest: a file holds the pages of ``per_file`` consecutive ids; null ids are file -1.
+
+    copy: the digest of a row's record in a replica, null where it lacks the record; carried along as copy_digest.
+    """
     body = F.coalesce(F.col("html"), F.lit(""))
     record = record_text(F.col("page_id"), F.col("url"), body)
-    rows = pages.select("page_id", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("long").alias("file"), F.octet_length(record).cast("long").alias("length"), F.sha2(F.encode(record, "utf-8"), 256).alias("digest"))
-    order = Window.partitionBy("file").orderBy("page_id", "digest")
-    return rows.select("file", (F.row_number().over(order) - 1).cast("long").alias("place"), (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "page_id", "digest")
+    rows = pages.select("page_id", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("long").alias("file"), F.octet_length(record).cast("long").alias("length"), F.sha2(F.encode(record, "utf-8"), 256).alias("digest"), *([] if copy is None else [copy.alias("copy_digest")]))
+    order = Window.partitionBy("file").orderBy("page_id", "digest", *rows.columns[4:])
+    return rows.select("file", (F.row_number().over(order) - 1).cast("long").alias("place"), (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "page_id", "digest", *rows.columns[4:])
 
 
 def levels(leaves: DataFrame, top: int, fanout: int = FANOUT) -> list[DataFrame]:
@@ -55,16 +59,19 @@ def levels(leaves: DataFrame, top: int, fanout: int = FANOUT) -> list[DataFrame]
 
 
 def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Damaged records: file, place, offset, length, page_id, digest, replica_digest.
+    """Records that differ: file, place, offset, length, page_id, digest, replica_digest.
 
     primary: a manifest; replica: (file, place, digest), without the records it lacks.
     """
     primary = keep(primary, "manifest")
     held = replica.select(F.col("file").alias("f"), F.col("place").alias("p"), F.col("digest").alias("d"))
-    leaves = primary.join(held.hint("merge"), (F.col("file") == F.col("f")) & (F.col("place") == F.col("p")), "left").select("file", "place", F.coalesce("d", F.lit("missing")).alias("digest"))
-    leaves = keep(leaves, "replica")
-    top = primary.agg(F.max("place")).first()[0] or 0
-    ours, theirs = levels(primary, top, fanout), levels(leaves, top, fanout)
+    if primary.isEmpty():
+        held = held.limit(0)
+    # both trees have the places that either side holds
+    both = primary.join(held.hint("merge"), (F.col("file") == F.col("f")) & (F.col("place") == F.col("p")), "full")
+    both = keep(both.select(F.coalesce("file", "f").alias("file"), F.coalesce("place", "p").alias("place"), F.coalesce("digest", F.lit("missing")).alias("digest"), F.coalesce("d", F.lit("missing")).alias("replica")), "replica")
+    top = both.agg(F.max("place")).first()[0] or 0
+    ours, theirs = levels(both, top, fanout), levels(both.select("file", "place", F.col("replica").alias("digest")), top, fanout)
     differing = None
     for a, b in zip(reversed(ours), reversed(theirs)):
         b = b.select("file", "place", F.col("digest").alias("replica_digest"))
@@ -76,7 +83,7 @@ def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataF
         differing = keep(a.select("file", "place", "digest").join(b.hint("merge"), ["file", "place"]).where("digest != replica_digest"), "differing")
         if before is not None:
             forget(before)
-    return primary.join(differing.select("file", "place", "replica_digest").hint("merge"), ["file", "place"]).select("file", "place", "offset", "length", "page_id", "digest", "replica_digest")
+    return differing.join(primary.drop("digest").hint("merge"), ["file", "place"], "left").select("file", "place", "offset", "length", "page_id", "digest", "replica_digest")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
