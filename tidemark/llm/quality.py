@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, words_of
+from .common import forget, keep, small_batches, words_of
 
 DIMENSIONS = 1 << 18
 _EDGE = re.compile(r"[\W\d_]+$|^[\W\d_]+")
@@ -87,22 +87,28 @@ class Featurizer:
 
 def fit(rows: list[tuple[np.ndarray, int]], grades: int = 3, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, min_docs: int = 8) -> OrdinalModel:
     """Cumulative-link fit by penalised maximum likelihood. rows: (feature slots, grade); slots of fewer than min_docs rows keep weight 0."""
+    sizes = np.array([len(x) for x, _ in rows], np.int64)
+    index = np.concatenate([np.asarray(x, np.int32) for x, _ in rows]) if rows else np.zeros(0, np.int32)
+    return fit_packed(index, sizes, np.array([g for _, g in rows], np.int64), grades, steps, rate, decay, min_docs)
+
+
+def fit_packed(index: np.ndarray, sizes: np.ndarray, grade: np.ndarray, grades: int = 3, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, min_docs: int = 8) -> OrdinalModel:
+    """The same from compressed rows: all slots one after the other, and how many each row has."""
     theta = np.linspace(-1.0, 1.0, grades - 1) if grades > 2 else np.zeros(grades - 1)
     w = np.zeros(DIMENSIONS)
-    if not rows or len({g for _, g in rows}) < 2:
+    if len(np.unique(grade)) < 2:
         return OrdinalModel(w.astype(np.float32), theta - 30)
-    index = np.concatenate([x for x, _ in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
-    often = np.bincount(index, minlength=DIMENSIONS)[index] >= min_docs
-    used, index = np.unique(index[often], return_inverse=True)
-    doc = doc[often]
-    grade = np.array([g for _, g in rows])
+    often = np.bincount(index, minlength=DIMENSIONS) >= min_docs
+    place = np.cumsum(often, dtype=np.int32) - 1  # of each frequent slot among them
+    used = np.flatnonzero(often)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[often[index]]
+    index = place[index[often[index]]]
     v, m, s = (np.zeros(len(used) + grades - 1) for _ in range(3))
     v[len(used) :] = theta
     upper, lower = np.minimum(grade, grades - 2), np.maximum(grade - 1, 0)
-    at = np.arange(len(rows))
+    at = np.arange(len(sizes))
     for step in range(1, steps + 1):
-        score = np.bincount(doc, v[index], len(rows))
+        score = np.bincount(doc, v[index], len(sizes))
         tail = 1 / (1 + np.exp(-np.clip(score[:, None] - np.sort(v[len(used) :])[None, :], -30, 30)))
         # P(grade = g) = tail[g-1] - tail[g], with tail[-1] = 1 and tail[last] = 0
         hi = np.where(grade > 0, tail[at, lower], 1.0)
@@ -111,9 +117,9 @@ def fit(rows: list[tuple[np.ndarray, int]], grades: int = 3, steps: int = 200, r
         d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
         d_score = d_hi - d_lo
         g = np.empty_like(v)
-        g[: len(used)] = -np.bincount(index, d_score[doc], len(used)) / len(rows) + decay * v[: len(used)]
+        g[: len(used)] = -np.bincount(index, d_score[doc], len(used)) / len(sizes) + decay * v[: len(used)]
         for k in range(grades - 1):
-            g[len(used) + k] = (d_hi * ((lower == k) & (grade > 0)) - d_lo * ((upper == k) & (grade < grades - 1))).sum() / len(rows)
+            g[len(used) + k] = (d_hi * ((lower == k) & (grade > 0)) - d_lo * ((upper == k) & (grade < grades - 1))).sum() / len(sizes)
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
     w[used] = v[: len(used)]
@@ -125,20 +131,49 @@ def grade_col(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 0).when(quality == 0, 1).when(quality == 1, 2).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000, seed: int = 7) -> OrdinalModel:
-    """Fit on at most ``sample_rows`` labelled documents: those with the smallest seeded hash of their id."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000, seed: int = 7, min_docs: int = 8) -> OrdinalModel:
+    """Fit on at most ``sample_rows`` labelled documents: those with the smallest seeded hash of their id, of rows with one id the text with the least hash.
+
+    Document frequencies are counted by Spark, and slots of fewer than ``min_docs`` rows are dropped there. The driver gets one
+    packed row for each document of the sample, of at most ``DIMENSIONS`` slots in four bytes each.
+    """
     rated = labels.select("doc_id", grade_col(F.col("quality"), F.col("toxic")).alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     sample = rated.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_rows)
+    # the sample has at most sample_rows rows of 12 bytes, so it may be broadcast; repeats of an id are reduced before the shuffle
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = Featurizer()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "grade": b.grade, "slots": [make(t).astype(np.int32) for t in b.text]})
+            yield pd.DataFrame({"doc_id": b.doc_id, "grade": b.grade, "slots": [np.sort(make(t)).astype("<i4").tobytes() for t in b.text]})
 
-    # the sample has at most sample_rows rows of 12 bytes, so it may be broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(features, "doc_id long, grade int, slots array<int>")
-    rows = sorted(((r[0], r[1], tuple(r[2])) for r in found.collect()))
-    return fit([(np.array(s, np.int64), g) for _, g, s in rows])
+    rows = keep(found.mapInPandas(features, "doc_id long, grade int, slots binary"), "ordinal-rows")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(DIMENSIONS, np.int64)
+        for b in batches:
+            for slots in b.slots:
+                seen[np.frombuffer(slots, "<i4")] += 1
+        slot = np.flatnonzero(seen)
+        yield pd.DataFrame({"slot": slot, "n": seen[slot]})
+
+    often = np.zeros(DIMENSIONS, bool)
+    for r in rows.select("slots").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("slot").toLocalIterator():
+        often[r.slot] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(often))  # a bit for each slot
+
+    @F.pandas_udf("binary")
+    def frequent(slots: pd.Series) -> pd.Series:
+        on = np.unpackbits(shared.value).astype(bool)
+        return slots.map(lambda x: (s := np.frombuffer(x, "<i4"))[on[s]].tobytes())
+
+    fetched = rows.select("doc_id", "grade", frequent("slots").alias("slots")).toArrow().sort_by("doc_id")
+    shared.destroy()
+    forget(rows)
+    assert fetched.num_rows <= sample_rows
+    slots = fetched["slots"].to_pylist()
+    sizes = np.array([len(s) // 4 for s in slots], np.int64)
+    return fit_packed(np.frombuffer(b"".join(slots), "<i4"), sizes, fetched["grade"].to_numpy().astype(np.int64), min_docs=1)
 
 
 def score(docs: DataFrame, model: OrdinalModel, min_tail: float = 0.5) -> DataFrame:
