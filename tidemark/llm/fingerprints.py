@@ -11,17 +11,21 @@ null, it has none and its fingerprint is empty. Likeness is the Jaccard
 similarity of the sets of hashes, 1 for two empty sets.
 
 The order of documents is by descending doc_id, equal ids by text hash, null
-ids last; rows are dealt by ranges of doc_id, each range also gets a copy of
-the first row of the next one, so the next document is found inside a range.
-Other columns stay out of the result; an empty table gives no rows.
+ids last; rows are dealt by ranges of doc_id (rows of a frequent id, or of null
+ids, by their text hash besides), each range also gets a copy of the first row
+of the next one, so the next document is found inside a range. Very long texts
+are taken whole, up to 2**28 words. Other columns stay out of the result; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words_col
+from .common import keep, words_col
 
 K, W = 5, 8
 _POS = 28
@@ -71,30 +75,58 @@ def add_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     return b.select(*kept, select("_values").alias(out))
 
 
+def _range_of(doc_id: Column, tops: list[int]) -> Column:
+    """How many of the descending tops are not below an id: a binary search in one constant array."""
+    table = F.split(F.lit(",".join(map(str, tops))), ",").cast("array<long>")
+    steps = [1 << k for k in reversed(range(len(tops).bit_length()))]
+    onward = lambda at, step: F.coalesce(F.get(table, at + step - 1) >= doc_id, F.lit(False))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: at + F.when(onward(at, step), step).otherwise(0))
+
+
+def deal(slim: DataFrame, ranges: int) -> DataFrame:
+    """slim with part: numbers of ranges in the order of documents, of about equally many rows each.
+
+    A quantile of the ids that comes k times is an id with k ranges' rows; its rows are dealt into k parts by their tie, as
+    are those of null ids, so no id is one part.
+    """
+    rows, nulls = slim.agg(F.count("*"), F.count("*") - F.count("doc_id")).first()
+    found = slim.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()[0]
+    times = Counter(map(int, found or []))
+    tops = sorted(times, reverse=True)
+    starts = [0]  # first part of the range above all tops, then of each range; a range of a frequent id has parts for it alone
+    for t in tops:
+        starts.append(starts[-1] + (1 if len(starts) == 1 else width))
+        width = times[t] + 1 if times[t] > 1 else 1
+    last = starts[-1] + (width if tops else 1)
+    slots = -(-ranges * nulls // rows) if nulls else 1
+    slot = lambda k: F.least(k - 1, F.floor((F.col("tie") / 2.0**64 + 0.5) * k)).cast("int")
+    if not tops:
+        return slim.withColumn("part", slot(F.lit(slots)))
+    constant = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<long>")
+    dealt = slim.withColumn("r", _range_of(F.col("doc_id"), tops))
+    own, k = F.get(constant([0, *tops]), F.col("r")) == F.col("doc_id"), F.get(constant([1, *(times[t] for t in tops)]), F.col("r")).cast("int")
+    inside = F.when(F.col("r") == 0, 0).when(k == 1, 0).when(own, slot(k)).otherwise(k)
+    part = F.when(F.col("doc_id").isNull(), F.lit(last) + slot(F.lit(slots))).otherwise(F.get(constant(starts), F.col("r")) + inside)
+    return dealt.select(*slim.columns, part.cast("int").alias("part"))
+
+
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Rows with their next_text (null: empty) and copies of range heads, by descending doc_id; the last row is followed by the first."""
-    ranges = min(2000, ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    found = slim.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 20 * ranges)).first()[0]
-    bounds = sorted(set(found or []), reverse=True)
-    # range 0 has the largest ids; a null id goes to the last range
-    place = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]).cast("array<long>"), lambda b: F.col("doc_id") <= b)))
-    dealt = slim.withColumn("part", place.cast("int"))
-    # the first row of each range: at most one id for each range, so it may be collected and matched by value
-    tops = sorted(dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect(), key=lambda r: r.part)
-    if not tops:
-        return slim.select("doc_id", "text", F.lit(False).alias("copy"), F.lit(0).alias("part"), "tie", F.lit("").alias("next_text"))
-    parts = [r.part for r in tops]
-    before = dict(zip(parts[1:] + parts[:1], parts))
-    heads = F.lit(False)
-    for r in tops:
-        heads = heads | ((F.col("part") == r.part) & F.col("doc_id").eqNullSafe(F.lit(r.top).cast("long")))
-    into = F.create_map(*[F.lit(x) for p in before for x in (p, before[p])])
-    first = Window.partitionBy("part").orderBy("tie")
-    copies = dealt.where(heads).withColumn("_k", F.row_number().over(first)).where("_k = 1").select("doc_id", "text", "tie", into[F.col("part")].cast("int").alias("part"), F.lit(True).alias("copy"))
-    line = Window.partitionBy("part").orderBy("copy", F.desc_nulls_last("doc_id"), "tie")
+    dealt = deal(slim, ranges)
+    # the first row of each part: the largest id, nulls last, then the least tie; each goes into the part before, the first into the last
+    head = F.max(F.struct("doc_id", F.bitwise_not("tie").alias("not_tie"))).alias("head")
+    heads = dealt.groupBy("part").agg(head)
+    line = Window.orderBy("part")  # one row for each part
+    heads = heads.select("part", "head.doc_id", F.bitwise_not("head.not_tie").alias("tie"), F.coalesce(F.lag("part").over(line), F.max("part").over(Window.partitionBy())).alias("into"))
+    heads = keep(heads, "range-heads").select(F.col("part").alias("p"), F.col("doc_id").alias("i"), F.col("tie").alias("t"), "into")
+    # at most about twice as many heads as ranges, of 28 bytes each
+    first = dealt.join(F.broadcast(heads), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")))
+    copies = first.groupBy("into", "doc_id", "tie").agg(F.min("text").alias("text")).select("doc_id", "text", "tie", F.col("into").alias("part"), F.lit(True).alias("copy"))
+    order = Window.partitionBy("part").orderBy("copy", F.desc_nulls_last("doc_id"), "tie")
     both = dealt.withColumn("copy", F.lit(False)).unionByName(copies)
-    return both.select("doc_id", "text", "copy", "part", "tie", F.lead("text").over(line).alias("next_text"))
+    return both.select("doc_id", "text", "copy", "part", "tie", F.lead("text").over(order).alias("next_text"))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
