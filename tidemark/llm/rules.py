@@ -1,9 +1,11 @@
 """Quality rules: base rules, then robust multivariate outliers (DataFrame functions only).
 
 Each text gives a vector of transformed statistics. Per language and source a
-minimum-covariance-determinant estimate is made: start from the rows nearest
-the coordinatewise median, then repeat concentration steps (mean and covariance
-of the 75 % of rows with the smallest Mahalanobis distance). Rows farther than
+minimum-covariance-determinant estimate is made: from each of four starts (the
+coordinatewise median and quartiles, and the moments of all rows) concentration
+steps (mean and covariance of the 75 % of rows with the smallest Mahalanobis
+distance) run until the determinant settles, and of the four results the one
+with the least determinant is taken. Rows farther than
 ``cutoff`` (squared distance; 20.5 is the 0.999 quantile of chi-square with five
 degrees of freedom) from their group's estimate are rejected. Groups
 with fewer than ``min_rows`` usable rows use the estimate of all rows together.
@@ -36,8 +38,8 @@ _POS = 26
 _POS_MASK = (1 << _POS) - 1
 
 
-def base_stats(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the contract's counts for every row."""
+def base_stats(docs: DataFrame, most_places: int = _POS_MASK) -> DataFrame:
+    """doc_id, lang, source and the contract's counts for every row; texts of more than most_places words sort their windows as strings."""
     text = F.coalesce(F.col("text"), F.lit(""))
     blanks = text
     for c in (" ", "\t", "\n", "\x0b", "\x0c", "\r"):
@@ -59,8 +61,16 @@ def base_stats(docs: DataFrame) -> DataFrame:
         same_word = [F.get("w", at(u) + k) == F.get("w", at(v) + k) for k in range(3)]
         return (F.shiftright(u, _POS) == F.shiftright(v, _POS)) & same_word[0] & same_word[1] & same_word[2]
 
-    twice = F.filter("g", lambda v, j: F.coalesce(same(F.get("g", j - 1), v), F.lit(False)) | F.coalesce(same(v, F.get("g", j + 1)), F.lit(False)))
-    c = b.select("doc_id", "lang", "source", "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", F.sort_array(F.transform(twice, at)).alias("p"))
+    # a clash of different windows can part equal ones, and places beyond the mask do not fit: such texts sort the windows themselves
+    clash = F.exists(F.transform("g", lambda v, j: F.coalesce((F.shiftright(F.get("g", j - 1), _POS) == F.shiftright(v, _POS)) & ~same(F.get("g", j - 1), v), F.lit(False))), lambda x: x)
+    twice = F.transform(F.filter("g", lambda v, j: F.coalesce(same(F.get("g", j - 1), v), F.lit(False)) | F.coalesce(same(v, F.get("g", j + 1)), F.lit(False))), at)
+    window = lambda x, i: F.struct(F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2)).alias("text"), i.alias("at"))
+    c = b.select("doc_id", "lang", "source", "w", "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", F.when(~(clash | (F.col("n_words") > most_places)), twice).alias("p"))
+    windows = F.when(F.col("p").isNull(), F.sort_array(F.transform(F.slice("w", 1, F.size("w") - 2), window)))
+    c = c.select("doc_id", "lang", "source", "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "p", windows.alias("x"))
+    equal = lambda v, j: F.coalesce(F.get("x", j)["text"] == v["text"], F.lit(False))
+    exact = F.transform(F.filter("x", lambda v, j: equal(v, j - 1) | equal(v, j + 1)), lambda v: v["at"])
+    c = c.withColumn("p", F.sort_array(F.coalesce("p", exact)))
     covered = F.aggregate(F.transform("p", lambda v, j: F.when(j == 0, 3).otherwise(F.least(F.lit(3), v - F.get("p", j - 1)))), F.lit(0), lambda s, x: s + x)
     d = c.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
     return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -102,7 +112,8 @@ def _estimates(rows: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("grp", *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i in range(_P) for j in range(i + 1)])
+    volume = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, _P)), F.log(F.col("l00")))
+    return out.select("grp", *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i in range(_P) for j in range(i + 1)], volume.alias("volume"))
 
 
 def _distance(prefix: str = "") -> Column:
@@ -128,21 +139,46 @@ def attach(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups.hint("merge"), "grp", how)
 
 
-def robust_groups(stats: DataFrame, steps: int = 4, share: float = 0.75) -> DataFrame:
-    """Minimum-covariance-determinant estimates of each group of rows (grp, statistics)."""
+def _starts(stats: DataFrame) -> DataFrame:
+    """(grp, start, m.., l..): the quartiles of each coordinate with the floors as spread, and the mean and covariance of all rows."""
     long = stats.select("grp", F.posexplode(F.array(*STATS)).alias("dim", "x"))
-    medians = _bin_quantile(long, ["grp", "dim"], F.col("x"), 0.5, 0.01).groupBy("grp").agg(*[F.max(F.when(F.col("dim") == i, F.col("q"))).alias(f"m{i}") for i in range(_P)])
     diagonal = {f"l{i}{j}": F.lit(FLOORS[i] if i == j else 0.0) for i in range(_P) for j in range(i + 1)}
-    now = keep(medians.withColumns(diagonal), "mcd")
-    for _ in range(steps):
-        near = attach(stats, now).withColumn("d", F.log(_distance() + 1e-6))
+    out = _estimates(stats).withColumn("start", F.lit(0)).drop("volume")
+    for k, share in enumerate((0.5, 0.25, 0.75), 1):
+        at = _bin_quantile(long, ["grp", "dim"], F.col("x"), share, 0.01).groupBy("grp").agg(*[F.max(F.when(F.col("dim") == i, F.col("q"))).alias(f"m{i}") for i in range(_P)])
+        out = out.unionByName(at.withColumns(diagonal).withColumn("start", F.lit(k)))
+    return out
+
+
+def robust_groups(stats: DataFrame, most_steps: int = 12, share: float = 0.75, settled: float = 0.01) -> DataFrame:
+    """Minimum-covariance-determinant estimates (grp, m.., l.., volume) of the groups of rows (grp, statistics).
+
+    From each start concentration steps run until the logarithm of the determinant's root (``volume``) falls by less than
+    ``settled`` in every group, ``most_steps`` times at most; a start keeps its least determinant, a group the least of its starts.
+    """
+    names = [c for c in _estimates(stats).columns if c != "grp"]
+    now, best = keep(_starts(stats), "mcd"), None
+    for _ in range(most_steps):
+        # a row takes part once for each start that still moves
+        near = attach(stats, now).withColumn("d", F.log(_distance() + 1e-6)).withColumn("grp", F.struct("grp", "start"))
         edge = keep(_bin_quantile(near, ["grp"], F.col("d"), share, 0.05), "mcd-edge")
         inside = attach(near, edge).where("d <= q + 0.025").select("grp", *STATS)
-        now = keep(_estimates(inside), "mcd")
-    return now
-
-
-def judge(docs: DataFrame, cutoff: float = 20.5, min_rows: int = 25, steps: int = 4) -> DataFrame:
+        found = keep(_estimates(inside).select("grp.*", *names), "mcd")
+        if best is None:
+            now = best = found
+            continue
+        before = best.select("grp", "start", F.col("volume").alias("before"))
+        moved = found.join(before.hint("merge"), ["grp", "start"]).where(F.col("volume") < F.col("before"))
+        kept = best.join(moved.select("grp", "start").hint("merge"), ["grp", "start"], "left_anti").unionByName(moved.select(*best.columns))
+        best = keep(kept, "mcd-best")
+        now = keep(moved.where(F.col("before") - F.col("volume") >= settled).select(*best.columns), "mcd")
+        if now.isEmpty():
+            break
+    least = best.groupBy("grp").agg(F.min_by(F.struct("start", *names), F.struct("volume", "start")).alias("e"))
+    return least.select("grp", "e.*").drop("start")
+
+
+def judge(docs: DataFrame, cutoff: float = 20.5, min_rows: int = 25, steps: int = 12) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the squared distance of every row."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     stats = keep(vectors(base_stats(docs)).withColumn("own", F.concat(name("lang"), F.lit("\n"), name("source"))), "stats")
