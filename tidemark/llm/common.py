@@ -31,17 +31,22 @@ def words_col(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset a session on one machine gets a temporary one; a cluster cannot."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        path = _OWN_DIRS[app] = _OWN_DIRS.get(app) or tempfile.mkdtemp(prefix="spark-shared-")
     return path.rstrip("/")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of fewer rows than Spark's default, which suits texts; a number that the user has set stays."""
+    """Arrow batches of fewer rows than Spark's default, which suits texts; stays set for the session, as plans are lazy. A number that the user has set stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(rows))
@@ -52,6 +57,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # what forget() does not delete goes with the session
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_path = path
     return out
