@@ -35,6 +35,9 @@ from pyspark.sql import functions as F
 from .common import hash_words, keep, mixed, rolling, small_batches, utf8_words
 
 WIDTH, GRAM = 35, 6
+BUCKET_BYTES = 4 << 20
+
+
 def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     size = 1
     while size * 2 <= n:
@@ -124,7 +127,7 @@ def _text_key(text: str | None) -> bytes:
 
 
 def find_suspects(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """Of each row its text's key, n_words and digest; and the texts (with copies) that have suspect super-k-mers, with these."""
+    """Of each row its text's key, n_words and digest; and the different texts that have suspect super-k-mers, with these and the number of copies."""
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -145,7 +148,8 @@ def find_suspects(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataF
     def text_key(text: pd.Series) -> pd.Series:
         return text.map(_text_key)
 
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", text_key("text"))
+    # one row of each text: copies are reduced before the shuffle, and the join uses its partitioning
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", text_key("text")).groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     return marks.select(F.col("doc_id").cast("long").alias("doc_id"), "text_key", "n_words", "sha"), keep(texts.join(suspects.hint("merge"), "text_key"), "substr-suspects")
 
 
@@ -156,18 +160,19 @@ def find_repeats(suspects: DataFrame, width: int = WIDTH, hot: int = 2000) -> Da
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text_key, text, marks in zip(b.text_key, b.text, b.marks):
+            for text_key, text, copies, marks in zip(b.text_key, b.text, b.copies, b.marks):
                 words = utf8_words(text)
                 for m in marks:
                     packed = b" ".join(words[m["first"] : m["first"] + m["count"] + width - 1])
-                    out.append((m["least"], _key(packed), packed, text_key, m["first"], m["count"]))
-            yield pd.DataFrame(out, columns=["least", "key", "packed", "text_key", "first", "count"])
+                    out.append((m["least"], _key(packed), packed, text_key, m["first"], m["count"], copies))
+            yield pd.DataFrame(out, columns=["least", "key", "packed", "text_key", "first", "count", "copies"])
 
-    packs = keep(suspects.mapInPandas(pack, "least long, key binary, packed binary, text_key binary, first int, count int"), "substr-packs")
+    packs = keep(suspects.mapInPandas(pack, "least long, key binary, packed binary, text_key binary, first int, count int, copies long"), "substr-packs")
     # equal strings (same minimiser and 128-bit key) become one row with their number before the shuffle
-    strings = keep(packs.groupBy("least", "key", "packed").agg(F.count("*").alias("times")), "substr-strings")
+    strings = keep(packs.groupBy("least", "key", "packed").agg(F.sum("copies").alias("times")).withColumn("size", F.octet_length("packed")), "substr-strings")
     many = keep(strings.groupBy("least").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("least"), "substr-hot")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 8
+    # a bucket gets about BUCKET_BYTES of strings, however large the corpus is
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 8, (strings.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES)
     schema = "least long, key binary, bits binary"
 
     def count(b: pd.DataFrame) -> pd.DataFrame:
@@ -223,7 +228,7 @@ def digest_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 out.append((key, len(words) - len(left), _digest(left)))
             yield pd.DataFrame(out, columns=["text_key", "gone", "left_sha"])
 
-    changed = suspects.select("text_key", "text").join(found.hint("merge"), "text_key").mapInPandas(run, "text_key binary, gone long, left_sha string").distinct()
+    changed = suspects.select("text_key", "text").join(found.hint("merge"), "text_key").mapInPandas(run, "text_key binary, gone long, left_sha string")
     return rows.join(changed.hint("merge"), "text_key", "left").select("doc_id", "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("left_sha", "sha").alias("kept_sha256"))
 
 
