@@ -11,8 +11,9 @@ lies below the fraction of the source's words. So a source misses its target
 by half a document at most. Prefix sums go through hash ranges (source, first
 bits of the hash), so a source with most of all rows is never one task.
 
-Null sources form one source (last); null texts have size 0 and are never
-taken; equal rows are told apart only by their order, so reruns agree.
+Null sources form one source (last); null and empty texts have size 0 and are
+never taken; equal rows are told apart only by their order, so reruns agree.
+Very long texts are taken whole or not at all. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import WORD, keep
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 3
+#: Columns of the result and of the work; columns of docs with these names are left out.
+_ADDED = ("size", "source_size", "target", "taken", "_at", "_tie", "_range", "_inside", "_source", "_part", "before")
 
 
 def n_words(text: Column) -> Column:
@@ -48,18 +51,35 @@ def water_fill(sources: DataFrame, max_epochs: float = EPOCHS) -> DataFrame:
     return sources.withColumn("target", F.when(capped, cap).otherwise(F.col("weight") * level))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = EPOCHS, seed: int = 11) -> DataFrame:
-    """docs with size, source_size, target and taken (words the mix takes, repeats counted)."""
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    sized = docs.select(*own, n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source").alias("_at"), F.xxhash64("text").alias("_tie"))
+def measure(docs: DataFrame, seed: int = 11) -> DataFrame:
+    """docs with size and, for the order, _at (seeded hash), _tie (text hash) and _range (first bits of _at)."""
+    own = [c for c in docs.columns if c not in _ADDED]
+    text = F.xxhash64("text")
+    sized = docs.select(*own, n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source", text).alias("_at"), text.alias("_tie"))
     # ranges follow the order of the hash, so their number changes the tasks and not the result
     bits = max(6, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
-    sized = sized.withColumn("_range", F.shiftright("_at", 64 - bits))
+    return sized.withColumn("_range", F.shiftright("_at", 64 - bits))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = EPOCHS, seed: int = 11) -> DataFrame:
+    """docs with size, source_size, target and taken (words the mix takes, repeats counted)."""
+    return place(measure(docs, seed), weights, max_epochs)
+
+
+def mix_sizes(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = EPOCHS, seed: int = 11) -> DataFrame:
+    """The same without texts: the words of each are counted once, then written without it."""
+    narrow = measure(docs.select("doc_id", "source", "text"), seed).drop("text")
+    return place(keep(narrow, "mix-sized"), weights, max_epochs)
+
+
+def place(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = EPOCHS) -> DataFrame:
+    """What the mix takes of each measured row."""
+    own = [c for c in sized.columns if c not in _ADDED]
     parts = keep(sized.groupBy("source", "_range").agg(F.sum("size").alias("words")), "mix-parts")
     sizes = parts.groupBy("source").agg(F.sum("words").alias("source_size"))
     # a row for each source
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary")))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(place - 1, F.lit(len(weights))) + 1).cast("int"))
+    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary")))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
     sources = keep(sizes.select("source", "source_size", weight.cast("double").alias("weight")), "mix-sources")
     targets = water_fill(sources, max_epochs).select(F.col("source").alias("_source"), "source_size", "target")
     before = F.sum("words").over(Window.partitionBy("source").orderBy("_range")) - F.col("words")
