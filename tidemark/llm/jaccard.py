@@ -5,7 +5,7 @@ Rows of the incidence matrix are the distinct n-gram sets of the documents
 its transpose counts overlaps; it is never formed whole:
 
 1. Columns are ordered from rare to frequent by a table of counts of fixed size
-   (``SKETCH`` counters; a coarse count only costs time, never a pair). By the
+   (``SKETCH`` counters or more; a coarse count only costs time, never a pair). By the
    size-derived bound |x & y| >= t / (1 + t) * (|x| + |y|), rows that link share
    one of their first |x| - ceil(t |x|) + 1 columns, and the places of a shared
    column bound their overlap. Entries outside these prefixes are not multiplied.
@@ -26,7 +26,7 @@ Extra columns stay out; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,9 +37,11 @@ from pyspark.sql import functions as F
 from .common import forget, hash_words, keep, mixed, rolling, small_batches
 from .components import components
 
-SKETCH = 1 << 20
+#: Least and largest number of counters of column frequencies: about SKETCH_ROWS counters for each row between them.
+SKETCH, SKETCH_ROWS, MOST_SKETCH = 1 << 20, 8, 1 << 22
 BLOCKS = 8
-FILTER = 1 << 24
+#: Bits for each wanted document, and the largest table of bits that is broadcast (32 MB); beyond it documents are joined.
+FILTER_BITS, MOST_FILTER = 16, 1 << 28
 _SLICES = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEN = 200_000
@@ -81,11 +83,12 @@ class _Once:
         return True
 
 
-def read_sets(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+def read_sets(docs: DataFrame, n: int, counters: int = 0) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, key, sid) of every row, and the counters of column frequencies (each task counts a set once)."""
+    size = counters or 1 << (min(MOST_SKETCH, max(SKETCH, SKETCH_ROWS * docs.count())) - 1).bit_length()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, counts = _Once(), np.zeros(SKETCH, np.int32)
+        once, counts = _Once(), np.zeros(size, np.int32)
         for b in batches:
             out = []
             for doc_id, text in zip(b.doc_id, b.text):
@@ -93,7 +96,7 @@ def read_sets(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
                 key = set_key(s) if len(s) else None
                 sid = _short(key) if key else None
                 if key and once(sid):
-                    np.add.at(counts, (s % np.uint64(SKETCH)).astype(np.int64), 1)
+                    np.add.at(counts, (s % np.uint64(size)).astype(np.int64), 1)
                 out.append((doc_id, len(s), key, sid, None, None))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "key", "sid", "slice", "counts"], dtype=object).astype({"sid": "Int64", "slice": "Int32"})
         if counts.any():
@@ -106,46 +109,67 @@ def read_sets(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     def add(b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"slice": [b["slice"].iloc[0]], "counts": [sum(np.frombuffer(c, np.int32).astype(np.int64) for c in b.counts).tobytes()]})
 
-    total = np.zeros((_SLICES, SKETCH // _SLICES), np.int64)
+    total = np.zeros((_SLICES, size // _SLICES), np.int64)
     for r in rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect():
         total[r.slice] = np.frombuffer(r.counts, np.int64)
     return rows.where("slice is null").drop("slice", "counts").withColumn("doc_id", F.col("doc_id").cast("long")), total.reshape(-1)
 
 
-def id_bits(ids: DataFrame) -> np.ndarray:
-    """A table of bits of fixed size with those of the documents in ids (first); more documents only make it let more through."""
-    bit = F.pmod(F.xxhash64("first"), F.lit(FILTER))
+def id_bits(ids: DataFrame, size: int) -> np.ndarray:
+    """A table of size bits with those of the documents in ids (first)."""
+    bit = F.pmod(F.xxhash64("first"), F.lit(size))
     words = ids.where("first is not null").select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
-    table = np.zeros(FILTER // 64, np.int64)
+    table = np.zeros(size // 64, np.int64)
     for r in words.toLocalIterator():
         table[r.word] = r.bits
     return table
 
 
-def with_bits(docs: DataFrame) -> DataFrame:
-    """text, the place of the document's bit, and free: null ids pass every filter."""
-    return docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("bit"), F.col("doc_id").isNull().alias("free"))
+class Wanted:
+    """The texts of the documents in ids (sid, first), of null ids too, and few others.
 
+    Up to MOST_FILTER bits a table of FILTER_BITS for each document is broadcast, so texts are not shuffled; beyond it the
+    documents are joined by their ids. Both let through all that is wanted, so the result is the same.
+    """
 
-def passing(b: pd.DataFrame, flags: np.ndarray) -> pd.Series:
-    """The texts of a batch whose bit is set."""
-    bit = b.bit.to_numpy()
-    return b.text[((flags[bit >> 6] >> (bit & 63)) & 1 == 1) | b.free.to_numpy()]
-
-
-def prefixes(docs: DataFrame, n: int, percent: int, counts: Broadcast, bits: Broadcast) -> DataFrame:
-    """(token, sid, at) of the prefix columns of each set, from the documents whose bits are set; at holds the set's size and the column's place."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, often, flags = _Once(), counts.value, bits.value
-        for b in batches:
+    def __init__(self, docs: DataFrame, ids: DataFrame, most_bits: int | None = None) -> None:
+        size = 1 << max(6, (FILTER_BITS * ids.count() - 1).bit_length())
+        self.bits = None
+        if size <= (MOST_FILTER if most_bits is None else most_bits):
+            self.bits = docs.sparkSession.sparkContext.broadcast(id_bits(ids, size))
+            self.docs = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("bit"), F.col("doc_id").isNull().alias("free"))
+        else:
+            named = docs.where("doc_id is not null").join(ids.where("first is not null").select(F.col("first").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+            self.docs = named.select("text").unionByName(docs.where("doc_id is null").select("text"))
+
+    def map(self, run: Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+        bits = self.bits
+
+        def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            flags = None if bits is None else bits.value
+            for b in batches:
+                if flags is None:
+                    yield b.text
+                else:
+                    bit = b.bit.to_numpy()
+                    yield b.text[((flags[bit >> 6] >> (bit & 63)) & 1 == 1) | b.free.to_numpy()]
+
+        return self.docs.mapInPandas(lambda batches: run(texts(batches)), schema)
+
+
+def prefixes(wanted: Wanted, n: int, percent: int, counts: Broadcast) -> DataFrame:
+    """(token, sid, at) of the prefix columns of each set; at holds the set's size and the column's place."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        once, often = _Once(), counts.value
+        for texts in batches:
             found: list[np.ndarray] = []
             meta: list[tuple[int, int, int]] = []
-            for text in passing(b, flags):
+            for text in texts:
                 s = ngram_set(text, n)
                 if not len(s) or not once(sid := _short(set_key(s))):
                     continue
-                c = often[(s % np.uint64(SKETCH)).astype(np.int64)]
+                c = often[(s % np.uint64(len(often))).astype(np.int64)]
                 k = prefix_size(len(s), percent)
                 near = np.flatnonzero(c <= np.partition(c, k - 1)[k - 1]) if k < len(s) else np.arange(len(s))
                 found.append(s[near[np.lexsort((s[near], c[near]))][:k]])
@@ -155,7 +179,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, counts: Broadcast, bits: Bro
                 at = np.concatenate([(size << 32) + np.arange(x, dtype=np.int64) for _, size, x in meta])
                 yield pd.DataFrame({"token": np.concatenate(found).view(np.int64), "sid": np.repeat(np.array([m[0] for m in meta], np.int64), k), "at": at})
 
-    return with_bits(docs).mapInPandas(run, "token long, sid long, at long")
+    return wanted.map(run, "token long, sid long, at long")
 
 
 def _may_link(percent: int):
@@ -172,21 +196,21 @@ def linked(pairs: DataFrame, docs: DataFrame, first: DataFrame, n: int, percent:
     there and the other lacks leave enough for the size-derived bound.
     """
     sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(id_bits(first.join(sids.hint("merge"), "sid", "left_semi")))
+    wanted = Wanted(docs, keep(first.join(sids.hint("merge"), "sid", "left_semi"), "jaccard-wanted"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, flags = _Once(), bits.value
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        once = _Once()
         edges = np.array([k * ((1 << 64) // BLOCKS) for k in range(1, BLOCKS)], np.uint64)
-        for b in batches:
+        for texts in batches:
             out = []
-            for text in passing(b, flags):
+            for text in texts:
                 s = ngram_set(text, n)
                 if len(s) and once(sid := _short(set_key(s))):
                     out += [(sid, k, part.tobytes()) for k, part in enumerate(np.split(s, np.searchsorted(s, edges))) if len(part)]
             yield pd.DataFrame(out, columns=["sid", "block", "grams"])
 
-    # the bits drop most documents; what they let through besides is dropped by the joins
-    sets = keep(with_bits(docs).mapInPandas(run, "sid long, block int, grams binary").dropDuplicates(["sid", "block"]), "jaccard-grams")
+    # what is let through besides the wanted sets is dropped by the joins
+    sets = keep(wanted.map(run, "sid long, block int, grams binary").dropDuplicates(["sid", "block"]), "jaccard-grams")
     side = lambda name, grams: sets.select(F.col("sid").alias(name), "block", F.col("grams").alias(grams))
 
     @F.pandas_udf("long")
@@ -210,14 +234,13 @@ def link_sets(docs: DataFrame, first: DataFrame, n: int, percent: int, counts: n
     """(a, b) of sids: links enough to connect all rows that links connect. first: (sid, first), a document of each set."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     # one document of each set is enough, so copies are read and left out before anything is shuffled
-    one = docs.sparkSession.sparkContext.broadcast(id_bits(first))
-    entries = keep(prefixes(docs, n, percent, shared, one), "jaccard-entries")
+    entries = prefixes(Wanted(docs, first), n, percent, shared).repartition(F.col("token"))
     place = F.col("at").bitwiseAND((1 << 32) - 1)
-    # the pivot of a column is the row in which the column stands first; equal ends mean that there is one row
+    # the pivot of a column is the row in which the column stands first; equal ends mean that there is one row.
+    # both sides of the join read one shuffle of the entries
     lead = F.shiftleft(place, 33).bitwiseOR(F.col("sid").bitwiseAND((1 << 33) - 1))
     tops = entries.groupBy("token").agg(F.min(lead).alias("top"), F.max(lead).alias("end")).where("top != end").select("token", "top")
     columns = keep(entries.join(tops.hint("merge"), "token").dropDuplicates(["token", "sid"]).select("token", "sid", F.shiftright("at", 32).alias("n"), place.alias("place"), (lead == F.col("top")).alias("pivot")), "jaccard-columns")
-    forget(entries)
     pivot = columns.where("pivot").select("token", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("place").alias("spot"))
     pairs = keep(columns.join(pivot.hint("merge"), "token").where("sid != a").where(_may_link(percent)).select("a", F.col("sid").alias("b"), "n", "m").dropDuplicates(["a", "b"]), "jaccard-pairs")
     links = linked(pairs, docs, first, n, percent)
