@@ -85,17 +85,60 @@ _HOST = f"translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}
 _FITS = " ".join(
     f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.action} {r.text}'" for r in sorted(URL_RULES, key=lambda r: -len(r.text))
 )
+_Q = "'" * 2  # a quote within SQL text
+
+
+def _node(url: str) -> str:
+    """A url without fragment and dot segments, scheme and host in lower case; null without ://."""
+    clean = f"regexp_replace({url}, '(?s)#.*$', '')"
+    path = f"regexp_extract({clean}, '(?s)^.*?://[^/?]*([^?]*)', 1)"
+    climb = "list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(string_split({p}, '/')[2:], lambda x: [x])), lambda done, x: CASE WHEN x[1] = '..' THEN done[1:len(done) - 1] WHEN x[1] = '.' THEN done ELSE list_concat(done, x) END)"
+    flat = f"CASE WHEN regexp_matches({path}, '/[.][.]?(/|$)') THEN '/' || array_to_string(list_concat({climb.format(p=path)}, CASE WHEN regexp_matches({path}, '/[.][.]?$') THEN [''] ELSE CAST([] AS VARCHAR[]) END), '/') ELSE {path} END"
+    return f"CASE WHEN contains({url}, '://') THEN translate(regexp_extract({clean}, '(?s)^(.*?://[^/?]*)', 1), '{_UPPER}', '{_LOWER}') || {flat} || regexp_extract({clean}, '(?s)([?].*)$', 1) END"
+
+
+def _decoded(text: str) -> str:
+    number = "CASE WHEN n BETWEEN 1 AND 55295 OR n BETWEEN 57344 AND 1114111 THEN chr(CAST(n AS INT)) ELSE chr(65533) END"
+    after = "regexp_replace(x, '(?s)^[^;]*;', '')"
+    named = " ".join(f"WHEN starts_with(x, '{name};') THEN '{sign.replace(chr(39), chr(39) * 2)}' || {after}" for name, sign in urls._NAMED.items())
+    dec = number.replace("n ", "CAST(regexp_extract(x, '^#([0-9]{1,7});', 1) AS BIGINT) ")
+    hexa = number.replace("n ", "CAST('0x' || regexp_extract(x, '^#[xX]([0-9a-fA-F]{1,6});', 1) AS BIGINT) ")
+    piece = f"CASE WHEN regexp_matches(x, '^#[0-9]{{1,7}};') THEN {dec} || {after} WHEN regexp_matches(x, '^#[xX][0-9a-fA-F]{{1,6}};') THEN {hexa} || {after} {named} ELSE '&' || x END"
+    return f"string_split({text}, '&')[1] || array_to_string(list_transform(string_split({text}, '&')[2:], lambda x: {piece}), '')"
+
+
+def _value(name: str) -> str:
+    pattern = urls._attribute(name).replace("'", _Q)
+    return "trim(" + _decoded("(" + " || ".join(f"regexp_extract(t, '{pattern}', {k})" for k in (1, 2, 3)) + ")") + ")"
+
+
+def _resolved(target: str, base: str) -> str:
+    bare, root, path = f"regexp_replace({target}, '(?s)#.*$', '')", f"regexp_extract({base}, '(?s)^(.*?://[^/?#]*)', 1)", f"regexp_extract({base}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    folder = f"CASE WHEN contains({path}, '/') THEN regexp_extract({path}, '(?s)^(.*/)', 1) ELSE '/' END"
+    return (
+        f"CASE WHEN {bare} = '' OR {bare} IS NULL THEN NULL WHEN regexp_matches({bare}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {bare} WHEN starts_with({bare}, '//') THEN regexp_extract({base}, '(?s)^(.*?):', 1) || ':' || {bare} "
+        f"WHEN regexp_matches({bare}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with({bare}, '/') THEN {root} || {bare} WHEN starts_with({bare}, '?') THEN {root} || {path} || {bare} ELSE {root} || {folder} || {bare} END"
+    )
+
+
+_TAGS = urls._TAG.replace("'", _Q)
 _OP2 = rf"""WITH RECURSIVE p AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN regexp_replace(url, '(?s)^.*?://', '') ELSE '' END AS rest FROM pages),
-l0 AS (SELECT url, unnest([regexp_extract(regexp_extract(html, '(?is)(<link[^>]*rel\s*=\s*["'']?canonical[^>]*>)', 1), '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1),
- regexp_extract(regexp_extract(html, '(?is)(<meta[^>]*http-equiv\s*=\s*["'']?refresh[^>]*>)', 1), '(?is)url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target FROM p),
-l AS (SELECT regexp_replace(url, '(?s)#.*$', '') AS a, regexp_replace(replace(target, '&amp;', '&'), '(?s)#.*$', '') AS b FROM l0 WHERE contains(target, '://')),
+t0 AS (SELECT row_number() OVER () AS r, url, regexp_extract_all(regexp_replace(html, '(?is){urls._UNREAD}', ' ', 'g'), '{_TAGS}') AS tags FROM p WHERE regexp_matches(html, '(?i)canonical|refresh')),
+t1 AS (SELECT r, url, unnest(tags) AS t, generate_subscripts(tags, 1) AS k FROM t0),
+b0 AS (SELECT r, {_value("href")} AS href, k FROM t1 WHERE regexp_matches(t, '(?i)^<base')),
+b1 AS (SELECT r, arg_min(href, k) AS href FROM b0 WHERE href <> '' GROUP BY r),
+l0 AS (SELECT r, url, {_value("href")} AS target FROM t1 WHERE regexp_matches(t, '(?i)^<link') AND regexp_matches({_value("rel")}, '(?i)(^|\s)canonical(\s|$)')
+ UNION ALL SELECT r, url, regexp_extract({_value("content")}, '(?is)\burl\s*=\s*["'']?([^"''\s]+)', 1) FROM t1 WHERE regexp_matches(t, '(?i)^<meta') AND regexp_matches({_value("http-equiv")}, '(?i)^refresh$')),
+l1 AS (SELECT l0.url, l0.target, coalesce({_resolved("b1.href", "l0.url")}, l0.url) AS base FROM l0 LEFT JOIN b1 ON b1.r = l0.r),
+l2 AS (SELECT url, {_resolved("target", "base")} AS target FROM l1),
+l AS (SELECT {_node("url")} AS a, {_node("target")} AS b FROM l2 WHERE contains(target, '://')),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT a AS n, a AS m FROM e UNION SELECT reach.n, e.b FROM reach JOIN e ON e.a = reach.m),
 u AS (SELECT DISTINCT n AS url FROM reach), uh AS (SELECT url, regexp_replace(url, '(?s)^.*?://', '') AS rest FROM u), ur AS (SELECT url, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM uh),
 uv AS (SELECT url, CASE {_FITS} END AS fit FROM ur),
 bad AS (SELECT reach.n AS url FROM reach JOIN uv ON uv.url = reach.m GROUP BY reach.n HAVING count(*) FILTER (WHERE starts_with(fit, 'block')) > 0 AND count(*) FILTER (WHERE starts_with(fit, 'allow')) = 0),
-h AS (SELECT page_id, url, coalesce({_HOST}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+h AS (SELECT page_id, {_node("url")} AS node, coalesce({_HOST}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
 v AS (SELECT *, CASE {_FITS} END AS fit FROM h)
-SELECT page_id, host, path, CASE WHEN fit IS NOT NULL THEN substr(fit, 7) END AS rule, CASE WHEN fit IS NOT NULL THEN substr(fit, 1, 5) WHEN regexp_replace(v.url, '(?s)#.*$', '') IN (SELECT url FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM v"""
+SELECT page_id, host, path, CASE WHEN fit IS NOT NULL THEN substr(fit, 7) END AS rule, CASE WHEN fit IS NOT NULL THEN substr(fit, 1, 5) WHEN node IN (SELECT url FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM v"""
 
 _OP3 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 n AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35), x AS (SELECT n.r, n.i, sha256(array_to_string(list_slice(w, n.i, n.i + 34), ' ')) AS h FROM n JOIN d ON d.r = n.r),

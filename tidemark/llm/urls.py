@@ -7,9 +7,14 @@ connected components are classes of equivalent urls, and a block decision on
 one member reaches the others. An explicit allow wins: a url's own rule always
 beats its class, and a class with an explicitly allowed member is not blocked.
 
+Edges come from every canonical link and meta refresh outside comments and
+scripts, with character references decoded and relative targets resolved
+against the page or its ``<base>``.
+
 Null urls and urls without ``://`` have empty host and path, fit no rule and
 have no aliases: verdict allow. Repeated rows are all judged alike. Other
-columns of the pages, whatever their names, are kept out of the result.
+columns of the pages, whatever their names, are kept out of the result. Very
+long pages are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,22 +58,84 @@ def match_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """The url as a graph node: without fragment, scheme and host in lower case; null without ://."""
+    """The url as a graph node: without fragment and dot segments, scheme and host in lower case; null without ://."""
     clean = F.regexp_replace(url, r"(?s)#.*$", "")
     head = F.regexp_extract(clean, r"(?s)^(.*?://[^/?]*)", 1)
-    return F.when(clean.contains("://"), F.concat(F.translate(head, _UPPER, _LOWER), F.regexp_replace(clean, r"(?s)^.*?://[^/?]*", "")))
+    path, query = F.regexp_extract(clean, r"(?s)^.*?://[^/?]*([^?]*)", 1), F.regexp_extract(clean, r"(?s)(\?.*)$", 1)
+    parts = F.split(path, "/")
+    climb = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    flat = F.concat(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), climb), F.when(path.rlike(r"/\.\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    path = F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(flat, "/"))).otherwise(path)
+    return F.when(clean.contains("://"), F.concat(F.translate(head, _UPPER, _LOWER), path, query))
+
+
+# Named character references that urls in attributes hold.
+_NAMED = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">"}
+#: Comments and elements whose contents are no markup; a page's links stand outside them.
+_UNREAD = "|".join([r"<!--.*?(?:-->|\z)", *(rf"<{x}\b.*?(?:</{x}\s*>|\z)" for x in ("script", "style", "template", "textarea", "title"))])
+_TAG = r"""(?is)<(?:link|meta|base)\b(?:"[^"]*"|'[^']*'|[^'">])*>"""
+
+
+def _attribute(name: str) -> str:
+    return rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def decode_references(text: Column) -> Column:
+    """text with its named (the five of XML) and numeric character references decoded; others stay."""
+
+    def letter(number: Column) -> Column:
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(32)), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    def piece(x: Column) -> Column:
+        after = F.regexp_replace(x, r"(?s)^[^;]*;", "")
+        out = F.when(x.rlike(r"^#[0-9]{1,7};"), F.concat(letter(F.regexp_extract(x, r"^#([0-9]{1,7});", 1).cast("int")), after))
+        out = out.when(x.rlike(r"^#[xX][0-9a-fA-F]{1,6};"), F.concat(letter(F.conv(F.regexp_extract(x, r"^#[xX]([0-9a-fA-F]{1,6});", 1), 16, 10).cast("int")), after))
+        for name, sign in _NAMED.items():
+            out = out.when(x.startswith(name + ";"), F.concat(F.lit(sign), after))
+        return out.otherwise(F.concat(F.lit("&"), x))
+
+    pieces = F.split(text, "&")
+    return F.when(text.contains("&"), F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), piece), ""))).otherwise(text)
+
+
+def resolve(target: Column, base: Column) -> Column:
+    """The absolute url of a link's target, seen from a base url; null for an empty target and for schemes without //."""
+    root, path = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    folder = F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*/)", 1)).otherwise("/")
+    bare = F.regexp_replace(target, r"(?s)#.*$", "")
+    out = F.when(bare == "", F.lit(None)).when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), bare)
+    out = out.when(bare.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?):", 1), F.lit(":"), bare)).when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+    return out.when(bare.startswith("/"), F.concat(root, bare)).when(bare.startswith("?"), F.concat(root, path, bare)).otherwise(F.concat(root, folder, bare))
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's url and the target of its canonical link or its redirect (meta refresh)."""
-    page, body = F.col(url), F.col(html)
-    canonical = F.regexp_extract(F.regexp_extract(body, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(body, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    links = pages.where(body.rlike(r"(?i)canonical|refresh")).select(page.alias("page"), F.explode(F.array(canonical, refresh)).alias("target")).where("target != ''")
-    target = F.replace(F.col("target"), F.lit("&amp;"), F.lit("&"))
-    scheme, root = F.regexp_extract("page", r"(?s)^(.*?):", 1), F.regexp_extract("page", r"(?s)^(.*?://[^/?#]*)", 1)
-    full = F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/"), F.concat(root, target))
-    return links.select(node_of(F.col("page")).alias("a"), node_of(full).alias("b")).where("a is not null and b is not null and a != b")
+    """(a, b): a page's url and the targets of its canonical links and its redirects (meta refresh).
+
+    Targets may be relative, to the page or to its <base>; comments, scripts and the like hold no links.
+    """
+
+    def raw(tag: Column, name: str) -> Column:
+        return F.trim(F.concat(*[F.regexp_extract(tag, _attribute(name), k) for k in (1, 2, 3)]))
+
+    def each(start: str, test: Column, name: str, refresh: bool) -> Column:
+        found = F.filter("tags", lambda t: t.rlike(rf"(?i)^<{start}") & test(t))
+        return F.transform(found, lambda t: F.struct(raw(t, name).alias("raw"), F.lit(refresh).alias("refresh")))
+
+    some = pages.where(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("page"), F.regexp_extract_all(F.regexp_replace(html, f"(?is){_UNREAD}", " "), F.lit(_TAG), F.lit(0)).alias("tags"))
+    canonical = each("link", lambda t: raw(t, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), "href", False)
+    refresh = each("meta", lambda t: raw(t, "http-equiv").rlike(r"(?i)^refresh$"), "content", True)
+    base = F.get(F.filter(F.transform(F.filter("tags", lambda t: t.rlike(r"(?i)^<base")), lambda t: raw(t, "href")), lambda h: h != ""), 0)
+    links = some.select("page", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("link"))
+    # step by step, so that no expression holds another many times
+    links = links.select("page", "base", "link.raw", "link.refresh")
+    links = links.select("page", decode_references(F.col("base")).alias("base"), decode_references(F.col("raw")).alias("target"), "refresh")
+    inside = F.regexp_extract("target", r"(?is)\burl\s*=\s*[\"']?([^\"'\s]+)", 1)
+    links = links.select("page", resolve(F.trim("base"), F.col("page")).alias("base"), F.when(F.col("refresh"), inside).otherwise(F.trim("target")).alias("target"))
+    links = links.select("page", F.coalesce("base", "page").alias("base"), "target")
+    links = links.select("page", resolve(F.col("target"), F.col("base")).alias("target"))
+    # no filter here: it would be pushed through all steps; components() leaves out null ends and loops
+    return links.select(node_of(F.col("page")).alias("a"), node_of(F.col("target")).alias("b"))
 
 
 def class_verdicts(edges: DataFrame, rules: list[Rule]) -> DataFrame:
