@@ -62,7 +62,8 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(kind.isin("00", "01", "02"), altered).when(kind == "03", F.substring("html", 1, half)).otherwise(F.col("html"))
     copy = F.sha2(F.encode(warc.record_text(F.col("page_id"), F.col("url"), F.coalesce(body, F.lit(""))), "utf-8"), 256)
     held = warc.manifest(pages, copy=F.when(kind != "04", copy))
-    return warc.audit(held.drop("copy_digest"), held.where("copy_digest is not null").select("file", "place", F.col("copy_digest").alias("digest")))
+    found = warc.audit(held.drop("copy_digest"), held.where("copy_digest is not null").select("file", "place", F.col("copy_digest").alias("digest")))
+    return found.drop("replica_offset", "replica_length")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,21 @@
 """WARC records and a Merkle fixity audit of replicas.
 
 A record's digest is the SHA-256 of its bytes. In each file the records stand
-by offset; runs of ``FANOUT`` consecutive digests are hashed into a node, runs
-of nodes into the next level, up to one root per file. Two replicas of a file
-agree if their roots do; where they differ, only the children of differing
-nodes are compared, level by level, down to the records and their byte ranges.
+by offset; a leaf hashes a record's digest with its offset and length, runs of
+``FANOUT`` consecutive leaves are hashed into a node, runs of nodes into the
+next level, up to one root per file (leaves and nodes with prefixes of their
+own). Two replicas of a file agree if their roots do; where they differ, only
+the children of differing nodes are compared, level by level, down to the
+records and their byte ranges.
 
 A replica's records take the places that the primary's manifest gives them; a
 record that one side lacks counts there as the digest ``missing``, and so does a
 whole file. Records that only the replica holds have no offset, length and id.
 Null urls and bodies are written as empty; repeated rows are records of their
-own, told apart by their place. An empty manifest has no trees and no findings.
+own, told apart by their place; ids that repeat stand in one file. Null ids are
+dealt over NULL_FILES files by their digest, so none of them is one task. Very
+long bodies are hashed whole. Other columns stay out of the manifest. An empty
+manifest has no trees and no findings.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from .common import forget, keep
 
 FANOUT = 16
 PER_FILE = 1000
+NULL_FILES = 1024
 
 
 def record_text(page_id: Column, url: Column, body: Column) -> Column:
@@ -36,54 +42,80 @@ def record_text(page_id: Column, url: Column, body: Column) -> Column:
 
 
 def manifest(pages: DataFrame, per_file: int = PER_FILE, copy: Column | None = None) -> DataFrame:
-    """file, place, offset, length, page_id, digest: a file holds the pages of ``per_file`` consecutive ids; null ids are file -1.
+    """file, place, offset, length, page_id, digest: a file holds the pages of ``per_file`` consecutive ids; null ids are dealt over the files -1 to -NULL_FILES.
 
     copy: the digest of a row's record in a replica, null where it lacks the record; carried along as copy_digest.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     record = record_text(F.col("page_id"), F.col("url"), body)
-    rows = pages.select("page_id", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("long").alias("file"), F.octet_length(record).cast("long").alias("length"), F.sha2(F.encode(record, "utf-8"), 256).alias("digest"), *([] if copy is None else [copy.alias("copy_digest")]))
+    digest = F.sha2(F.encode(record, "utf-8"), 256)
+    nameless = -1 - F.pmod(F.xxhash64(digest), F.lit(NULL_FILES))
+    rows = pages.select("page_id", F.coalesce(F.floor(F.col("page_id") / per_file), nameless).cast("long").alias("file"), F.octet_length(record).cast("long").alias("length"), digest.alias("digest"), *([] if copy is None else [copy.alias("copy_digest")]))
     order = Window.partitionBy("file").orderBy("page_id", "digest", *rows.columns[4:])
     return rows.select("file", (F.row_number().over(order) - 1).cast("long").alias("place"), (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "page_id", "digest", *rows.columns[4:])
 
 
+def leaf(offset: Column, length: Column, digest: Column) -> Column:
+    """Hash of a record and its byte range; a prefix keeps leaves and nodes apart."""
+    number = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.sha2(F.encode(F.concat_ws("|", F.lit("leaf"), number(offset), number(length), digest), "utf-8"), 256)
+
+
 def levels(leaves: DataFrame, top: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """Tables (file, place, digest) of each level, the leaves first; ``top`` is the largest place of a leaf."""
+    """Tables (file, place, digest) of each level, the leaves first; ``top`` is the largest place of a leaf.
+
+    A node hashes the ordered hashes and places of what is under it.
+    """
     out = [leaves.select("file", "place", "digest")]
     while top > 0:
         below = out[-1].select("file", F.floor(F.col("place") / fanout).alias("up"), "place", "digest")
-        node = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"]), ""), 256)
+        under = F.transform(F.sort_array(F.collect_list(F.struct("place", "digest"))), lambda x: F.concat(x["place"].cast("string"), F.lit(":"), x["digest"]))
+        node = F.sha2(F.encode(F.concat(F.lit("node|"), F.array_join(under, "|")), "utf-8"), 256)
         out.append(keep(below.groupBy("file", "up").agg(node.alias("digest")).select("file", F.col("up").alias("place"), "digest"), "merkle"))
         top //= fanout
     return out
 
 
 def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Records that differ: file, place, offset, length, page_id, digest, replica_digest.
+    """Records that differ: file, place, offset, length, page_id, digest, replica_digest, replica_offset, replica_length.
 
-    primary: a manifest; replica: (file, place, digest), without the records it lacks.
+    primary: a manifest; replica: (file, place, digest), without the records it lacks. If the replica has offset and length
+    too, a record that was moved or resized differs even where its bytes are the same; else it has the primary's ranges.
     """
     primary = keep(primary, "manifest")
-    held = replica.select(F.col("file").alias("f"), F.col("place").alias("p"), F.col("digest").alias("d"))
+    ranges = "offset" in replica.columns and "length" in replica.columns
+    where = [F.col(c).cast("long") if ranges else F.lit(None).cast("long") for c in ("offset", "length")]
+    held = replica.select(F.col("file").alias("f"), F.col("place").alias("p"), F.col("digest").alias("d"), where[0].alias("o"), where[1].alias("n"))
     if primary.isEmpty():
         held = held.limit(0)
     # both trees have the places that either side holds
     both = primary.join(held.hint("merge"), (F.col("file") == F.col("f")) & (F.col("place") == F.col("p")), "full")
-    both = keep(both.select(F.coalesce("file", "f").alias("file"), F.coalesce("place", "p").alias("place"), F.coalesce("digest", F.lit("missing")).alias("digest"), F.coalesce("d", F.lit("missing")).alias("replica")), "replica")
+    own = (F.col("o"), F.col("n")) if ranges else (F.col("offset"), F.col("length"))
+    lost = F.lit("missing")
+    both = keep(
+        both.select(
+            F.coalesce("file", "f").alias("file"), F.coalesce("place", "p").alias("place"), F.coalesce("digest", lost).alias("digest"), F.coalesce("d", lost).alias("replica_digest"), F.col("o").alias("replica_offset"), F.col("n").alias("replica_length"),
+            F.when(F.col("digest").isNull(), lost).otherwise(leaf(F.col("offset"), F.col("length"), F.col("digest"))).alias("ours"), F.when(F.col("d").isNull(), lost).otherwise(leaf(*own, F.col("d"))).alias("theirs"),
+        ),
+        "replica",
+    )
     top = both.agg(F.max("place")).first()[0] or 0
-    ours, theirs = levels(both, top, fanout), levels(both.select("file", "place", F.col("replica").alias("digest")), top, fanout)
+    ours, theirs = levels(both.select("file", "place", F.col("ours").alias("digest")), top, fanout), levels(both.select("file", "place", F.col("theirs").alias("digest")), top, fanout)
     differing = None
     for a, b in zip(reversed(ours), reversed(theirs)):
-        b = b.select("file", "place", F.col("digest").alias("replica_digest"))
+        b = b.select("file", "place", F.col("digest").alias("other"))
         if differing is not None:
             up = differing.select("file", F.col("place").alias("up")).hint("merge")
             a = a.withColumn("up", F.floor(F.col("place") / fanout)).join(up, ["file", "up"], "left_semi")
             b = b.withColumn("up", F.floor(F.col("place") / fanout)).join(up, ["file", "up"], "left_semi").drop("up")
         before = differing
-        differing = keep(a.select("file", "place", "digest").join(b.hint("merge"), ["file", "place"]).where("digest != replica_digest"), "differing")
+        differing = keep(a.select("file", "place", "digest").join(b.hint("merge"), ["file", "place"]).where("digest != other").select("file", "place"), "differing")
         if before is not None:
             forget(before)
-    return differing.join(primary.drop("digest").hint("merge"), ["file", "place"], "left").select("file", "place", "offset", "length", "page_id", "digest", "replica_digest")
+    for level in [*ours[1:], *theirs[1:]]:  # the first are views of what both sides hold
+        forget(level)
+    found = differing.join(both.drop("ours", "theirs").hint("merge"), ["file", "place"]).join(primary.drop("digest").hint("merge"), ["file", "place"], "left")
+    return found.select("file", "place", "offset", "length", "page_id", "digest", "replica_digest", "replica_offset", "replica_length")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
