@@ -36,9 +36,10 @@ def s2_s4_ingest_report(spark, sf_dir):
     return subtitles.ingest_report(subtitle_files(spark, sf_dir)).select("path", "format", "cues", "skipped")
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'ko' WHEN 1 THEN 'en-us' ELSE 'und' END AS language FROM pages")
+@query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'ko' WHEN 1 THEN 'en' WHEN 2 THEN 'fr' WHEN 3 THEN 'de' ELSE 'und' END AS language FROM pages")
 def s5_language_from_filename(spark, sf_dir):
-    name = F.when(C("page_id") % 3 == 0, "x.ko.srt").when(C("page_id") % 3 == 1, "x.en-US.vtt").otherwise("x.srt")
+    names = F.array(*map(F.lit, ("x.ko.srt", "x.en-US.vtt", "x_FR.ass", "my-de.sbv", "x.eng.srt", "x.srt")))
+    name = F.get(names, (C("page_id") % 6).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", subtitles.language_from_filename(F.concat("url", name)).alias("language"))
 
 

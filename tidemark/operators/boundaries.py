@@ -67,7 +67,7 @@ def score_candidates(sig: DataFrame, window_ms: int = 1200) -> DataFrame:
     for k, w in WEIGHTS.items():
         weight = F.when(C("kind") == k, w).otherwise(weight)
     rows = sig.withColumn("value", weight * C("strength")).withColumn("seq", F.row_number().over(Window.partitionBy("title_id").orderBy("at_ms", "kind", "strength")).cast("long"))
-    placed = rows.join(anchored_clusters(rows.select("title_id", "at_ms", "seq"), window_ms).drop("at_ms"), ["title_id", "seq"])
+    placed = rows.join(anchored_clusters(rows.select("title_id", "at_ms", "seq"), window_ms).drop("at_ms").hint("merge"), ["title_id", "seq"])
     best = placed.groupBy("title_id", "cluster", "kind").agg(F.max("value").alias("value"), F.min("at_ms").alias("first"))
     when = lambda k: F.min(F.when(C("kind") == k, C("first")))
     one = best.groupBy("title_id", "cluster").agg(

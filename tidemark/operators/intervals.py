@@ -60,17 +60,19 @@ def coverage_report(df: DataFrame, durations: DataFrame, tolerance_ms: int = 250
 
 
 def _bucketed(df: DataFrame, start: str, end: str, bucket_ms: int) -> DataFrame:
-    low, high = F.floor(C(start) / bucket_ms), F.floor(C(end) / bucket_ms)
+    low, high = F.floor(C(start) / bucket_ms), F.floor(F.coalesce(end, start) / bucket_ms)
     return df.withColumn("_bucket", F.explode(F.sequence(low, F.greatest(low, high))))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, bucket_ms: int, by: str = "title_id", closed: bool = False, how: str = "inner") -> DataFrame:
     """Pairs of left (start_ms, end_ms) and right (r_start, r_end) that overlap, strictly and half-open; closed: a right side that ends where the left starts counts.
 
-    bucket_ms should be about the usual length of a range. how: inner, left_semi or left_anti.
+    bucket_ms should be about the usual length of a range. how: inner, left_semi or left_anti. A null end is the range's start;
+    rows with a null start meet nothing.
     """
+    from_, to = F.coalesce("end_ms", "start_ms"), F.coalesce("r_end", "r_start")
     shared = F.floor(F.greatest("start_ms", "r_start") / bucket_ms) == C("_bucket")
-    meets = (C("r_start") < C("end_ms")) & ((C("r_end") >= C("start_ms")) if closed else (C("start_ms") < C("r_end")))
+    meets = (C("r_start") < from_) & ((to >= C("start_ms")) if closed else (C("start_ms") < to))
     a, b = _bucketed(left, "start_ms", "end_ms", bucket_ms), _bucketed(right, "r_start", "r_end", bucket_ms)
     if how == "inner":
         return a.hint("merge").join(b.hint("merge"), [by, "_bucket"]).where(shared & meets).drop("_bucket")

@@ -78,8 +78,8 @@ def uncovered(moments: DataFrame, windows: DataFrame, bucket_ms: int) -> DataFra
 def assign_by_first(beats: DataFrame, assignments: DataFrame) -> DataFrame:
     """beats (seq, evidence_ids) with the character of their first supporting evidence that has an assignment (evidence_id, character_id)."""
     ids = beats.select("seq", F.posexplode("evidence_ids").alias("_pos", "evidence_id"))
-    first = ids.join(assignments, "evidence_id").groupBy("seq").agg(F.min_by("character_id", "_pos").alias("character_id"))
-    return beats.join(first, "seq", "left")
+    first = ids.join(assignments.hint("merge"), "evidence_id").groupBy("seq").agg(F.min_by("character_id", "_pos").alias("character_id"))
+    return beats.join(first.hint("merge"), "seq", "left")
 
 
 def frame_refs(segments: DataFrame, frames: DataFrame, bucket_ms: int, most: int = 4) -> DataFrame:
@@ -91,7 +91,7 @@ def frame_refs(segments: DataFrame, frames: DataFrame, bucket_ms: int, most: int
 
 def drill_down(scenes: DataFrame, evidence: DataFrame, bucket_ms: int) -> DataFrame:
     """(scene_seq, seq) of evidence named in a scene's evidence_ids or starting in its closed range: two joins and a distinct union."""
-    named = scenes.select(C("seq").alias("scene_seq"), F.explode("evidence_ids").alias("seq")).join(evidence.select("seq"), "seq").select("scene_seq", "seq")
+    named = scenes.select(C("seq").alias("scene_seq"), F.explode("evidence_ids").alias("seq")).join(evidence.select("seq").hint("merge"), "seq").select("scene_seq", "seq")
     points = evidence.select("title_id", C("seq").alias("r_seq"), C("start_ms").alias("r_start"), C("start_ms").alias("r_end"))
     inside = overlap_join(scenes.withColumn("end_ms", C("end_ms") + 1), points, bucket_ms, closed=True).select(C("seq").alias("scene_seq"), C("r_seq").alias("seq"))
     return named.unionByName(inside).distinct()

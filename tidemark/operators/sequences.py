@@ -100,15 +100,21 @@ def not_redundant(metrics: DataFrame) -> DataFrame:
 
 
 def importance(metrics: DataFrame) -> DataFrame:
-    """Adds importance: weighted changes, more right after a cut and near captions, speech, sounds or seeks (boolean columns, where there are any)."""
-    base = C("frame_difference") * 0.15 + C("motion") * 0.25 + C("cut") * 0.35 + C("text_change") * 0.15 + C("face_change") * 0.1
+    """Adds importance: weighted changes, more right after a cut and near captions, speech, sounds or seeks (boolean columns, where there are any).
+
+    A column static_streak, the number of unchanged frames before, makes long streaks count less. Null metrics are 0, a null luminance is not dark.
+    """
+    # fixed values: weights of the metrics, boosts and decays
+    base = sum((F.coalesce(C(c), F.lit(0.0)) * w for c, w in (("motion", 0.25), ("cut", 0.35), ("text_change", 0.15), ("face_change", 0.1))), F.coalesce("frame_difference", F.lit(0.0)) * 0.15)
     last_cut = F.last(F.when(C("cut") >= 0.6, C("at_ms")), ignorenulls=True).over(per_title("at_ms", "seq").rowsBetween(Window.unboundedPreceding, 0))
     m = metrics.withColumn("_since", C("at_ms") - last_cut)
     score = F.least(F.lit(1.0), base * 1.6) + F.when(C("_since") <= 1500, 0.2 * (1 - C("_since") / 1500)).otherwise(0.0)
     for name, boost in (("near_subtitle", 0.12), ("near_speech", 0.15), ("near_sound", 0.12), ("seek", 0.25)):
         if name in metrics.columns:
             score = score + F.when(C(name), boost).otherwise(0.0)
-    dark = (C("luminance") < 0.02) & (C("cut") < 0.5)
+    if "static_streak" in metrics.columns:
+        score = score * F.when(C("static_streak") > 5, F.greatest(F.lit(0.25), 1 - (C("static_streak") - 5) * 0.06)).otherwise(1.0)
+    dark = (F.coalesce("luminance", F.lit(1.0)) < 0.02) & (F.coalesce("cut", F.lit(0.0)) < 0.5)
     score = F.when(dark, score * 0.3).otherwise(score)
     return m.withColumn("importance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).drop("_since")
 

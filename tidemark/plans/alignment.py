@@ -33,5 +33,5 @@ def align_tracks(primary: DataFrame, secondary: DataFrame, bucket_ms: int = 4000
     # texts of both sides, in order
     key = F.concat_ws("-", F.array_join("primary", ","), F.array_join("secondary", ","))
     groups = groups.withColumn("_g", key)
-    said = lambda side, cues, name: groups.select("_g", F.posexplode(side).alias("i", "seq")).join(cues.select("seq", "text"), "seq").groupBy("_g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias(name))
-    return groups.join(said("primary", primary, "text"), "_g", "left").join(said("secondary", secondary, "second_text"), "_g", "left").select(*cols, "text", "second_text")
+    said = lambda side, cues, name: groups.select("_g", F.posexplode(side).alias("i", "seq")).join(cues.select("seq", "text").hint("merge"), "seq").groupBy("_g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias(name))
+    return groups.join(said("primary", primary, "text").hint("merge"), "_g", "left").join(said("secondary", secondary, "second_text").hint("merge"), "_g", "left").select(*cols, "text", "second_text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 C = F.col
@@ -28,17 +28,43 @@ def cue_name(characters: DataFrame) -> DataFrame:
 
 
 def apply_corrections(lines: DataFrame, log: DataFrame) -> DataFrame:
-    """lines (title_id, seq, at_ms, character_id) with the corrections' last word as character_id.
+    """lines (title_id, seq, at_ms, character_id and perhaps speaker_id) with the corrections' last word as character_id.
 
-    log: title_id, log_seq, op, from_id, to_id, line_seq, at_ms. ``single`` assigns one line; ``forward`` gives all lines of from_id from
-    at_ms on to to_id; ``merge`` gives it all of from_id's. Later entries win; an entry sees what those before it made of a line,
-    so the log is applied in rounds of one entry for each title: joins only, as many rounds as the longest log.
+    log: title_id, log_seq, op, from_id, to_id, line_seq, at_ms and perhaps speaker_id. ``single`` assigns one line; ``forward``
+    gives all lines of from_id from at_ms on to to_id; ``merge`` gives it all of from_id's; ``split`` gives it those of from_id
+    that speaker_id speaks; ``remove`` leaves from_id's lines without a character; ``rename`` moves none. An entry sees what
+    those before it made of a line: a title's log, which its users wrote, is one array that each line folds over.
     """
-    ranked = log.withColumn("_n", F.row_number().over(Window.partitionBy("title_id").orderBy("log_seq")))
-    rounds = ranked.agg(F.max("_n")).first()[0] or 0
-    now = lines
-    for n in range(1, rounds + 1):
-        step = ranked.where(C("_n") == n).select("title_id", "op", "from_id", "to_id", "line_seq", C("at_ms").alias("since"))
-        hit = F.when(C("op") == "single", C("line_seq") == C("seq")).when(C("op") == "forward", (C("from_id") == C("character_id")) & (C("at_ms") >= C("since"))).when(C("op") == "merge", C("from_id") == C("character_id"))
-        now = now.join(step, "title_id", "left").select("title_id", "seq", "at_ms", F.when(F.coalesce(hit, F.lit(False)), C("to_id")).otherwise(C("character_id")).alias("character_id"))
-    return now
+    speaker = C("speaker_id") if "speaker_id" in log.columns else F.lit(None).cast("string")
+    entry = F.struct("log_seq", "op", "from_id", "to_id", "line_seq", C("at_ms").alias("since"), speaker.alias("speaker"))
+    entries = log.where("op != 'rename'").groupBy("title_id").agg(F.array_sort(F.collect_list(entry)).alias("_log"))
+    spoken = C("speaker_id") if "speaker_id" in lines.columns else F.lit(None).cast("string")
+
+    def step(now: Column, e: Column) -> Column:
+        own = now == e["from_id"]
+        hit = F.when(e["op"] == "single", e["line_seq"] == C("seq")).when(e["op"] == "forward", own & (C("at_ms") >= e["since"])).when(e["op"].isin("merge", "remove"), own).when(e["op"] == "split", own & (spoken == e["speaker"]))
+        return F.when(F.coalesce(hit, F.lit(False)), F.when(e["op"] != "remove", e["to_id"])).otherwise(now)
+
+    folded = F.aggregate(F.coalesce("_log", F.array().cast(entries.schema["_log"].dataType)), C("character_id"), step)
+    return lines.join(entries.hint("merge"), "title_id", "left").select("title_id", "seq", "at_ms", folded.alias("character_id"))
+
+
+def corrected_characters(characters: DataFrame, log: DataFrame) -> DataFrame:
+    """characters (title_id, character_id, name, first_ms, lines) after merges, removals and renames.
+
+    A merge adds up lines, keeps the earliest appearance and the names as aliases; a rename gives the name (log column name)
+    and keeps the former one as an alias; what users touched is of confidence high and source user.
+    """
+    ids = characters.select("title_id", C("character_id").alias("seq"), C("first_ms").alias("at_ms"), "character_id")
+    moved = apply_corrections(ids, log.where("op in ('merge', 'remove')")).select("title_id", C("seq").alias("character_id"), C("character_id").alias("into"))
+    renamed = log.where("op = 'rename'").groupBy("title_id", C("from_id").alias("into")).agg(F.max_by("name", "log_seq").alias("said"), F.array_sort(F.collect_list(F.struct("log_seq", "name"))).alias("names"))
+    rows = characters.join(moved.hint("merge"), ["title_id", "character_id"]).where("into is not null")
+    own = C("character_id") == C("into")
+    one = rows.groupBy("title_id", "into").agg(
+        F.max(F.when(own, C("name"))).alias("name"), F.min("first_ms").alias("first_ms"), F.sum("lines").alias("lines"), F.count("*").alias("_n"), F.array_sort(F.collect_set("name")).alias("_names")
+    )
+    out = one.join(renamed.hint("merge"), ["title_id", "into"], "left").withColumn("name", F.coalesce(F.upper("said"), "name"))
+    former = F.transform(F.coalesce("names", F.array().cast(renamed.schema["names"].dataType)), lambda x: F.upper(x["name"]))
+    alias = F.array_sort(F.array_distinct(F.filter(F.concat("_names", former), lambda x: ~x.eqNullSafe(C("name")))))
+    touched = (C("_n") > 1) | C("said").isNotNull()
+    return out.select("title_id", C("into").alias("character_id"), "name", alias.alias("aliases"), "first_ms", "lines", F.when(touched, "user").otherwise("evidence").alias("source"), F.when(touched, "high").otherwise("medium").alias("confidence"))

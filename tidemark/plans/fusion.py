@@ -64,17 +64,17 @@ def fuse_dialogue(cues: DataFrame, asr: DataFrame, bucket_ms: int, onset_ms: int
     """
     grouped = ordered_fold(cues.select("title_id", "seq", "start_ms", "end_ms", "language"), ["title_id"], ["start_ms", "seq"], GroupCues, "title_id long, group long, start_ms long, end_ms long, languages array<string>, cues array<long>")
     first = grouped.select("title_id", "group", "start_ms", "end_ms", "cues", F.get("cues", 0).alias("seq"))
-    texts = grouped.select("title_id", "group", F.posexplode("cues").alias("i", "seq")).join(cues.select("seq", "language", "text", "confidence"), "seq")
+    texts = grouped.select("title_id", "group", F.posexplode("cues").alias("i", "seq")).join(cues.select("seq", "language", "text", "confidence").hint("merge"), "seq")
     speaker, rest = speaker_label(C("text"))
     lines = texts.withColumns({"speaker": speaker, "said": rest})
     variants = lines.groupBy("title_id", "group").agg(
         F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("i", "language", "said"))), lambda x: F.struct(x["language"], x["said"]))).alias("variants"),
         F.min_by("speaker", F.when(C("speaker").isNotNull(), C("i"))).alias("speaker"), F.min_by("said", "i").alias("text"), F.max(confidence_rank(C("confidence"))).alias("rank"),
     )
-    base = first.join(cues.select("seq", "text"), "seq").select("title_id", "seq", "start_ms", "end_ms", "text")
+    base = first.join(cues.select("seq", "text").hint("merge"), "seq").select("title_id", "seq", "start_ms", "end_ms", "text")
     matches = match_transcripts(base, asr, bucket_ms)
-    heard = matches.join(asr.select(C("seq").alias("asr_seq"), C("start_ms").alias("asr_start")), "asr_seq").groupBy("seq").agg(F.min("asr_start").alias("onset"), F.array_sort(F.collect_list("asr_seq")).alias("asr_ids"))
-    both = first.join(variants, ["title_id", "group"]).join(heard.hint("merge"), "seq", "left")
+    heard = matches.join(asr.select(C("seq").alias("asr_seq"), C("start_ms").alias("asr_start")).hint("merge"), "asr_seq").groupBy("seq").agg(F.min("asr_start").alias("onset"), F.array_sort(F.collect_list("asr_seq")).alias("asr_ids"))
+    both = first.join(variants.hint("merge"), ["title_id", "group"]).join(heard.hint("merge"), "seq", "left")
     start = F.when((C("onset") > C("start_ms")) & (C("onset") - C("start_ms") < onset_ms), C("onset")).otherwise(C("start_ms"))
     ids = F.concat("cues", F.coalesce("asr_ids", F.array().cast("array<long>")))
     beats = both.select(

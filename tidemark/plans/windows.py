@@ -28,5 +28,5 @@ def adaptive_windows(events: DataFrame, longest: int = 12_000, target: int = 400
     inside = overlap_join(long_.select("title_id", "low", "high", C("low").alias("start_ms"), C("high").alias("end_ms")), spoken, longest * 4).select("title_id", "low", "high", C("r_start").alias("spoken_start"), C("r_end").alias("spoken_end"))
     none = long_.select("title_id", "low", "high", F.lit(None).cast("long").alias("spoken_start"), F.lit(None).cast("long").alias("spoken_end"))
     cuts = ordered_fold(inside.unionByName(none), ["title_id", "low"], ["spoken_start"], lambda: Subdivide(longest, target, shortest, gap), "title_id long, low long, start_ms long")
-    ends = cuts.join(long_, ["title_id", "low"]).withColumn("end_ms", F.coalesce(F.lead("start_ms").over(Window.partitionBy("title_id", "low").orderBy("start_ms")), "high"))
+    ends = cuts.join(long_.hint("merge"), ["title_id", "low"]).withColumn("end_ms", F.coalesce(F.lead("start_ms").over(Window.partitionBy("title_id", "low").orderBy("start_ms")), "high"))
     return fine.unionByName(ends.select("title_id", "start_ms", "end_ms"))

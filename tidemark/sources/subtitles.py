@@ -26,8 +26,9 @@ def detect_format(content: Column) -> Column:
 
 
 def language_from_filename(path: Column) -> Column:
-    """``x.ko.srt`` is ko, else und."""
-    tag = F.regexp_extract(path, r"(?i)\.([a-z]{2,3}(?:-[a-z0-9]{2,8})*)\.(?:srt|vtt|txt)$", 1)
+    """``x.ko.srt``, ``x_ko.vtt`` and ``x-ko-KR.srt`` are ko, else und: two letters behind a sign, with or without a region, before a caption file's ending."""
+    stem = F.regexp_extract(path, r"(?i)^(.*)\.(?:srt|vtt|sbv|ass|ssa)$", 1)
+    tag = F.regexp_extract(stem, r"(?i)[._-]([a-z]{2})(?:[_-][a-z]{2,4})?$", 1)
     return F.when(tag != "", F.lower(tag)).otherwise("und")
 
 
@@ -63,7 +64,7 @@ def parse_cues(files: DataFrame) -> DataFrame:
 def ingest_report(files: DataFrame) -> DataFrame:
     """path, format, cues, skipped, warnings of each file; a file of nothing has a row too."""
     b = parsed_blocks(files).groupBy("path").agg(F.count_if("ok").alias("cues"), F.count_if(~C("ok")).alias("skipped"), F.count_if("reversed").alias("reversed"))
-    r = files.select("path", detect_format(C("content")).alias("format")).join(b, "path", "left").na.fill(0, ["cues", "skipped", "reversed"])
+    r = files.select("path", detect_format(C("content")).alias("format")).join(b.hint("merge"), "path", "left").na.fill(0, ["cues", "skipped", "reversed"])
     said = F.array_compact(F.array(
         F.when(C("reversed") > 0, F.concat(C("reversed").cast("string"), F.lit(" cues end before they start"))),
         F.when((C("cues") == 0) & (C("skipped") > 0), F.lit("no cue could be read")),
