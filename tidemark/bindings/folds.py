@@ -8,6 +8,7 @@ from ..functions.text import comparable_ascii
 from ..operators import folds, intervals
 from ..operators.folds import ordered_fold
 from ..registry import query
+from . import recursions
 from .views import EV, WITH, evidence, media, table
 
 C = F.col
@@ -28,7 +29,7 @@ def w4_adaptive_windows(spark, sf_dir):
     return adaptive_windows(media(spark, sf_dir), longest=12 * HOUR, target=4 * HOUR, shortest=HOUR // 2, gap=HOUR)
 
 
-@query()
+@query(recursions.ATTRIBUTION)
 def w13_w14_attribution(spark, sf_dir):
     from ..plans.fusion import attribute
 
@@ -39,13 +40,13 @@ def w13_w14_attribution(spark, sf_dir):
     return attribute(rows)
 
 
-@query()
+@query(recursions.SPEECH)
 def w16_speech_regions(spark, sf_dir):
     e = evidence(spark, sf_dir).select("title_id", "seq", (F.floor(C("start_ms") / 600000) * 20).alias("at_ms"), (C("value") / 4 - 60).alias("db"), (C("k") / 250.0).alias("zcr"))
     return ordered_fold(e, ["title_id"], ["at_ms", "seq"], folds.Speech, "title_id long, start_ms long, end_ms long, mean_excess_db double, peak_db double")
 
 
-@query()
+@query(recursions.ONSETS)
 def w17_w18_onsets_and_music(spark, sf_dir):
     e = evidence(spark, sf_dir).select("title_id", "seq", (F.floor(C("start_ms") / 600000) * 32).alias("at_ms"), (C("value") / 4 - 45).alias("level"), (C("k") / 300.0).alias("flatness"), (C("k") * 30.0).alias("centroid"), (C("value") / 10).alias("flux"), F.lit(40.0).alias("spectrum_sum"))
     return ordered_fold(e, ["title_id"], ["at_ms", "seq"], folds.Onsets, "title_id long, at_ms long, kind string, prominence_db double, attack double, centroid double, flatness double")
@@ -57,7 +58,7 @@ def w20_online_clustering(spark, sf_dir):
     return ordered_fold(e, ["title_id"], ["start_ms", "seq"], lambda: folds.Speakers(0.6, 0.9), "title_id long, seq long, speaker string, distance double, turn_change boolean, confidence string")
 
 
-@query()
+@query(recursions.SAMPLING)
 def w26_adaptive_sampling(spark, sf_dir):
     return ordered_fold(observations(spark, sf_dir), ["title_id"], ["at_ms", "seq"], folds.Sampler, "title_id long, seq long, analyze boolean, reason string, tokens double, promoted boolean")
 
@@ -65,24 +66,24 @@ def w26_adaptive_sampling(spark, sf_dir):
 _SEG = "title_id long, start_ms long, end_ms long, events long, peak double, motion double, on_cut boolean"
 
 
-@query()
+@query(recursions.SEGMENTS)
 def w27_action_segments(spark, sf_dir):
     return ordered_fold(observations(spark, sf_dir), ["title_id"], ["at_ms", "seq"], folds.Segments, _SEG)
 
 
-@query()
+@query(recursions.MERGED)
 def w29_merge_segments(spark, sf_dir):
     s = w27_action_segments(spark, sf_dir).select("title_id", "start_ms", "end_ms", "peak", "motion", "on_cut")
-    return ordered_fold(s, ["title_id"], ["start_ms"], lambda: folds.MergeSegments(900), "title_id long, start_ms long, end_ms long, peak double, motion double, hesitations long, segments long")
+    return ordered_fold(s, ["title_id"], ["start_ms", "end_ms", "peak", "motion", "on_cut"], lambda: folds.MergeSegments(900), "title_id long, start_ms long, end_ms long, peak double, motion double, hesitations long, segments long")
 
 
-@query()
+@query(recursions.SPEECH_PLAN)
 def w30_speech_plan(spark, sf_dir):
     m = intervals.merge_ranges(evidence(spark, sf_dir).where("source = 'view'"), 400)
     return ordered_fold(m, ["title_id"], ["start_ms"], lambda: folds.SpeechPlan(120, 320, HOUR // 4, 400 * HOUR), "title_id long, start_ms long, end_ms long, continuation boolean, state string")
 
 
-@query()
+@query(recursions.DENSE_PLAN)
 def w35_dense_plan(spark, sf_dir):
     e = evidence(spark, sf_dir)
     d = e.groupBy("title_id").agg(F.max("end_ms").alias("duration_ms"))
@@ -107,7 +108,7 @@ def w40_throttle(spark, sf_dir):
     return ordered_fold(evidence(spark, sf_dir).select("title_id", "seq", C("start_ms").alias("at_ms")), ["title_id"], ["at_ms", "seq"], lambda: folds.Throttle(4 * HOUR), "title_id long, seq long, at_ms long")
 
 
-@query()
+@query(recursions.CAPTURE)
 def w42_capture_windows(spark, sf_dir):
     return ordered_fold(observations(spark, sf_dir), ["title_id"], ["at_ms", "seq"], lambda: folds.CaptureWindows(240, 500), "title_id long, start_ms long, end_ms long, importance double")
 
