@@ -137,12 +137,18 @@ def s15_write_markdown(spark, sf_dir):
     return render.to_markdown(render.render(beats(spark, sf_dir))).select("title_id", F.md5("content").alias("content"))
 
 
-@query()
+@query(
+    f"WITH {_BEATS}, l AS (SELECT title_id, place, 1 AS part, CASE WHEN type = 'dialogue' THEN chr(10) || repeat(' ', 20) || upper(role) ELSE chr(10) || text END AS line FROM b UNION ALL SELECT title_id, place, 2, repeat(' ', 10) || text FROM b WHERE type = 'dialogue') "
+    r"SELECT title_id, regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY place, part), '^\n+', ''), '\n{3,}', chr(10) || chr(10), 'g') || chr(10) AS content FROM l GROUP BY title_id"
+)
 def s16_write_text(spark, sf_dir):
     return render.to_text(render.render(beats(spark, sf_dir)))
 
 
-@query()
+_CLOCK = "lpad(CAST({0} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} % 3600000 // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} % 60000 // 1000 AS VARCHAR), 2, '0') || ',' || lpad(CAST({0} % 1000 AS VARCHAR), 3, '0')"
+
+
+@query(f"WITH {_BEATS}, d AS (SELECT title_id, place, start_ms AS s, start_ms + 2500 AS e, text, row_number() OVER (PARTITION BY title_id ORDER BY place) AS i FROM b WHERE type = 'dialogue') SELECT title_id, string_agg(CAST(i AS VARCHAR) || chr(10) || {_CLOCK.format('s')} || ' --> ' || {_CLOCK.format('e')} || chr(10) || text || chr(10), chr(10) ORDER BY i) AS content FROM d GROUP BY title_id")
 def s17_write_srt(spark, sf_dir):
     return render.to_srt(render.render(beats(spark, sf_dir)))
 

@@ -21,7 +21,7 @@ def observations(spark, sf_dir):
     return e.select("title_id", "seq", F.floor(C("start_ms") / 60000).alias("at_ms"), F.least(F.lit(1.0), C("value") / 40).alias("importance"), F.least(F.lit(1.0), C("value") / 80).alias("motion"), F.when(C("k") % 10 == 0, 0.7).otherwise(0.1).alias("cut"))
 
 
-@query()
+@query(recursions.WINDOWS)
 def w4_adaptive_windows(spark, sf_dir):
     """Hard cuts at scene changes and seeks; longer stretches are parted in pauses of speech."""
     from ..plans.windows import adaptive_windows
@@ -120,10 +120,11 @@ def w42_continuous_windows(spark, sf_dir):
     return evidence(spark, sf_dir).groupBy("title_id", w).agg(F.greatest(F.lit(0.15), F.max(C("value") / 500)).alias("importance")).select("title_id", (C("w") * 4 * HOUR).alias("start_ms"), ((C("w") + 1) * 4 * HOUR).alias("end_ms"), "importance")
 
 
-@query()
+@query(recursions.GROUPS)
 def j10_group_cues(spark, sf_dir):
     e = evidence(spark, sf_dir).where("source in ('view', 'click')").select("title_id", "seq", "start_ms", "end_ms", F.when(C("source") == "view", "en").otherwise("fr").alias("language"))
-    return ordered_fold(e, ["title_id"], ["start_ms", "seq"], folds.GroupCues, "title_id long, group long, start_ms long, end_ms long, languages array<string>, cues array<long>")
+    g = ordered_fold(e, ["title_id"], ["start_ms", "seq"], folds.GroupCues, "title_id long, group long, start_ms long, end_ms long, languages array<string>, cues array<long>")
+    return g.withColumns({"languages": F.array_join("languages", ","), "cues": F.array_join("cues", ",")})
 
 
 @query()

@@ -143,10 +143,11 @@ def p16_frame_signatures(spark, sf_dir):
     return frame_signatures(x, 4, 4).select("seq", F.aggregate("luma", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
 
 
-@query()
+@query("WITH v AS (SELECT label, vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, 64)) AS i FROM embeddings), s AS (SELECT label, vec_id, x, i + 64 * unnest(range(0, 8)) AS spot FROM v) SELECT CAST(label AS BIGINT) AS title_id, vec_id AS seq, count(*) AS n, count(*) FILTER (WHERE x >= 0) AS positive FROM s WHERE spot >= 80 AND spot < 400 GROUP BY label, vec_id")
 def p19_slice_pcm(spark, sf_dir):
     from ..plans.signals import slice_pcm
 
     chunks = pcm(spark, sf_dir)
     w = chunks.select("title_id", C("chunk").alias("seq"), (C("start_ms") + 5).alias("start_ms"), (C("start_ms") + 25).alias("end_ms"))
-    return slice_pcm(chunks, w).select("title_id", "seq", F.size("samples").alias("n"))
+    cut = slice_pcm(chunks, w)
+    return cut.select("title_id", "seq", F.size("samples").alias("n"), F.size(F.filter("samples", lambda x: x >= 0)).alias("positive"))

@@ -116,3 +116,27 @@ CAPTURE = recursion(
     f"CASE WHEN NOT {_STAYS} AND r.m < 500 THEN r.m + 1 ELSE r.m END, CASE WHEN {_STAYS} THEN r.begin WHEN r.m < 500 THEN o.at_ms END, CASE WHEN {_STAYS} THEN greatest(r.weight, o.importance) WHEN r.m < 500 THEN {_FRESH} END, CASE WHEN {_OVER} THEN r.begin END, CASE WHEN {_OVER} THEN least(o.at_ms, r.begin + 240) END, CASE WHEN {_OVER} THEN r.weight END",
     "SELECT title_id, e_begin AS start_ms, e_till AS end_ms, e_weight AS importance FROM r WHERE e_begin IS NOT NULL UNION ALL SELECT title_id, begin, begin + 240, weight FROM r WHERE n = z AND begin IS NOT NULL",
 )
+
+# groups that ended stay in the list; they end at or before every later start, so they are never open again
+_CUES = "SELECT title_id, seq, start_ms, end_ms, CASE WHEN source = 'view' THEN 'en' ELSE 'fr' END AS language FROM ev WHERE source IN ('view', 'click')"
+_FIT = "list_position(list_transform(r.groups, lambda g: g.b > o.start_ms AND NOT list_contains(g.langs, o.language) AND least(g.b, o.end_ms) - greatest(g.a, o.start_ms) > 0 AND (least(g.b, o.end_ms) - greatest(g.a, o.start_ms)) / (greatest(g.b, o.end_ms) - least(g.a, o.start_ms)) > 0.5), true)"
+_NEW = "{'a': o.start_ms, 'b': o.end_ms, 'langs': [o.language], 'cues': [o.seq]}"
+_WITH = "{'a': least(g.a, o.start_ms), 'b': greatest(g.b, o.end_ms), 'langs': list_append(g.langs, o.language), 'cues': list_append(g.cues, o.seq)}"
+GROUPS = recursion(
+    _CUES, "start_ms, seq", "CAST([] AS STRUCT(a BIGINT, b BIGINT, langs VARCHAR[], cues BIGINT[])[]) AS groups", f"CASE WHEN coalesce({_FIT}, 0) = 0 THEN list_append(r.groups, {_NEW}) ELSE list_transform(r.groups, lambda g, i: CASE WHEN i = {_FIT} THEN {_WITH} ELSE g END) END",
+    ', u AS (SELECT title_id, unnest(groups) AS g, generate_subscripts(groups, 1) - 1 AS k FROM r WHERE n = z) SELECT title_id, k AS "group", g.a AS start_ms, g.b AS end_ms, array_to_string(g.langs, ',') AS languages, array_to_string(g.cues, ',') AS cues FROM u',
+)
+
+# stretches between hard cuts; long ones are cut in the first pause of speech that begins after the target, else at the target
+_L, _T, _S, _G = 12 * HOUR, 4 * HOUR, HOUR // 2, HOUR
+_PAUSE = f"""list_reduce(list_prepend({{'s': CAST(0 AS BIGINT), 'e': CAST(0 AS BIGINT), 'm': r.at_ms + {_T}, 'x': CAST(NULL AS BIGINT)}}, list_filter(r.spoken, lambda p: p.e > r.at_ms + {_T} AND p.s < r.high)),
+ lambda q, p: {{'s': p.s, 'e': p.e, 'm': greatest(q.m, p.e), 'x': CASE WHEN q.x IS NULL AND p.s - q.m >= {_G} THEN q.m + (p.s - q.m) // 2 ELSE q.x END}})"""
+_AT = f"coalesce(({_PAUSE}).x, CASE WHEN ({_PAUSE}).m > r.at_ms + {_T} AND ({_PAUSE}).m < r.high THEN ({_PAUSE}).m END, r.at_ms + {_T})"
+_CUT = f"least(greatest({_AT}, r.at_ms + {_S}), r.high - {_S})"
+WINDOWS = f"""WITH RECURSIVE {MEDIA}, ends AS (SELECT title_id, min(start_ms) AS a, max(coalesce(end_ms, start_ms)) + 1 AS b FROM media GROUP BY title_id),
+cuts AS (SELECT title_id, start_ms AS low FROM media WHERE (source = 'video' AND kind = 'scene-change') OR (source = 'playback' AND kind = 'seek') UNION SELECT title_id, a FROM ends UNION SELECT title_id, b FROM ends),
+st AS (SELECT * FROM (SELECT title_id, low, lead(low) OVER (PARTITION BY title_id ORDER BY low) AS high FROM cuts) x WHERE high IS NOT NULL),
+sp AS (SELECT title_id, start_ms AS s, coalesce(end_ms, start_ms + 500) AS e FROM media WHERE source = 'subtitle'),
+long AS (SELECT st.title_id, st.low, st.high, coalesce(list({{'s': s, 'e': e, 'm': CAST(0 AS BIGINT), 'x': CAST(NULL AS BIGINT)}} ORDER BY s, e) FILTER (WHERE s IS NOT NULL), []) AS spoken FROM st LEFT JOIN sp ON sp.title_id = st.title_id AND sp.s < st.high AND sp.e > st.low WHERE st.high - st.low > {_L} GROUP BY ALL),
+r AS (SELECT title_id, low, low AS at_ms, high, spoken FROM long UNION ALL SELECT title_id, low, {_CUT}, high, spoken FROM r WHERE high - at_ms > {_L} AND {_CUT} > at_ms)
+SELECT title_id, low AS start_ms, high AS end_ms FROM st WHERE high - low <= {_L} UNION ALL SELECT title_id, at_ms, coalesce(lead(at_ms) OVER (PARTITION BY title_id, low ORDER BY at_ms), high) FROM r"""

@@ -58,7 +58,7 @@ def x6_x8_cjk_and_cue(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.contains_cjk(C("text")).alias("cjk"), (text.to_character_cue(t) == text.collapse_whitespace(t)).alias("is_cue"))
 
 
-@query()
+@query(r"SELECT doc_id, coalesce(nullif(rtrim(substr(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]+', '-', 'g'), '-'), 1, 60), '-'), ''), 'untitled') AS slug FROM documents")
 def x7_slugify(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.slugify(C("text")).alias("slug"))
 
