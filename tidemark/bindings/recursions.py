@@ -124,7 +124,7 @@ _NEW = "{'a': o.start_ms, 'b': o.end_ms, 'langs': [o.language], 'cues': [o.seq]}
 _WITH = "{'a': least(g.a, o.start_ms), 'b': greatest(g.b, o.end_ms), 'langs': list_append(g.langs, o.language), 'cues': list_append(g.cues, o.seq)}"
 GROUPS = recursion(
     _CUES, "start_ms, seq", "CAST([] AS STRUCT(a BIGINT, b BIGINT, langs VARCHAR[], cues BIGINT[])[]) AS groups", f"CASE WHEN coalesce({_FIT}, 0) = 0 THEN list_append(r.groups, {_NEW}) ELSE list_transform(r.groups, lambda g, i: CASE WHEN i = {_FIT} THEN {_WITH} ELSE g END) END",
-    ', u AS (SELECT title_id, unnest(groups) AS g, generate_subscripts(groups, 1) - 1 AS k FROM r WHERE n = z) SELECT title_id, k AS "group", g.a AS start_ms, g.b AS end_ms, array_to_string(g.langs, ',') AS languages, array_to_string(g.cues, ',') AS cues FROM u',
+    """, u AS (SELECT title_id, unnest(groups) AS g, generate_subscripts(groups, 1) - 1 AS k FROM r WHERE n = z) SELECT title_id, k AS "group", g.a AS start_ms, g.b AS end_ms, array_to_string(g.langs, ',') AS languages, array_to_string(g.cues, ',') AS cues FROM u""",
 )
 
 # stretches between hard cuts; long ones are cut in the first pause of speech that begins after the target, else at the target
