@@ -8,7 +8,8 @@ from ..plans import build, characters, fusion, requests, search
 from ..registry import query
 from .documents import _BEATS, beats
 from .joins import BUCKET, _moments, cues
-from .views import EV, WITH, evidence, media, table
+from .sequences import _SELECT
+from .views import EV, MEDIA, WITH, evidence, media, table
 
 C = F.col
 HOUR = 3_600_000
@@ -36,17 +37,33 @@ def _built(spark, sf_dir):
     return build.build(m, 2 * HOUR, 600_000, 12 * HOUR, 4 * HOUR)
 
 
-@query()
+# the build's evidence: captions of one user within two hours of the last kept one only extend it
+_CLEAN = f"""{MEDIA.replace(", media AS", ", media0 AS")}, kd AS (SELECT *, CASE WHEN source = 'subtitle' THEN user_id END AS key FROM media0),
+ko AS (SELECT *, row_number() OVER (PARTITION BY title_id, key ORDER BY start_ms, seq) AS n FROM kd WHERE key IS NOT NULL),
+kr AS (SELECT title_id, key, n, start_ms AS anchor, seq AS kept, end_ms FROM ko WHERE n = 1 UNION ALL SELECT ko.title_id, ko.key, ko.n, CASE WHEN ko.start_ms - kr.anchor <= {2 * HOUR} THEN kr.anchor ELSE ko.start_ms END,
+ CASE WHEN ko.start_ms - kr.anchor <= {2 * HOUR} THEN kr.kept ELSE ko.seq END, ko.end_ms FROM kr JOIN ko ON ko.title_id = kr.title_id AND ko.key = kr.key AND ko.n = kr.n + 1),
+kk AS (SELECT kept, max(end_ms) AS till FROM kr GROUP BY kept), media AS (SELECT kd.* REPLACE (coalesce(kk.till, kd.end_ms) AS end_ms) FROM kd LEFT JOIN kk ON kk.kept = kd.seq WHERE kd.key IS NULL OR kk.kept IS NOT NULL)"""
+_SCENES = f"""WITH RECURSIVE {_SELECT.replace(MEDIA, _CLEAN)}, pl AS (SELECT m.title_id, m.seq, m.source, m.start_ms, m.end_ms, count(b.at_ms) AS scene FROM media m LEFT JOIN bd b ON b.title_id = m.title_id AND b.at_ms <= m.start_ms GROUP BY ALL),
+s0 AS (SELECT title_id, scene, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS events FROM pl GROUP BY title_id, scene),
+scenes AS (SELECT title_id, scene, md5('scene:' || title_id || ':' || start_ms) AS scene_id, start_ms, least(end_ms, coalesce(lead(start_ms) OVER (PARTITION BY title_id ORDER BY scene), end_ms)) AS end_ms, events FROM s0)"""
+
+
+@query(f"{_SCENES} SELECT * FROM scenes")
 def p4_p5_build(spark, sf_dir):
     return _built(spark, sf_dir)[0]
 
 
-@query()
+@query(f"""{_SCENES}, ob AS (SELECT title_id, start_ms, greatest(end_ms, start_ms + 100) AS end_ms FROM media), o1 AS (SELECT *, max(end_ms) OVER (PARTITION BY title_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ob),
+o2 AS (SELECT *, sum(CASE WHEN start_ms <= reach + 250 THEN 0 ELSE 1 END) OVER (PARTITION BY title_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS island FROM o1), o3 AS (SELECT title_id, max(end_ms) - min(start_ms) AS ms FROM o2 GROUP BY title_id, island),
+c AS (SELECT title_id, sum(ms) AS covered FROM o3 GROUP BY title_id), d AS (SELECT title_id, max(end_ms) AS duration, count(*) AS events, count(DISTINCT source) AS sources FROM media GROUP BY title_id), n AS (SELECT title_id, count(*) AS scenes FROM scenes GROUP BY title_id)
+SELECT title_id, scenes, events, sources, least(1.0, CAST(covered AS DOUBLE) / duration) AS ratio FROM n JOIN d USING (title_id) JOIN c USING (title_id)""")
 def p8_inspect(spark, sf_dir):
     return build.inspect(*_built(spark, sf_dir))
 
 
-@query()
+@query(f"""{_SCENES}, p AS (SELECT title_id, max(start_ms) AS now_ms FROM scenes GROUP BY title_id),
+f AS (SELECT scenes.*, sum(CASE WHEN end_ms < now_ms - {HOUR} THEN 0 ELSE 1 END) OVER (PARTITION BY title_id ORDER BY start_ms ROWS UNBOUNDED PRECEDING) AS opened FROM scenes JOIN p USING (title_id))
+SELECT title_id, scene, scene_id, start_ms, end_ms, events, CASE WHEN opened = 0 THEN 'finalized' ELSE 'provisional' END AS status FROM f""")
 def r2_finalized_scenes(spark, sf_dir):
     scenes, _, _ = _built(spark, sf_dir)
     return build.finalize(scenes, scenes.groupBy("title_id").agg(F.max("start_ms").alias("now_ms")), HOUR)

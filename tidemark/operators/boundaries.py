@@ -9,6 +9,7 @@ from ..functions.confidence import from_score
 from .aggregates import median_gap, speech_gaps
 from .folds import Cluster, Select, ordered_fold
 from .intervals import merge_ranges
+from .settle import settle
 
 C = F.col
 # Weights of the kinds of signals.
@@ -66,7 +67,8 @@ def score_candidates(sig: DataFrame, window_ms: int = 1200) -> DataFrame:
     weight = F.lit(None).cast("double")
     for k, w in WEIGHTS.items():
         weight = F.when(C("kind") == k, w).otherwise(weight)
-    rows = sig.withColumn("value", weight * C("strength")).withColumn("seq", F.row_number().over(Window.partitionBy("title_id").orderBy("at_ms", "kind", "strength")).cast("long"))
+    # written once: the clusters read the rows beside the join with them
+    rows = settle(sig.withColumn("value", weight * C("strength")).withColumn("seq", F.row_number().over(Window.partitionBy("title_id").orderBy("at_ms", "kind", "strength")).cast("long")), "signals")
     placed = rows.join(anchored_clusters(rows.select("title_id", "at_ms", "seq"), window_ms).drop("at_ms").hint("merge"), ["title_id", "seq"])
     best = placed.groupBy("title_id", "cluster", "kind").agg(F.max("value").alias("value"), F.min("at_ms").alias("first"))
     when = lambda k: F.min(F.when(C("kind") == k, C("first")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.boundaries import detect_boundaries, scene_table, split_scenes
 from ..operators.intervals import coverage_report
 from ..operators.sequences import dedupe_events
+from ..operators.settle import settle
 
 C = F.col
 
@@ -15,8 +16,8 @@ C = F.col
 def build(events: DataFrame, dedupe_ms: int = 1500, window_ms: int = 1200, least_scene_ms: int = 6000, least_gap_ms: int = 6000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """scenes, placed events and coverage. events: title_id, seq, source, kind, key, start_ms, end_ms, cut, significant, duration_ms."""
     kept = dedupe_events(events, dedupe_ms).select("seq", C("end_ms").alias("_end"))
-    clean = events.join(kept.hint("merge"), "seq").withColumn("end_ms", C("_end")).drop("_end")
-    found = detect_boundaries(clean, window_ms, least_ms=least_scene_ms, least_gap=least_gap_ms)
+    clean = settle(events.join(kept.hint("merge"), "seq").withColumn("end_ms", C("_end")).drop("_end"), "build-clean")
+    found = settle(detect_boundaries(clean, window_ms, least_ms=least_scene_ms, least_gap=least_gap_ms), "build-boundaries")
     placed = split_scenes(clean, found)
     durations = clean.groupBy("title_id").agg(F.max(F.coalesce("end_ms", "start_ms")).alias("duration_ms"))
     observed = clean.withColumn("end_ms", F.greatest(F.coalesce("end_ms", "start_ms"), C("start_ms") + 100))

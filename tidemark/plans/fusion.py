@@ -11,6 +11,7 @@ from ..functions.time import iou
 from ..operators.folds import Alternate, GroupCues, ordered_fold
 from ..operators.intervals import overlap_join
 from ..operators.joins import suppress_near
+from ..operators.settle import settle
 
 C = F.col
 
@@ -62,7 +63,8 @@ def fuse_dialogue(cues: DataFrame, asr: DataFrame, bucket_ms: int, onset_ms: int
     onset later by less than ``onset_ms`` and make it surer; a label names the speaker; transcripts alone are beats too.
     beats: title_id, beat_id, start_ms, end_ms, speaker, text, variants, sources, confidence, evidence_ids.
     """
-    grouped = ordered_fold(cues.select("title_id", "seq", "start_ms", "end_ms", "language"), ["title_id"], ["start_ms", "seq"], GroupCues, "title_id long, group long, start_ms long, end_ms long, languages array<string>, cues array<long>")
+    # groups and matches are read by several branches, so each is written once
+    grouped = settle(ordered_fold(cues.select("title_id", "seq", "start_ms", F.coalesce("end_ms", C("start_ms") + 2000).alias("end_ms"), "language"), ["title_id"], ["start_ms", "seq"], GroupCues, "title_id long, group long, start_ms long, end_ms long, languages array<string>, cues array<long>"), "cue-groups")
     first = grouped.select("title_id", "group", "start_ms", "end_ms", "cues", F.get("cues", 0).alias("seq"))
     texts = grouped.select("title_id", "group", F.posexplode("cues").alias("i", "seq")).join(cues.select("seq", "language", "text", "confidence").hint("merge"), "seq")
     speaker, rest = speaker_label(C("text"))
@@ -72,7 +74,7 @@ def fuse_dialogue(cues: DataFrame, asr: DataFrame, bucket_ms: int, onset_ms: int
         F.min_by("speaker", F.when(C("speaker").isNotNull(), C("i"))).alias("speaker"), F.min_by("said", "i").alias("text"), F.max(confidence_rank(C("confidence"))).alias("rank"),
     )
     base = first.join(cues.select("seq", "text").hint("merge"), "seq").select("title_id", "seq", "start_ms", "end_ms", "text")
-    matches = match_transcripts(base, asr, bucket_ms)
+    matches = settle(match_transcripts(base, asr, bucket_ms), "transcript-matches")
     heard = matches.join(asr.select(C("seq").alias("asr_seq"), C("start_ms").alias("asr_start")).hint("merge"), "asr_seq").groupBy("seq").agg(F.min("asr_start").alias("onset"), F.array_sort(F.collect_list("asr_seq")).alias("asr_ids"))
     both = first.join(variants.hint("merge"), ["title_id", "group"]).join(heard.hint("merge"), "seq", "left")
     start = F.when((C("onset") > C("start_ms")) & (C("onset") - C("start_ms") < onset_ms), C("onset")).otherwise(C("start_ms"))
