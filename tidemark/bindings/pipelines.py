@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 from ..plans import build, characters, fusion, requests, search
 from ..registry import query
 from .documents import _BEATS, beats
-from .joins import BUCKET, _moments, cues
+from .joins import _PAIRS, BUCKET, _moments, cues
 from .sequences import _SELECT
-from .views import EV, MEDIA, WITH, evidence, media, table
+from .views import EV, LEVEL, MEDIA, WITH, evidence, media, table
 
 C = F.col
 HOUR = 3_600_000
 
 
-@query()
+@query(f"""WITH {_PAIRS}, h AS (SELECT mt.seq, min(a.start_ms) AS onset, string_agg(CAST(asr_seq AS VARCHAR), ',' ORDER BY asr_seq) AS ids FROM mt JOIN a ON a.seq = mt.asr_seq GROUP BY mt.seq),
+b AS (SELECT title_id, CASE WHEN onset > start_ms AND onset - start_ms < {HOUR} THEN onset ELSE start_ms END AS start_ms, end_ms, text, CASE WHEN onset IS NULL THEN 'subtitle' ELSE 'subtitle,audio-asr' END AS sources, least(3, rank + CASE WHEN onset IS NULL THEN 0 ELSE 1 END) AS level, CAST(c.seq AS VARCHAR) || coalesce(',' || ids, '') AS ids FROM c LEFT JOIN h ON h.seq = c.seq
+ UNION ALL SELECT title_id, start_ms, end_ms, text, 'audio-asr', rank, CAST(seq AS VARCHAR) FROM a WHERE seq NOT IN (SELECT asr_seq FROM mt) AND seq NOT IN (SELECT asr_seq FROM cf))
+SELECT title_id, md5('dialogue:' || title_id || ':' || start_ms || ':' || ids) AS beat_id, start_ms, end_ms, text, 'en=' || text AS variants, sources, {LEVEL.format('level')} AS confidence, ids AS evidence_ids FROM b""")
 def p2_fuse_dialogue(spark, sf_dir):
-    return fusion.fuse_dialogue(*cues(spark, sf_dir), BUCKET, HOUR)[0].select("title_id", "beat_id", "start_ms", "end_ms", "text", F.array_join("sources", ",").alias("sources"), "confidence")
+    beats = fusion.fuse_dialogue(*cues(spark, sf_dir), BUCKET, HOUR)[0]
+    variants = F.array_join(F.transform(F.array_sort(F.map_entries("variants")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";").alias("variants")
+    return beats.select("title_id", "beat_id", "start_ms", "end_ms", "text", variants, F.array_join("sources", ",").alias("sources"), "confidence", F.array_join("evidence_ids", ",").alias("evidence_ids"))
 
 
 @query(f"""{WITH}, t AS (SELECT *, CASE WHEN k % 4 = 0 THEN '[noise]' ELSE 'words' END AS text FROM ev), c AS (SELECT title_id, start_ms FROM t WHERE source = 'view' AND text = '[noise]')

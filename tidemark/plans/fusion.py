@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.confidence import confidence_rank, from_rank
-from ..functions.text import comparable_ascii, is_non_speech, speaker_label, text_similarity
+from ..functions.text import comparable_text, is_non_speech, speaker_label, text_similarity
 from ..functions.time import iou
 from ..operators.folds import Alternate, GroupCues, ordered_fold
 from ..operators.intervals import overlap_join
@@ -36,8 +36,8 @@ def attribute(beats: DataFrame, user_first: bool = False) -> DataFrame:
 
 def match_transcripts(cues: DataFrame, asr: DataFrame, bucket_ms: int, least_iou: float = 0.25, least_similarity: float = 0.6) -> DataFrame:
     """(seq, asr_seq, iou, similarity): pairs that overlap and say the same. cues and asr: title_id, seq, start_ms, end_ms, text."""
-    right = asr.select("title_id", C("seq").alias("r_seq"), C("start_ms").alias("r_start"), C("end_ms").alias("r_end"), comparable_ascii(C("text")).alias("r_text"))
-    pairs = overlap_join(cues.withColumn("l_text", comparable_ascii(C("text"))), right, bucket_ms)
+    right = asr.select("title_id", C("seq").alias("r_seq"), C("start_ms").alias("r_start"), C("end_ms").alias("r_end"), comparable_text(C("text")).alias("r_text"))
+    pairs = overlap_join(cues.withColumn("l_text", comparable_text(C("text"))), right, bucket_ms)
     near = pairs.withColumn("iou", iou(C("start_ms"), C("end_ms"), C("r_start"), C("r_end"))).where(C("iou") >= least_iou)
     return near.withColumn("similarity", text_similarity(C("l_text"), C("r_text"))).where(C("similarity") >= least_similarity).select("seq", C("r_seq").alias("asr_seq"), "iou", "similarity")
 
@@ -61,16 +61,19 @@ def fuse_dialogue(cues: DataFrame, asr: DataFrame, bucket_ms: int, onset_ms: int
 
     Cues of all languages are grouped; the first cue of a group is matched with transcripts, which may move its
     onset later by less than ``onset_ms`` and make it surer; a label names the speaker; transcripts alone are beats too.
+    A missing end is two seconds after the start. Of two cues of a group in one language the later gives the variant.
     beats: title_id, beat_id, start_ms, end_ms, speaker, text, variants, sources, confidence, evidence_ids.
     """
+    ended = F.coalesce("end_ms", C("start_ms") + 2000)
+    cues, asr = cues.withColumn("end_ms", ended), asr.withColumn("end_ms", ended)
     # groups and matches are read by several branches, so each is written once
-    grouped = settle(ordered_fold(cues.select("title_id", "seq", "start_ms", F.coalesce("end_ms", C("start_ms") + 2000).alias("end_ms"), "language"), ["title_id"], ["start_ms", "seq"], GroupCues, "title_id long, group long, start_ms long, end_ms long, languages array<string>, cues array<long>"), "cue-groups")
+    grouped = settle(ordered_fold(cues.select("title_id", "seq", "start_ms", "end_ms", "language"), ["title_id"], ["start_ms", "seq"], GroupCues, "title_id long, group long, start_ms long, end_ms long, languages array<string>, cues array<long>"), "cue-groups")
     first = grouped.select("title_id", "group", "start_ms", "end_ms", "cues", F.get("cues", 0).alias("seq"))
     texts = grouped.select("title_id", "group", F.posexplode("cues").alias("i", "seq")).join(cues.select("seq", "language", "text", "confidence").hint("merge"), "seq")
     speaker, rest = speaker_label(C("text"))
     lines = texts.withColumns({"speaker": speaker, "said": rest})
     variants = lines.groupBy("title_id", "group").agg(
-        F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("i", "language", "said"))), lambda x: F.struct(x["language"], x["said"]))).alias("variants"),
+        F.aggregate(F.array_sort(F.collect_list(F.struct("i", "language", "said"))), F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != F.coalesce(x["language"], F.lit("und"))), F.create_map(F.coalesce(x["language"], F.lit("und")), x["said"]))).alias("variants"),
         F.min_by("speaker", F.when(C("speaker").isNotNull(), C("i"))).alias("speaker"), F.min_by("said", "i").alias("text"), F.max(confidence_rank(C("confidence"))).alias("rank"),
     )
     base = first.join(cues.select("seq", "text").hint("merge"), "seq").select("title_id", "seq", "start_ms", "end_ms", "text")
