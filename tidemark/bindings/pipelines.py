@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans import build, characters, fusion, requests, search
+from ..plans import build, characters, fusion, project, requests, search
 from ..registry import query
 from .documents import _BEATS, beats
 from .joins import _PAIRS, BUCKET, _moments, cues
@@ -66,6 +66,52 @@ def p8_inspect(spark, sf_dir):
     return build.inspect(*_built(spark, sf_dir))
 
 
+_SPEAKER = "CASE k % 3 WHEN 0 THEN 'ANNA: ' WHEN 1 THEN 'BEN: ' ELSE '' END"
+
+
+def _project(spark, sf_dir):
+    """The media view with captions that a label precedes or not, actions, settings and on-screen text."""
+    m = media(spark, sf_dir)
+    label = F.when(C("k") % 3 == 0, "ANNA: ").when(C("k") % 3 == 1, "BEN: ").otherwise("")
+    text = F.when(C("source") == "subtitle", F.concat(label, F.lit("line "), C("k").cast("string"))).when((C("source") == "video") & (C("kind") == "setting"), F.concat(F.lit("INT. ROOM "), C("k").cast("string"), F.lit(" - NIGHT")))
+    text = text.when((C("source") == "video") & (C("kind") == "action"), "runs").when(C("source") == "ocr", "EXIT")
+    rows = m.withColumns({"key": F.when(C("source") == "subtitle", F.concat_ws(":", "source", "user_id")), "text": text, "language": F.lit("en")})
+    return project.build_project(rows, BUCKET, HOUR, HOUR, "en", 2 * HOUR, 600_000, 12 * HOUR, 4 * HOUR)
+
+
+# labels within a scene, and alternation where just two speak in it; a title's memory runs over scenes
+_BEATS_OF = f"""{_SCENES.replace("WITH RECURSIVE", "WITH RECURSIVE", 1)}, tx AS (SELECT title_id, seq, source, kind, k, rank, start_ms, end_ms FROM media),
+ps AS (SELECT tx.*, pl.scene FROM tx JOIN pl ON pl.seq = tx.seq),
+bt AS (SELECT title_id, scene, seq, start_ms, CASE WHEN source = 'subtitle' THEN 'dialogue' WHEN source = 'ocr' THEN 'on-screen-text' ELSE 'action' END AS type,
+ CASE WHEN source = 'subtitle' THEN CASE k % 3 WHEN 0 THEN 'ANNA' WHEN 1 THEN 'BEN' END END AS who FROM ps WHERE source = 'subtitle' OR source = 'ocr' OR (source = 'video' AND kind = 'action')),
+pr AS (SELECT title_id, scene, list_sort(list(DISTINCT who)) AS present FROM bt WHERE who IS NOT NULL GROUP BY title_id, scene),
+dn AS (SELECT bt.*, present, row_number() OVER (PARTITION BY bt.title_id ORDER BY start_ms, seq) AS n FROM bt LEFT JOIN pr ON pr.title_id = bt.title_id AND pr.scene = bt.scene WHERE type = 'dialogue'),
+al AS (SELECT DISTINCT title_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS how, CAST(NULL AS VARCHAR) AS last FROM dn
+ UNION ALL SELECT d.title_id, d.n, d.seq, coalesce(d.who, x.other), CASE WHEN d.who IS NOT NULL THEN 'label' WHEN x.other IS NOT NULL THEN 'alternation' ELSE 'unknown' END, coalesce(d.who, x.other, al.last)
+ FROM al JOIN dn d ON d.title_id = al.title_id AND d.n = al.n + 1, LATERAL (SELECT CASE WHEN d.who IS NULL AND len(d.present) = 2 AND list_contains(d.present, al.last) THEN list_filter(d.present, lambda p: p <> al.last)[1] END AS other) x),
+ob AS (SELECT bt.title_id, bt.scene, bt.seq, bt.type, bt.start_ms, al.name, al.how, row_number() OVER (PARTITION BY bt.title_id ORDER BY bt.start_ms, CASE bt.type WHEN 'on-screen-text' THEN 1 WHEN 'action' THEN 3 ELSE 4 END, bt.seq) AS place FROM bt LEFT JOIN al ON al.title_id = bt.title_id AND al.seq = bt.seq)"""
+
+
+@query(f"{_BEATS_OF} SELECT title_id, scene, place, seq, type, start_ms, name, how AS attribution FROM ob")
+def p5_project_beats(spark, sf_dir):
+    return _project(spark, sf_dir).beats.select("title_id", "scene", "place", "seq", "type", "start_ms", "name", "attribution")
+
+
+@query(f"""{_BEATS_OF}, st AS (SELECT title_id, scene, arg_max('INT. ROOM ' || k || ' - NIGHT', rank * 1000000000000000 - start_ms * 1000 - seq % 1000) AS setting FROM ps WHERE source = 'video' AND kind = 'setting' GROUP BY title_id, scene),
+pv AS (SELECT title_id, scene, {LEVEL.format('least(3, max(rank) + CASE WHEN count(DISTINCT source) >= 2 THEN 1 ELSE 0 END)')} AS confidence FROM ps GROUP BY title_id, scene),
+bs AS (SELECT title_id, scene, count(*) AS beats, count(DISTINCT name) AS characters FROM ob GROUP BY title_id, scene)
+SELECT s.title_id, s.scene, s.scene_id, s.start_ms, s.end_ms, s.events, st.setting, pv.confidence, coalesce(bs.beats, 0) AS beats, coalesce(bs.characters, 0) AS characters FROM scenes s LEFT JOIN st ON st.title_id = s.title_id AND st.scene = s.scene LEFT JOIN pv ON pv.title_id = s.title_id AND pv.scene = s.scene LEFT JOIN bs ON bs.title_id = s.title_id AND bs.scene = s.scene""")
+def p4_project_scenes(spark, sf_dir):
+    return _project(spark, sf_dir).scenes.select("title_id", "scene", "scene_id", "start_ms", "end_ms", "events", "setting", "confidence", "beats", "characters")
+
+
+@query(f"{_BEATS_OF} SELECT title_id, scene, name, count(*) AS lines, min(start_ms) AS first_ms, max(start_ms) AS last_ms FROM ob WHERE name IS NOT NULL GROUP BY title_id, scene, name")
+def p5_project_presence(spark, sf_dir):
+    p = _project(spark, sf_dir)
+    names = p.characters.select("title_id", "character_id", C("cue").alias("name"))
+    return p.presence.join(names.hint("merge"), ["title_id", "character_id"]).drop("character_id")
+
+
 @query(f"""{_SCENES}, p AS (SELECT title_id, max(start_ms) AS now_ms FROM scenes GROUP BY title_id),
 f AS (SELECT scenes.*, sum(CASE WHEN end_ms < now_ms - {HOUR} THEN 0 ELSE 1 END) OVER (PARTITION BY title_id ORDER BY start_ms ROWS UNBOUNDED PRECEDING) AS opened FROM scenes JOIN p USING (title_id))
 SELECT title_id, scene, scene_id, start_ms, end_ms, events, CASE WHEN opened = 0 THEN 'finalized' ELSE 'provisional' END AS status FROM f""")

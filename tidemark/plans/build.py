@@ -13,15 +13,25 @@ from ..operators.settle import settle
 C = F.col
 
 
-def build(events: DataFrame, dedupe_ms: int = 1500, window_ms: int = 1200, least_scene_ms: int = 6000, least_gap_ms: int = 6000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """scenes, placed events and coverage. events: title_id, seq, source, kind, key, start_ms, end_ms, cut, significant, duration_ms."""
+def cut(events: DataFrame, dedupe_ms: int = 1500, window_ms: int = 1200, least_scene_ms: int = 6000, least_gap_ms: int = 6000) -> tuple[DataFrame, DataFrame]:
+    """Events without duplicates and the boundaries between scenes, each written once."""
     kept = dedupe_events(events, dedupe_ms).select("seq", C("end_ms").alias("_end"))
     clean = settle(events.join(kept.hint("merge"), "seq").withColumn("end_ms", C("_end")).drop("_end"), "build-clean")
-    found = settle(detect_boundaries(clean, window_ms, least_ms=least_scene_ms, least_gap=least_gap_ms), "build-boundaries")
-    placed = split_scenes(clean, found)
+    return clean, settle(detect_boundaries(clean, window_ms, least_ms=least_scene_ms, least_gap=least_gap_ms), "build-boundaries")
+
+
+def covered(clean: DataFrame) -> DataFrame:
+    """coverage_report of the events; one without an end counts for 100 ms."""
     durations = clean.groupBy("title_id").agg(F.max(F.coalesce("end_ms", "start_ms")).alias("duration_ms"))
     observed = clean.withColumn("end_ms", F.greatest(F.coalesce("end_ms", "start_ms"), C("start_ms") + 100))
-    return scene_table(placed), placed, coverage_report(observed, durations)
+    return coverage_report(observed, durations)
+
+
+def build(events: DataFrame, dedupe_ms: int = 1500, window_ms: int = 1200, least_scene_ms: int = 6000, least_gap_ms: int = 6000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """scenes, placed events and coverage. events: title_id, seq, source, kind, key, start_ms, end_ms, cut, significant, duration_ms."""
+    clean, found = cut(events, dedupe_ms, window_ms, least_scene_ms, least_gap_ms)
+    placed = split_scenes(clean, found)
+    return scene_table(placed), placed, covered(clean)
 
 
 def inspect(scenes: DataFrame, placed: DataFrame, coverage: DataFrame) -> DataFrame:
