@@ -119,9 +119,9 @@ def id_bits(ids: DataFrame, size: int) -> np.ndarray:
     """A table of size bits with those of the documents in ids (first)."""
     bit = F.pmod(F.xxhash64("first"), F.lit(size))
     words = ids.where("first is not null").select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
+    found = words.toArrow()  # at most size / 64 rows of 16 bytes, in one job
     table = np.zeros(size // 64, np.int64)
-    for r in words.toLocalIterator():
-        table[r.word] = r.bits
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
     return table
 
 

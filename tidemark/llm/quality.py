@@ -158,8 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000, seed: in
         yield pd.DataFrame({"slot": slot, "n": seen[slot]})
 
     often = np.zeros(DIMENSIONS, bool)
-    for r in rows.select("slots").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("slot").toLocalIterator():
-        often[r.slot] = True
+    counted = rows.select("slots").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    often[counted.where(F.col("n") >= min_docs).select("slot").toArrow()["slot"].to_numpy()] = True  # at most DIMENSIONS slots, in one job
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(often))  # a bit for each slot
 
     @F.pandas_udf("binary")
