@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Names of resolutions, tokens of tiers.
-RESOLUTIONS = ((r"\b8k\b", 4320), (r"\b4k\b", 2160), (r"\buhd\b", 2160), (r"\bquad\s*hd\b", 1440), (r"\bqhd\b", 1440), (r"\bfull\s*hd\b", 1080), (r"\bfhd\b", 1080), (r"\bhd\b", 720))
-ENHANCED = r"(?i)\bpremium\b|\benhanced\s*bitrate\b|\bhigher\s*bitrate\b|프리미엄|プレミアム"
-HDR = r"(?i)\bhdr\b|\bdolby\s*vision\b|\bhdr10\b"
-AUTO = r"(?i)\bauto\b|\bautomatic\b|자동|自動|автоматически"
+# Names of resolutions (a number and a word, or words), words of tiers.
+RESOLUTIONS = (("8 k", 4320), ("4 k", 2160), ("uhd", 2160), ("quad hd", 1440), ("quadhd", 1440), ("qhd", 1440), ("full hd", 1080), ("fullhd", 1080), ("fhd", 1080), ("hd", 720))
+ENHANCED = ("premium", "enhanced bitrate", "higher bitrate", "프리미엄", "プレミアム")
+HDR = ("hdr", "dolby vision")
+AUTO = ("auto", "automatic", "자동", "自動", "автоматически")
 # Phrases.
 SOURCES = {
     "subtitle": "Subtitle", "audio-asr": "Audio ASR", "audio-speaker": "Speaker", "audio-event": "Sound", "audio-silence": "Silence",
@@ -28,7 +31,11 @@ HEADINGS = {
     "ja": ("屋内.", "屋外.", "時間不明", {"DAY": "昼", "NIGHT": "夜", "DAWN": "夜明け", "DUSK": "夕暮れ", "MORNING": "朝", "EVENING": "夕方"}),
     "es": ("INT.", "EXT.", "HORA DESCONOCIDA", {"DAY": "DÍA", "NIGHT": "NOCHE", "DAWN": "AMANECER", "DUSK": "ANOCHECER", "MORNING": "MAÑANA", "EVENING": "TARDE"}),
 }
-TIMES = "day|night|dawn|dusk|morning|afternoon|evening|sunset|sunrise"
+TIMES = ("day", "night", "dawn", "dusk", "morning", "afternoon", "evening", "sunset", "sunrise")
+# Words that tell interiors and exteriors, and those of them that are mere markers.
+INSIDE = ("int", "interior", "indoor", "indoors", "inside")
+OUTSIDE = ("ext", "exterior", "outdoor", "outdoors", "outside", "street", "park", "forest", "beach")
+MARKERS = ("int", "ext", "interior", "exterior")
 
 
 def lookup(c: Column, values: dict, default: Column | None = None) -> Column:
@@ -39,24 +46,27 @@ def lookup(c: Column, values: dict, default: Column | None = None) -> Column:
     return out
 
 
-def _number(c: Column, pattern: str, group: int = 1) -> Column:
-    s = F.regexp_extract(c, pattern, group)
-    return F.when(s != "", s.cast("int"))
-
-
 def parse_quality(label: Column) -> Column:
-    """struct(resolution, frame_rate, enhanced, hdr, auto); an automatic tier has no resolution of its own."""
-    text = F.trim(F.regexp_replace(label, r"\s+", " "))
-    named = F.lit(None).cast("int")
-    for pattern, lines in reversed(RESOLUTIONS):
-        named = F.when(text.rlike("(?i)" + pattern), lines).otherwise(named)
-    resolution = F.coalesce(_number(text, r"(?i)([0-9]{3,4})\s*p(?:[0-9]{2,3})?\b"), _number(text, r"(?i)([0-9]{3,4})\s*[x×]\s*([0-9]{3,4})", 2), named)
-    rates = [_number(text, r"(?i)[0-9]{3,4}\s*p\s*([0-9]{2,3})\b"), _number(text, r"(?i)([0-9]{2,3})\s*(?:fps|hz)\b")]
+    """struct(resolution, frame_rate, enhanced, hdr, auto); an automatic tier has no resolution of its own.
+
+    A label is read as a row of numbers and words: 1080 p 60, 1920 x 1080, 50 fps, full hd.
+    """
+    low = F.lower(label)
+    tokens = F.regexp_extract_all(low, F.lit("[0-9]+|[a-z]+|×"), F.lit(0))
+    line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+
+    def number(pattern: str, group: int = 1) -> Column:
+        found = F.regexp_extract(line, pattern, group)
+        return F.when(found != "", found.cast("int"))
+
+    # names in Latin letters are whole words, others parts of the label
+    says = lambda names: reduce(or_, ((line.contains(f" {x} ") if x.isascii() else low.contains(x)) for x in names))
+    named = F.coalesce(*[F.when(line.contains(f" {name} "), lines) for name, lines in RESOLUTIONS])
+    resolution = F.coalesce(number(" ([0-9]{3,4}) p "), number(" [0-9]{3,4} [x×] ([0-9]{3,4}) "), named)
+    rates = number(" [0-9]{3,4} p ([0-9]{2,3}) "), number(" ([0-9]{2,3}) (fps|hz) ")
     rate = F.coalesce(*[F.when(r.between(20, 240), r) for r in rates])
-    auto = text.rlike(AUTO)
-    return F.struct(
-        F.when(~auto, resolution).alias("resolution"), rate.alias("frame_rate"), text.rlike(ENHANCED).alias("enhanced"), text.rlike(HDR).alias("hdr"), auto.alias("auto")
-    )
+    auto = says(AUTO)
+    return F.struct(F.when(~auto, resolution).alias("resolution"), rate.alias("frame_rate"), says(ENHANCED).alias("enhanced"), says(HDR).alias("hdr"), auto.alias("auto"))
 
 
 def describe_quality(resolution: Column, enhanced: Column, hdr: Column, frame_rate: Column) -> Column:
@@ -64,12 +74,17 @@ def describe_quality(resolution: Column, enhanced: Column, hdr: Column, frame_ra
 
 
 def parse_setting(c: Column) -> Column:
-    """struct(place, int_ext, time_of_day) of a setting's description; markers go at its edges only."""
-    kind = F.when(c.rlike(r"(?i)\b(int\.?|interior|indoors?|inside)\b"), "INT").when(c.rlike(r"(?i)\b(ext\.?|exterior|outdoors?|outside|street|park|forest|beach)\b"), "EXT")
-    when = F.upper(F.regexp_extract(c, rf"(?i)\b({TIMES})\b", 1))
-    place = F.regexp_replace(F.trim(c), r"(?i)^(int|ext|interior|exterior)\.?[\s,:-]+", "")
-    place = F.regexp_replace(place, rf"(?i)[\s,-]+({TIMES})\.?$", "")
-    return F.struct(F.trim(F.regexp_replace(place, r"\s+", " ")).alias("place"), kind.alias("int_ext"), F.when(when != "", when).alias("time_of_day"))
+    """struct(place, int_ext, time_of_day) of a setting's description: its words are looked up; a marker goes from the front, a time from the end."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    holds = lambda names: F.arrays_overlap(words, F.array(*map(F.lit, names)))
+    kind = F.when(holds(INSIDE), "INT").when(holds(OUTSIDE), "EXT")
+    when = F.upper(F.get(F.filter(words, lambda w: w.isin(*TIMES)), 0))
+    whole = F.trim(c)
+    bare = lambda x: F.regexp_replace(F.lower(x), r"\.$", "")
+    head, tail = r"(?s)^([^\s,:-]+)[\s,:-]+(.*)$", r"(?s)^(.*?)[\s,-]+([^\s,-]+)$"
+    whole = F.when(bare(F.regexp_extract(whole, head, 1)).isin(*MARKERS), F.regexp_extract(whole, head, 2)).otherwise(whole)
+    whole = F.when(bare(F.regexp_extract(whole, tail, 2)).isin(*TIMES), F.regexp_extract(whole, tail, 1)).otherwise(whole)
+    return F.struct(F.trim(F.regexp_replace(whole, r"\s+", " ")).alias("place"), kind.alias("int_ext"), when.alias("time_of_day"))
 
 
 def scene_heading(place: Column, int_ext: Column, time_of_day: Column, language: Column) -> Column:

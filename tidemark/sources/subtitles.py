@@ -20,9 +20,11 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detect_format(content: Column) -> Column:
-    """vtt or srt by the head of the file, not by its name; else unknown."""
-    head = F.regexp_replace(content, r"^\x{FEFF}?\s*", "")
-    return F.when(head.rlike("(?i)^WEBVTT"), "vtt").when(head.rlike(TIMING) | head.rlike(r"^[0-9]+\s*\r?\n\s*[0-9]{1,3}:[0-9]{2}"), "srt").otherwise("unknown")
+    """vtt or srt by the first lines of the file, not by its name; else unknown. A cue begins with its times, or with its number and then a time."""
+    lines = F.filter(F.split(F.regexp_replace(content, r"^\x{FEFF}", ""), r"\r\n?|\n"), lambda x: F.trim(x) != "")
+    first, second = F.ltrim(F.get(lines, 0)), F.ltrim(F.get(lines, 1))
+    cue = first.rlike(TIMING) | (first.rlike(r"^[0-9]+\s*$") & second.rlike(r"^[0-9]{1,3}:[0-9]{2}"))
+    return F.when(F.upper(first).startswith("WEBVTT"), "vtt").when(cue, "srt").otherwise("unknown")
 
 
 def language_from_filename(path: Column) -> Column:
@@ -33,14 +35,17 @@ def language_from_filename(path: Column) -> Column:
 
 
 def blocks(files: DataFrame) -> DataFrame:
-    """path, block (number), lines, timing (number of the timing line, null without one) of every block that is not a header or a note."""
+    """path, block (number), lines, timing (number of the timing line, null without one) of every block that is not a header or a note.
+
+    Empty lines part blocks; a line that begins a note, a style or a region ends what is read of its block.
+    """
     text = F.regexp_replace(F.regexp_replace("content", r"^\x{FEFF}", ""), r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"(?m)^(?:NOTE|STYLE|REGION)[\s\S]*?(?=\n\n|\z)", "")
-    b = files.select("path", F.posexplode(F.split(text, r"\n{2,}")).alias("block", "body"))
-    lines = F.filter(F.split("body", "\n"), lambda x: F.trim(x) != "")
-    b = b.select("path", "block", lines.alias("lines")).where((F.size("lines") > 0) & ~F.get("lines", 0).rlike("(?i)^WEBVTT"))
-    at = F.array_min(F.transform(F.filter(F.transform("lines", lambda x, i: F.struct(x.rlike(TIMING).alias("ok"), i.alias("i"))), lambda s: s["ok"]), lambda s: s["i"]))
-    return b.withColumn("timing", at)
+    b = files.select("path", F.posexplode(F.split(text, r"\n{2,}")).alias("block", "body")).select("path", "block", F.split("body", "\n").alias("all"))
+    first = lambda test: F.array_min(F.filter(F.transform("all", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull()))
+    note = first(lambda x: F.regexp_extract(x, "^[A-Z]+", 0).rlike("^(NOTE|STYLE|REGION)"))
+    read = F.when(note.isNull(), C("all")).when(note > 0, F.slice("all", 1, note)).otherwise(F.array().cast("array<string>"))
+    b = b.select("path", "block", F.filter(read, lambda x: F.trim(x) != "").alias("all")).where((F.size("all") > 0) & ~F.upper(F.get("all", 0)).startswith("WEBVTT"))
+    return b.withColumn("timing", first(lambda x: x.rlike(TIMING))).withColumnRenamed("all", "lines")
 
 
 def parsed_blocks(files: DataFrame) -> DataFrame:
