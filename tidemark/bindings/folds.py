@@ -1,11 +1,11 @@
-"""Stateful rules over the events and the embeddings. Where SQL can say the rule it is given; tests hold the others against plain loops."""
+"""Stateful rules over the events and the embeddings, with recursive SQL; w20 is held against a plain loop, w38 and j9 against cases made by hand."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.text import comparable_ascii
-from ..operators import folds, intervals
+from ..operators import folds, intervals, sequences
 from ..operators.folds import ordered_fold
 from ..registry import query
 from . import recursions
@@ -134,3 +134,26 @@ def j9_p20_align_tracks(spark, sf_dir):
     e = evidence(spark, sf_dir)
     cue = lambda s: e.where(C("source") == s).select("title_id", "seq", "start_ms", "end_ms", C("props").alias("text"))
     return align_tracks(cue("click"), cue("view"), HOUR)
+
+
+@query(recursions.FORWARD)
+def r10_silences_once(spark, sf_dir):
+    """Stretches of views as silences: none that overlaps one given out before."""
+    e = evidence(spark, sf_dir).where("source = 'view'").select("title_id", "seq", "start_ms", "end_ms")
+    return ordered_fold(e, ["title_id"], ["start_ms", "seq"], folds.Forward, "title_id long, seq long, start_ms long, end_ms long")
+
+
+@query(f"{WITH}, s AS (SELECT title_id, seq, start_ms, sum(CASE WHEN source = 'signup' AND k % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY title_id ORDER BY start_ms, seq ROWS UNBOUNDED PRECEDING) AS segment FROM ev), t AS (SELECT *, row_number() OVER (PARTITION BY title_id, segment ORDER BY start_ms, seq) AS n FROM s) SELECT title_id, seq, CAST(segment AS BIGINT) AS segment, n = 1 AS first FROM t")
+def r8_continuity(spark, sf_dir):
+    """A throttle longer than any segment gives each segment's first row: its state begins anew at a seek."""
+    e = evidence(spark, sf_dir).select("title_id", "seq", C("start_ms").alias("at_ms"), "source", "k")
+    rows = sequences.continuity(e, (C("source") == "signup") & (C("k") % 2 == 0)).select("title_id", "seq", "at_ms", "segment")
+    first = ordered_fold(rows, ["title_id", "segment"], ["at_ms", "seq"], lambda: folds.Throttle(1 << 60), "title_id long, segment long, seq long, at_ms long")
+    return rows.join(first.select("seq", F.lit(True).alias("first")).hint("merge"), "seq", "left").select("title_id", "seq", "segment", F.coalesce("first", F.lit(False)).alias("first"))
+
+
+@query(f"""{WITH}, v AS (SELECT *, max(end_ms) OVER (PARTITION BY title_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ev WHERE source = 'click'),
+i AS (SELECT *, sum(CASE WHEN start_ms <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY title_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS island FROM v), m AS (SELECT title_id, max(end_ms) - min(start_ms) AS ms FROM i GROUP BY title_id, island), c AS (SELECT title_id, sum(ms) AS ms FROM m GROUP BY title_id)
+SELECT v.title_id, count(*) AS events, least(1.0, CAST(any_value(c.ms) AS DOUBLE) / max(end_ms)) AS ratio, CASE WHEN max(start_ms) > min(start_ms) THEN count(*) / ((max(start_ms) - min(start_ms)) / 60000) END AS per_minute FROM v JOIN c ON c.title_id = v.title_id GROUP BY v.title_id""")
+def r9_status(spark, sf_dir):
+    return sequences.status(evidence(spark, sf_dir).where("source = 'click'"))

@@ -140,3 +140,8 @@ sp AS (SELECT title_id, start_ms AS s, coalesce(end_ms, start_ms + 500) AS e FRO
 long AS (SELECT st.title_id, st.low, st.high, coalesce(list({{'s': s, 'e': e, 'm': CAST(0 AS BIGINT), 'x': CAST(NULL AS BIGINT)}} ORDER BY s, e) FILTER (WHERE s IS NOT NULL), []) AS spoken FROM st LEFT JOIN sp ON sp.title_id = st.title_id AND sp.s < st.high AND sp.e > st.low WHERE st.high - st.low > {_L} GROUP BY ALL),
 r AS (SELECT title_id, low, low AS at_ms, high, spoken FROM long UNION ALL SELECT title_id, low, {_CUT}, high, spoken FROM r WHERE high - at_ms > {_L} AND {_CUT} > at_ms)
 SELECT title_id, low AS start_ms, high AS end_ms FROM st WHERE high - low <= {_L} UNION ALL SELECT title_id, at_ms, coalesce(lead(at_ms) OVER (PARTITION BY title_id, low ORDER BY at_ms), high) FROM r"""
+
+FORWARD = recursion(
+    "SELECT title_id, seq, start_ms, end_ms FROM ev WHERE source = 'view'", "start_ms, seq", "CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS until, false AS kept, CAST(NULL AS BIGINT) AS start_ms",
+    "o.seq, CASE WHEN r.until IS NOT NULL AND o.start_ms < r.until THEN r.until ELSE o.end_ms END, r.until IS NULL OR o.start_ms >= r.until, o.start_ms", "SELECT title_id, seq, start_ms, until AS end_ms FROM r WHERE kept",
+)

@@ -178,6 +178,21 @@ def seeks(samples: DataFrame, least_ms: int = 1000) -> DataFrame:
     return s.where(F.abs(C("media_ms") - C("from_ms")) > least_ms).select("title_id", "seq", "from_ms", C("media_ms").alias("to_ms"))
 
 
+def continuity(rows: DataFrame, jump: Column) -> DataFrame:
+    """rows with segment, the number of jumps (seeks) of their title so far: folds keyed by it begin anew at each jump."""
+    return rows.withColumn("segment", F.sum(F.when(jump, 1).otherwise(0)).over(per_title("at_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def status(events: DataFrame) -> DataFrame:
+    """title_id, events, ratio (share of the title that events cover), per_minute (events for each minute between the first and the last start)."""
+    from .intervals import covered_duration
+
+    spans = events.groupBy("title_id").agg(F.count("*").alias("events"), F.max(F.coalesce("end_ms", "start_ms")).alias("_end"), ((F.max("start_ms") - F.min("start_ms")) / 60_000).alias("_minutes"))
+    out = spans.join(covered_duration(events).hint("merge"), "title_id", "left")
+    ratio = F.when(C("_end") > 0, F.least(F.lit(1.0), F.coalesce("covered_ms", F.lit(0)) / C("_end")))
+    return out.select("title_id", "events", ratio.alias("ratio"), F.when(C("_minutes") > 0, C("events") / C("_minutes")).alias("per_minute"))
+
+
 def recent(rows: DataFrame, horizon_ms: int, most: int, bytes_: int) -> DataFrame:
     """The newest rows of each title: within the horizon of its last, ``most`` at most, ``bytes_`` (column size) in sum."""
     newest = Window.partitionBy("title_id").orderBy(F.desc("at_ms"), F.desc("seq"))

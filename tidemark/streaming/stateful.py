@@ -66,29 +66,48 @@ def _there(df: DataFrame, path: str) -> bool:
 def rolling_scenes(path: str, build: Callable[[DataFrame], DataFrame], behind_ms: int = 8000) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: after batch N, path/scenes/batch=N has the scenes of every title with their status.
 
-    Finalized scenes are carried over as they are; the others are built anew from the evidence behind them, which is appended under
-    path/evidence. Rows that end before a title's finalized prefix came too late and are left out. A seek back (source playback, kind
-    seek, to_ms) opens finalized scenes that end at or after its target again. A batch that is run again writes the same.
+    Finalized scenes are carried over as they are; the others are built anew from the evidence behind them. That evidence is kept
+    under path/open, so a batch reads what is open and not the whole past, which stays under path/evidence. Rows that end before a
+    title's finalized prefix came too late: they are left out and counted in path/late. A seek back (source playback, kind seek,
+    to_ms) opens finalized scenes that end at or after its target again, from the whole past. A batch that is run again writes the
+    same; numbers may be skipped.
     """
     from ..plans.build import finalize
 
+    def last_before(batch: DataFrame, table: str, number: int) -> str | None:
+        if not _there(batch, f"{path}/{table}"):
+            return None
+        found = batch.sparkSession.read.parquet(f"{path}/{table}").where(C("batch") < number).agg(F.max("batch")).first()[0]
+        return None if found is None else f"{path}/{table}/batch={found}"
+
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/scenes/batch={number - 1}"
-        final = spark.read.parquet(before).where("status = 'finalized'") if _there(batch, before) else None
+        write = lambda df, table: df.write.mode("overwrite").parquet(f"{path}/{table}/batch={number}")
+        before = last_before(batch, "scenes", number)
+        final, reopened = spark.read.parquet(before).where("status = 'finalized'") if before else None, False
         if final is not None:
             back = batch.where("source = 'playback' and kind = 'seek'").groupBy("title_id").agg(F.min("to_ms").alias("to_ms"))
-            final = final.join(back, "title_id", "left").where("to_ms is null or end_ms < to_ms").drop("to_ms")
+            reopened = not back.isEmpty()
+            final = final.join(back.hint("merge"), "title_id", "left").where("to_ms is null or end_ms < to_ms").drop("to_ms")
             until = final.groupBy("title_id").agg(F.max("end_ms").alias("until"))
-            batch = batch.join(until, "title_id", "left").where(C("until").isNull() | (F.coalesce("end_ms", "start_ms") >= C("until"))).drop("until")
-        batch.write.mode("overwrite").parquet(f"{path}/evidence/batch={number}")
-        held = spark.read.parquet(f"{path}/evidence").where(C("batch") <= number).drop("batch")
-        now = held.groupBy("title_id").agg(F.max(F.coalesce("end_ms", "start_ms")).alias("now_ms"))
+            known = batch.join(until.hint("merge"), "title_id", "left")
+            late = C("until").isNotNull() & (F.coalesce("end_ms", "start_ms") < C("until"))
+            write(known.where(late).groupBy("title_id").agg(F.count("*").alias("late_events")), "late")
+            batch = known.where(~late).drop("until")
+        write(batch, "evidence")
+        fresh = spark.read.parquet(f"{path}/evidence/batch={number}")
+        held_before = None if reopened else last_before(batch, "open", number)
+        held = spark.read.parquet(held_before).unionByName(fresh) if held_before else spark.read.parquet(f"{path}/evidence").where(C("batch") <= number).drop("batch")
+        heads = fresh.groupBy("title_id").agg(F.max(F.coalesce("end_ms", "start_ms")).alias("now_ms"))
+        heads_before = last_before(batch, "playhead", number)
+        if heads_before:
+            heads = heads.unionByName(spark.read.parquet(heads_before)).groupBy("title_id").agg(F.max("now_ms").alias("now_ms"))
+        write(heads, "playhead")
         if final is not None:
-            held = held.join(until, "title_id", "left").where(C("until").isNull() | (C("start_ms") >= C("until"))).drop("until")
-        scenes = finalize(build(held), now, behind_ms)
-        out = scenes if final is None else scenes.unionByName(final)
-        out.write.mode("overwrite").parquet(f"{path}/scenes/batch={number}")
+            held = held.join(until.hint("merge"), "title_id", "left").where(C("until").isNull() | (C("start_ms") >= C("until"))).drop("until")
+        write(held, "open")
+        scenes = finalize(build(spark.read.parquet(f"{path}/open/batch={number}")), spark.read.parquet(f"{path}/playhead/batch={number}"), behind_ms)
+        write(scenes if final is None else scenes.unionByName(final), "scenes")
 
     return run
 
