@@ -153,11 +153,14 @@ def s17_write_srt(spark, sf_dir):
     return render.to_srt(render.render(beats(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {_BEATS}, s AS (SELECT title_id, CAST(place // 4 AS VARCHAR) AS id, min(start_ms) AS a, max(start_ms) + 2500 AS e, list({{'id': CAST(place AS VARCHAR), 'type': type, 'start': start_ms, 'text': text}} ORDER BY place) AS beats FROM b GROUP BY title_id, place // 4),
+t AS (SELECT title_id, list({{'id': id, 'start': a, 'end': e, 'beats': beats}} ORDER BY a) AS scenes FROM s GROUP BY title_id), r AS (SELECT DISTINCT title_id, role FROM b WHERE type = 'dialogue'), c AS (SELECT title_id, list({{'name': role}} ORDER BY role) AS characters FROM r GROUP BY title_id)
+SELECT t.title_id, md5(to_json({{'version': 2, 'title': CAST(t.title_id AS VARCHAR), 'scenes': scenes, 'characters': coalesce(characters, [])}})) AS content FROM t LEFT JOIN c ON c.title_id = t.title_id""")
 def s18_write_json(spark, sf_dir):
     b = beats(spark, sf_dir).withColumns({"scene_id": F.floor(C("place") / 4).cast("string"), "beat_id": C("place").cast("string")})
     s = b.groupBy("title_id", "scene_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    return render.to_json(s, b)
+    people = b.where("type = 'dialogue'").select("title_id", "name").distinct()
+    return render.to_json(s, b, characters=people).withColumn("content", F.md5("content"))
 
 
 @query(f"WITH {_BEATS} SELECT title_id, count(*) * 2 AS lines FROM b WHERE type = 'dialogue' GROUP BY title_id")

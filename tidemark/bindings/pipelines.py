@@ -126,13 +126,14 @@ def p7_search(spark, sf_dir):
 
 
 @query(f"""{WITH}, w AS (SELECT * FROM ev WHERE source = 'view'), s AS (SELECT title_id, seq AS window_seq, start_ms AS a, end_ms AS b, 0 AS i, greatest(start_ms, least(end_ms, start_ms - 1000)) AS start_ms, greatest(start_ms, least(end_ms, start_ms + k * 60000)) AS end_ms FROM w WHERE k % 2 = 0 UNION ALL SELECT title_id, seq, start_ms, end_ms, 0, start_ms, end_ms FROM w WHERE k % 2 = 1)
-SELECT title_id, window_seq, i, start_ms, end_ms FROM s""")
+, p AS (SELECT s.window_seq, v.seq AS speaker_seq, row_number() OVER (PARTITION BY s.window_seq ORDER BY least(s.end_ms, v.end_ms) - greatest(s.start_ms, v.start_ms) DESC, v.start_ms, v.seq) AS n FROM s JOIN ev v ON v.source = 'signup' AND v.title_id = s.title_id AND v.start_ms < s.end_ms AND s.start_ms < v.end_ms)
+SELECT s.title_id, s.window_seq, s.i, s.start_ms, s.end_ms, p.speaker_seq FROM s LEFT JOIN p ON p.window_seq = s.window_seq AND p.n = 1""")
 def p9_transcript_to_evidence(spark, sf_dir):
     e = evidence(spark, sf_dir)
     segment = F.array(F.struct(F.lit(-1000).cast("long").alias("start_ms"), (C("k") * 60000).alias("end_ms"), F.lit("said").alias("text")))
     w = e.where("source = 'view'").select("title_id", "seq", "start_ms", "end_ms", F.lit("all of it").alias("text"), F.when(C("k") % 2 == 0, segment).alias("segments"))
     speakers = e.where("source = 'signup'").select("title_id", C("seq").alias("r_seq"), C("start_ms").alias("r_start"), C("end_ms").alias("r_end"))
-    return requests.transcript_to_evidence(w, speakers, HOUR).select("title_id", "window_seq", "i", "start_ms", "end_ms")
+    return requests.transcript_to_evidence(w, speakers, HOUR).select("title_id", "window_seq", "i", "start_ms", "end_ms", "speaker_seq")
 
 
 def _analyses(spark, sf_dir):

@@ -64,13 +64,21 @@ def to_srt(lines: DataFrame) -> DataFrame:
     return listed.select("title_id", F.array_join(cue, "\n").alias("content"))
 
 
-def to_json(scenes: DataFrame, beats: DataFrame) -> DataFrame:
-    """The project envelope of each title. scenes: title_id, scene_id, start_ms, end_ms; beats also scene_id, place."""
+def to_json(scenes: DataFrame, beats: DataFrame, **sections: DataFrame) -> DataFrame:
+    """The project envelope of each title. scenes: title_id, scene_id, start_ms, end_ms; beats also scene_id, place.
+
+    sections: further parts by name (characters, languages, coverage, conflicts, sources ...), each a table with title_id whose
+    other columns are one entry; entries stand in the order of their columns, a title without any has an empty list.
+    """
     b = beats.groupBy("title_id", "scene_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(C("beat_id").alias("id"), "type", C("start_ms").alias("start"), "text").alias("b")))), lambda x: x["b"]).alias("beats"))
     s = scenes.join(b, ["title_id", "scene_id"], "left")
     one = F.struct("start_ms", F.struct(C("scene_id").alias("id"), C("start_ms").alias("start"), C("end_ms").alias("end"), "beats").alias("s"))
     listed = s.groupBy("title_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]).alias("scenes"))
-    return listed.select("title_id", F.to_json(F.struct(F.lit(2).alias("version"), C("title_id").cast("string").alias("title"), "scenes")).alias("content"))
+    for name, rows in sections.items():
+        entry = F.struct(*[c for c in rows.columns if c != "title_id"])
+        part = rows.groupBy("title_id").agg(F.array_sort(F.collect_list(entry)).alias(name))
+        listed = listed.join(part.hint("merge"), "title_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return listed.select("title_id", F.to_json(F.struct(F.lit(2).alias("version"), C("title_id").cast("string").alias("title"), "scenes", *sections)).alias("content"))
 
 
 def build_filename(series: Column, title: Column, season: Column, episode: Column, language: Column, extension: str) -> Column:

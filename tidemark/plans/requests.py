@@ -11,7 +11,7 @@ from ..operators.joins import best_overlap, top_before
 C = F.col
 #: Shape of a window's analysis.
 ANALYSIS = """struct<actions: array<struct<offset_ms: long, description: string, participants: array<string>, confidence: string>>,
- characters: array<struct<label: string, present: boolean>>, setting_changes: array<struct<description: string, int_ext: string, time_of_day: string, confidence: string>>,
+ characters: array<struct<label: string, present: boolean, enters: boolean, exits: boolean, expression: string>>, setting_changes: array<struct<description: string, int_ext: string, time_of_day: string, confidence: string>>,
  text: array<struct<text: string, offset_ms: long>>, uncertainties: array<string>>""".replace("\n", "")
 
 
@@ -23,6 +23,14 @@ def dialogue_in_window(windows: DataFrame, lines: DataFrame, bucket_ms: int, lea
     return hits.withColumn("_n", n).where(C("_n") <= most).withColumn("at_ms", F.greatest("r_start", "_start")).drop("_n", "_start")
 
 
+def sounds_in_window(windows: DataFrame, sounds: DataFrame, bucket_ms: int, most: int = 8) -> DataFrame:
+    """Of each window (seq) the first sounds (r_seq, r_at) that begin in its closed range."""
+    points = sounds.select("title_id", "r_seq", C("r_at").alias("r_start"), C("r_at").alias("r_end"))
+    hits = overlap_join(windows.withColumn("end_ms", C("end_ms") + 1), points, bucket_ms, closed=True)
+    n = F.row_number().over(Window.partitionBy("seq").orderBy("r_start", "r_seq"))
+    return hits.withColumn("_n", n).where(C("_n") <= most).select("seq", "r_seq", C("r_start").alias("at_ms"))
+
+
 def extract_json(text: Column) -> Column:
     """The first JSON object in fenced or plain prose, null if there is none that parses."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
@@ -36,11 +44,12 @@ def validate_analysis(body: Column) -> Column:
     a = F.from_json(body, ANALYSIS)
     some = lambda x: F.coalesce(x, F.array())
     sure = lambda c: F.when(c.isin("high", "medium", "low"), c).otherwise("unknown")
-    actions = F.transform(F.slice(F.filter(some(a["actions"]), lambda x: F.trim(F.coalesce(x["description"], F.lit(""))) != ""), 1, 12), lambda x: F.struct(F.coalesce(x["offset_ms"], F.lit(0)).alias("offset_ms"), F.trim(x["description"]).alias("description"), sure(x["confidence"]).alias("confidence")))
+    actions = F.transform(F.slice(F.filter(some(a["actions"]), lambda x: F.trim(F.coalesce(x["description"], F.lit(""))) != ""), 1, 12), lambda x: F.struct(F.coalesce(x["offset_ms"], F.lit(0)).alias("offset_ms"), F.trim(x["description"]).alias("description"), F.slice(F.filter(some(x["participants"]), lambda p: F.trim(F.coalesce(p, F.lit(""))) != ""), 1, 8).alias("participants"), sure(x["confidence"]).alias("confidence")))
     settings = F.transform(F.slice(F.filter(some(a["setting_changes"]), lambda x: F.trim(F.coalesce(x["description"], F.lit(""))) != ""), 1, 4), lambda x: F.struct(F.trim(x["description"]).alias("description"), F.coalesce(F.when(x["int_ext"].isin("INT", "EXT"), x["int_ext"]), F.lit("UNKNOWN")).alias("int_ext"), sure(x["confidence"]).alias("confidence")))
     text = F.slice(F.filter(some(a["text"]), lambda x: F.trim(F.coalesce(x["text"], F.lit(""))) != ""), 1, 8)
     people = F.slice(F.filter(some(a["characters"]), lambda x: F.trim(F.coalesce(x["label"], F.lit(""))) != ""), 1, 10)
-    return F.when(a.isNotNull() & a["actions"].isNotNull(), F.struct(actions.alias("actions"), people.alias("characters"), settings.alias("setting_changes"), text.alias("text")))
+    doubts = F.slice(F.filter(some(a["uncertainties"]), lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), 1, 8)
+    return F.when(a.isNotNull() & a["actions"].isNotNull(), F.struct(actions.alias("actions"), people.alias("characters"), settings.alias("setting_changes"), text.alias("text"), doubts.alias("uncertainties")))
 
 
 def transcript_to_evidence(windows: DataFrame, speakers: DataFrame, bucket_ms: int) -> DataFrame:
