@@ -137,3 +137,19 @@ def test_complete_sources(spark):
     coverage = spark.createDataFrame([(1, 0.4), (2, 0.5)], "title_id long, ratio double")
     out = project.mark_complete(coverage, spark.createDataFrame([(1, "subtitle"), (1, "video")], "title_id long, source string"))
     assert sorted((r.title_id, r.ratio, r.complete) for r in out.collect()) == [(1, 1.0, True), (2, 0.5, False)]
+
+
+def test_request_table_by_loops(spark):
+    hour = 3_600_000
+    rows = {}
+    for r in views.evidence(spark, SF).select("title_id", "seq", "source", "start_ms", "end_ms").collect():
+        rows.setdefault(r.title_id, []).append(r)
+    want = {}
+    for title, items in rows.items():
+        of = lambda s: [r for r in items if r.source == s]  # noqa: B023, E731
+        for w in of("purchase"):
+            lines = sorted((r for r in of("view") if r.start_ms < w.end_ms and r.end_ms >= w.start_ms - 2000), key=lambda r: (r.start_ms, r.seq))[:12]
+            newest = lambda s, within, strict: [r.seq for r in sorted((r for r in of(s) if w.start_ms - r.start_ms <= within and (r.start_ms < w.start_ms or not strict and r.start_ms == w.start_ms)), key=lambda r: (-r.start_ms, -r.seq))]  # noqa: B023, E731
+            setting = newest("signup", 50 * hour, False)
+            want[w.seq] = ([r.seq for r in sorted(lines, key=lambda r: (max(r.start_ms, w.start_ms), r.seq))], setting[0] if setting else None, newest("click", 12 * hour, True)[:3])
+    assert {r.seq: (r.dialogue, r.setting, r.actions) for r in QUERIES["p21_request_table"](spark, SF).collect()} == want

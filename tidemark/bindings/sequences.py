@@ -137,17 +137,20 @@ df AS (SELECT o.title_id, o.seq, o.at_ms, o.prev, a.i, a.luma, b.luma AS was, ab
 hs AS (SELECT seq, least(31, luma // 8) AS bin, count(*) / 64.0 AS share FROM fr GROUP BY 1, 2), hd AS (SELECT o.seq, 1 - coalesce(sum(least(a.share, coalesce(b.share, 0))), 0) AS hist FROM od o LEFT JOIN hs a ON a.seq = o.seq LEFT JOIN hs b ON b.seq = o.prev AND b.bin = a.bin WHERE o.prev IS NOT NULL GROUP BY o.seq),
 mn AS (SELECT seq, sum(luma) / (64 * 255.0) AS mean FROM fr GROUP BY seq), fd AS (SELECT title_id, seq, at_ms, prev, sum(d) / (64 * 255.0) AS frame_difference FROM df GROUP BY 1, 2, 3, 4),
 bl AS (SELECT seq, ((i - 1) // 8) // 4 * 2 + ((i - 1) % 8) // 4 AS b, sum(d) / (16 * 255.0) AS m FROM df GROUP BY 1, 2), bm AS (SELECT seq, avg(m) AS mean, max(m) AS top FROM bl GROUP BY seq),
+rg AS (SELECT seq, greatest(sum(d) FILTER (WHERE (i - 1) // 8 < 4) / (32 * 255.0), sum(d) FILTER (WHERE (i - 1) // 8 >= 5) / (24 * 255.0)) AS text_change, sum(d) FILTER (WHERE (i - 1) // 8 BETWEEN 1 AND 5 AND (i - 1) % 8 BETWEEN 1 AND 6) / (30 * 255.0) AS face_change FROM df GROUP BY seq),
 mt AS (SELECT fd.title_id, fd.seq, fd.at_ms, frame_difference, CASE WHEN bm.mean <= 0.001 THEN 0.0 ELSE least(1.0, bm.mean * 4 * (0.4 + 0.6 * least(1.0, (top - bm.mean) / greatest(bm.mean, 0.02)))) END AS motion,
-least(1.0, greatest(sqrt(frame_difference * greatest(hist, 0)) * 2.2, CASE WHEN abs(a.mean - p.mean) > 0.35 THEN abs(a.mean - p.mean) ELSE 0.0 END)) AS cut FROM fd JOIN hd USING (seq) JOIN bm USING (seq) JOIN mn a ON a.seq = fd.seq JOIN mn p ON p.seq = fd.prev)"""
+least(1.0, greatest(sqrt(frame_difference * greatest(hist, 0)) * 2.2, CASE WHEN abs(a.mean - p.mean) > 0.35 THEN abs(a.mean - p.mean) ELSE 0.0 END)) AS cut , text_change, face_change, a.mean AS luminance FROM fd JOIN hd USING (seq) JOIN bm USING (seq) JOIN rg USING (seq) JOIN mn a ON a.seq = fd.seq JOIN mn p ON p.seq = fd.prev)"""
 
 
-@query(f"WITH {_FRAMES} SELECT title_id, seq, round(frame_difference, 9) AS frame_difference, round(motion, 9) AS motion, round(cut, 9) AS cut FROM mt")
+@query(f"WITH {_FRAMES} SELECT title_id, seq, round(frame_difference, 9) AS frame_difference, round(motion, 9) AS motion, round(cut, 9) AS cut, round(text_change, 9) AS text_change, round(face_change, 9) AS face_change, round(luminance, 9) AS luminance FROM mt")
 def w22_frame_metrics(spark, sf_dir):
     m = sequences.frame_metrics(frames(spark, sf_dir), 8, 8)
-    return m.select("title_id", "seq", *[F.round(c, 9).alias(c) for c in ("frame_difference", "motion", "cut")])
+    return m.select("title_id", "seq", *[F.round(c, 9).alias(c) for c in ("frame_difference", "motion", "cut", "text_change", "face_change", "luminance")])
 
 
-@query()
+@query(f"""WITH {_FRAMES}, nr AS (SELECT *, last_value(CASE WHEN cut >= 0.6 THEN at_ms END IGNORE NULLS) OVER (PARTITION BY title_id ORDER BY at_ms, seq ROWS UNBOUNDED PRECEDING) AS cut_at FROM mt WHERE NOT (frame_difference < 0.006 AND motion < 0.02 AND cut < 0.05)),
+im AS (SELECT *, (least(1.0, 1.6 * (0.15 * frame_difference + 0.25 * motion + 0.35 * cut + 0.15 * text_change + 0.1 * face_change)) + CASE WHEN at_ms - cut_at <= 1500 THEN 0.2 * (1 - (at_ms - cut_at) / 1500) ELSE 0.0 END) * CASE WHEN luminance < 0.02 AND cut < 0.5 THEN 0.3 ELSE 1.0 END AS score FROM nr)
+SELECT title_id, seq, at_ms, round(greatest(0.0, least(1.0, score)), 9) AS importance FROM im WHERE score >= 0.08""")
 def w23_w25_scan(spark, sf_dir):
     return sequences.scan(frames(spark, sf_dir), 8, 8).select("title_id", "seq", "at_ms", F.round("importance", 9).alias("importance"))
 
