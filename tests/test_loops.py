@@ -153,3 +153,34 @@ def test_request_table_by_loops(spark):
             setting = newest("signup", 50 * hour, False)
             want[w.seq] = ([r.seq for r in sorted(lines, key=lambda r: (max(r.start_ms, w.start_ms), r.seq))], setting[0] if setting else None, newest("click", 12 * hour, True)[:3])
     assert {r.seq: (r.dialogue, r.setting, r.actions) for r in QUERIES["p21_request_table"](spark, SF).collect()} == want
+
+
+def test_align_tracks_by_loops(spark):
+    """Groups that share a second cue with all that was merged before them join, also where the last of these does not hold it."""
+    from tidemark.plans.alignment import align_tracks
+
+    r = random.Random(7)
+    cues = lambda n, first: [(t, first + 100 * t + i, s := r.randrange(0, 4000), s + r.randrange(50, 900), f"x{i}") for t in (1, 2) for i in range(n)]
+    primary, secondary = cues(25, 0), cues(18, 1000)
+    want = []
+    for title in (1, 2):
+        left, right = ([c for c in side if c[0] == title] for side in (primary, secondary))
+        share = lambda a, b: (min(a[3], b[3]) - max(a[2], b[2])) / min(a[3] - a[2], b[3] - b[2])
+        rows, used = [], set()
+        for a in left:
+            hits = sorted((b for b in right if share(a, b) > 0 and share(a, b) >= 0.25), key=lambda b: (b[2], b[1]))
+            used |= {b[1] for b in hits}
+            rows.append((min([a[2], *(b[2] for b in hits)]), a[1], max([a[3], *(b[3] for b in hits)]), [a[1]], [b[1] for b in hits]))
+        rows += [(b[2], b[1], b[3], [], [b[1]]) for b in right if b[1] not in used]
+        groups = []
+        for start, _, end, one, two in sorted(rows, key=lambda x: x[:2]):
+            if groups and set(groups[-1][3]) & set(two):
+                g = groups[-1]
+                groups[-1] = (g[0], max(g[1], end), g[2] + one, g[3] + [s for s in two if s not in g[3]])
+            else:
+                groups.append((start, end, one, two))
+        want += [(title, *g) for g in groups]
+    schema = "title_id long, seq long, start_ms long, end_ms long, text string"
+    out = align_tracks(spark.createDataFrame(primary, schema), spark.createDataFrame(secondary, schema), 500)
+    got = sorted((x.title_id, x.start_ms, x.end_ms, list(x.primary), list(x.secondary)) for x in out.collect())
+    assert got == sorted(want) and len(got) < 60

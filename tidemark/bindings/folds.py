@@ -1,4 +1,4 @@
-"""Stateful rules over the events and the embeddings, with recursive SQL; w20 is held against a plain loop, w38 and j9 against cases made by hand."""
+"""Stateful rules over the events and the embeddings, with recursive SQL; w20 and j9 are held against plain loops, w38 against cases made by hand."""
 
 from __future__ import annotations
 

@@ -18,15 +18,16 @@ def align_tracks(primary: DataFrame, secondary: DataFrame, bucket_ms: int = 4000
     """
     right = secondary.select("title_id", C("seq").alias("r_seq"), C("start_ms").alias("r_start"), C("end_ms").alias("r_end"))
     pairs = align_pairs(primary, right, bucket_ms, least)
-    hits = pairs.groupBy("seq").agg(F.min("r_start").alias("a"), F.max("r_end").alias("b"), F.transform(F.array_sort(F.collect_list(F.struct("r_start", "r_seq"))), lambda x: x["r_seq"]).alias("secondary"), F.max("strength").alias("strength"))
-    left = primary.join(hits.hint("merge"), "seq", "left").select("title_id", F.least("start_ms", "a").alias("start_ms"), F.greatest("end_ms", "b").alias("end_ms"), F.array("seq").alias("primary"), F.coalesce("secondary", F.array().cast("array<long>")).alias("secondary"), F.coalesce("strength", F.lit(0.0)).alias("strength"), "seq")
+    hits = pairs.groupBy("seq").agg(F.min("r_start").alias("a"), F.max("r_end").alias("b"), F.max("r_start").alias("_hi"), F.transform(F.array_sort(F.collect_list(F.struct("r_start", "r_seq"))), lambda x: x["r_seq"]).alias("secondary"), F.max("strength").alias("strength"))
+    left = primary.join(hits.hint("merge"), "seq", "left").select("title_id", F.least("start_ms", "a").alias("start_ms"), F.greatest("end_ms", "b").alias("end_ms"), F.array("seq").alias("primary"), F.coalesce("secondary", F.array().cast("array<long>")).alias("secondary"), F.coalesce("strength", F.lit(0.0)).alias("strength"), "seq", C("a").alias("_lo"), "_hi")
     alone = secondary.join(pairs.select(C("r_seq").alias("seq")).distinct().hint("merge"), "seq", "left_anti")
-    alone = alone.select("title_id", "start_ms", "end_ms", F.array().cast("array<long>").alias("primary"), F.array("seq").alias("secondary"), F.lit(0.0).alias("strength"), "seq")
+    alone = alone.select("title_id", "start_ms", "end_ms", F.array().cast("array<long>").alias("primary"), F.array("seq").alias("secondary"), F.lit(0.0).alias("strength"), "seq", C("start_ms").alias("_lo"), C("start_ms").alias("_hi"))
     order = Window.partitionBy("title_id").orderBy("start_ms", "seq")
     g = left.unionByName(alone)
-    near = g.withColumns({"_p": F.arrays_overlap("secondary", F.lag("secondary").over(order)), "_n": F.arrays_overlap("secondary", F.lead("secondary").over(order))})
-    near = near.withColumn("_joins", F.coalesce("_p", F.lit(False)) | F.coalesce("_n", F.lit(False)))
-    runs = near.withColumn("run", F.sum(F.when(F.coalesce("_p", F.lit(False)), 0).otherwise(1)).over(order))
+    # a row whose second cues all begin after those of the rows before it shares none with them: there runs part
+    reach = g.withColumn("_reach", F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = reach.withColumn("run", F.sum(F.when(C("_lo") <= C("_reach"), 0).otherwise(1)).over(order))
+    runs = runs.withColumn("_joins", F.count("*").over(Window.partitionBy("title_id", "run")) > 1)
     cols = ["title_id", "start_ms", "end_ms", "primary", "secondary", "strength"]
     folded = ordered_fold(runs.where("_joins").select("run", "seq", *cols), ["title_id", "run"], ["start_ms", "seq"], MergeAligned, "title_id long, run long, start_ms long, end_ms long, primary array<long>, secondary array<long>, strength double")
     groups = runs.where("not _joins").select(*cols).unionByName(folded.select(*cols))
