@@ -1,4 +1,4 @@
-"""The ten operators against brute force, on small tables with nulls, empty and repeated texts, ties and extra columns."""
+"""The operators of the first rounds against brute force, on small tables with nulls, empty and repeated texts, ties and extra columns."""
 
 import collections
 import hashlib

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html, jaccard, mixing, packing, quality, rules, substrings, urls, warc
+from . import alignment, fingerprints, html, jaccard, mixing, packing, quality, rules, runs, substrings, toxicity, urls, warc
 from .common import table
 
 URL_RULES = [
@@ -70,11 +70,27 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents' words, of which those whose id's CRC-32 is a multiple of ten are made periodic at their end first."""
+    return runs.detect_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labels outside the held-out quarter of ids."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    rated = toxicity.rate_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held_out))
+    return rated.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_url_filters, op3_substring_dedup, op4_best_fit_packing, op5_document_fingerprints, op6_html_extraction,
-        op7_quality_rules, op8_source_mixing, op9_warc_fixity, op10_ngram_jaccard_join,
+        op7_quality_rules, op8_source_mixing, op9_warc_fixity, op10_ngram_jaccard_join, op11_periodic_runs, op12_toxicity, op13_tokenizer_alignment,
     )
 }
 
