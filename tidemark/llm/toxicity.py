@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ LEAST_CHI = 6.6
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(64 - DIMENSIONS.bit_length() + 1)
 #: Slots of fewer sampled documents, or of a lesser chi-square over the whole sample, are dropped before the fit.
-LEAST_ROWS, LEAST_SEEN_CHI = 5, 2.0
+LEAST_ROWS, LEAST_SEEN_CHI = 5, 3.3
 
 
 @dataclass(frozen=True)
@@ -90,11 +91,10 @@ def fit_scaled(index: np.ndarray, sizes: np.ndarray, label: np.ndarray, ratio: n
     share = float(label.mean()) if len(label) else 0.0
     if not 0 < share < 1:
         return ToxicModel(np.zeros(len(ratio), np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    on = ratio[index] != 0
-    index, doc = index[on], doc[on]
-    used, at = np.unique(index, return_inverse=True)
-    at = at.astype(np.int32)
+    on = (ratio != 0)[index]
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[on]
+    used = np.flatnonzero(ratio)
+    at = (np.cumsum(ratio != 0, dtype=np.int32) - 1)[index[on]]
     r = ratio[used]
     v = np.zeros(len(used) + 1)
     v[-1] = np.log(share / (1 - share))
@@ -148,7 +148,7 @@ def fit_calibrated(index: np.ndarray, sizes: np.ndarray, label: np.ndarray, toxi
     return ToxicModel(model.weights * np.float32(stretch), model.bias * stretch + float(line[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000, seed: int = 11) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 10000, seed: int = 11) -> ToxicModel:
     """Learn from at most ``sample_rows`` labelled documents of labels (doc_id, toxic).
 
     The driver gets the counts of at most ``DIMENSIONS`` slots and one packed row for each document of the sample.
@@ -191,9 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000, seed: in
     wanted.destroy()
     forget(rows)
     assert fetched.num_rows <= sample_rows
-    slots = fetched["slots"].to_pylist()
-    sizes = np.array([len(s) // 4 for s in slots], np.int64)
-    return fit_calibrated(np.frombuffer(b"".join(slots), "<i4"), sizes, fetched["toxic"].to_numpy().astype(np.int64), toxic, other, n_toxic, n_other)
+    packed = fetched["slots"].combine_chunks()
+    sizes = np.array(pc.binary_length(packed), np.int64) // 4
+    index = np.frombuffer(packed.buffers()[2], "<i4")[: sizes.sum()] if sizes.any() else np.zeros(0, np.int32)
+    return fit_calibrated(index, sizes, fetched["toxic"].to_numpy().astype(np.int64), toxic, other, n_toxic, n_other)
 
 
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> DataFrame:
@@ -211,7 +212,7 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> DataFra
     return rated.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def rate_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20000, threshold: float = 0.3) -> DataFrame:
+def rate_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 10000, threshold: float = 0.3) -> DataFrame:
     """docs with score and predicted, by a model of these labels."""
     small_batches(docs.sparkSession)
     return score(docs, train(docs, labels, sample_rows), threshold)
