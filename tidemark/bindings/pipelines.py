@@ -125,6 +125,51 @@ def p7_search(spark, sf_dir):
     return search.search(beats(spark, sf_dir), "Th", "dialogue", None).select("title_id", "place", "type", "at")
 
 
+def _scoped(spark, sf_dir):
+    """The beats with dialogue in two variants: one with dashes for the word "the", then the text itself."""
+    b = beats(spark, sf_dir)
+    dashed = F.regexp_replace("text", r"\bthe\b", "\u2014")
+    two = F.array(F.struct(F.lit("aa").alias("language"), dashed.alias("text")), F.struct(F.lit("bb").alias("language"), C("text").alias("text")))
+    return b.withColumn("variants", F.when(C("type") == "dialogue", two))
+
+
+def _found(needle: str, text: str) -> str:
+    """Place and length of the first hit, by an array of characters with their places."""
+    signs = "[.,!?;:''\"()\\[\\]{{}}\\-\u2013\u2014\u2026\u00b7\u2018\u2019\u02bc\u201c\u201d]"
+    return f"""seen AS (SELECT *, list_filter(list_transform(range(1, length({text}) + 1), lambda i: {{{{'c': lower(substr({text}, i, 1)), 'i': i - 1}}}}), lambda x: NOT regexp_matches(x.c, '{signs}')) AS a FROM cand),
+single AS (SELECT * EXCLUDE (a), list_filter(a, lambda x, k: x.c <> ' ' OR (k > 1 AND a[k - 1].c <> ' ')) AS a FROM seen), cut AS (SELECT * EXCLUDE (a), CASE WHEN a[len(a)].c = ' ' THEN a[:len(a) - 1] ELSE a END AS a FROM single),
+hit AS (SELECT *, strpos(array_to_string(list_transform(a, lambda x: x.c), ''), '{needle}') AS p FROM cut)""".replace("{{", "{").replace("}}", "}")
+
+
+_VARIANTS = "v AS (SELECT title_id, place, type, role, 1 AS n, 'aa' AS language, regexp_replace(text, '\\bthe\\b', '\u2014', 'g') AS text FROM b WHERE type = 'dialogue' UNION ALL SELECT title_id, place, type, role, 2, 'bb', text FROM b WHERE type = 'dialogue' UNION ALL SELECT title_id, place, type, NULL, 3, NULL, text FROM b WHERE type <> 'dialogue')"
+_NEEDLE = "in the"
+
+
+@query(f"""WITH {_BEATS}, {_VARIANTS},
+cand AS (SELECT 'all' AS scope, * FROM v UNION ALL SELECT 'language', * FROM v WHERE n = 2 UNION ALL SELECT 'first', * FROM v WHERE n = 1 UNION ALL SELECT 'action', * FROM v WHERE n = 3), {_found(_NEEDLE, "text")},
+best AS (SELECT *, row_number() OVER (PARTITION BY scope, title_id, place ORDER BY n) AS k FROM hit WHERE p > 0)
+SELECT scope, title_id, place, language, text, CAST(a[p].i AS INT) AS at, CAST(greatest(1, coalesce(a[p + {len(_NEEDLE)}].i, length(text)) - a[p].i) AS INT) AS length FROM best WHERE k = 1
+UNION ALL SELECT 'speaker', title_id, place, language, text, 0, 0 FROM v WHERE n = 2 AND contains(role, 'ser')""")
+def p7_search_scopes(spark, sf_dir):
+    b = _scoped(spark, sf_dir)
+    asked = {
+        "all": search.search(b, "In, the", limit=None, all_languages=True), "language": search.search(b, "IN THE", "dialogue", None, "bb"), "first": search.search(b, "in the", "dialogue", None),
+        "action": search.search(b, "in the", "action", None), "speaker": search.search(b, "SER", "speaker", None, "bb"),
+    }
+    out = None
+    for scope, hits in asked.items():
+        hits = hits.select(F.lit(scope).alias("scope"), "title_id", "place", "language", "text", "at", "length")
+        out = hits if out is None else out.unionAll(hits)
+    return out
+
+
+@query(f"""WITH {_BEATS}, {_VARIANTS}, cand AS (SELECT * FROM v WHERE n <> 2), {_found(_NEEDLE, "text")}
+SELECT title_id, place, CAST(a[p].i AS INT) AS at FROM hit WHERE p > 0 ORDER BY title_id, place LIMIT 50""")
+def k5_search_limit(spark, sf_dir):
+    """The first 50 hits by title and place: the limit is the feature."""
+    return search.search(_scoped(spark, sf_dir), "in the", limit=50).select("title_id", "place", "at")
+
+
 @query(f"""{WITH}, w AS (SELECT * FROM ev WHERE source = 'view'), s AS (SELECT title_id, seq AS window_seq, start_ms AS a, end_ms AS b, 0 AS i, greatest(start_ms, least(end_ms, start_ms - 1000)) AS start_ms, greatest(start_ms, least(end_ms, start_ms + k * 60000)) AS end_ms FROM w WHERE k % 2 = 0 UNION ALL SELECT title_id, seq, start_ms, end_ms, 0, start_ms, end_ms FROM w WHERE k % 2 = 1)
 , p AS (SELECT s.window_seq, v.seq AS speaker_seq, row_number() OVER (PARTITION BY s.window_seq ORDER BY least(s.end_ms, v.end_ms) - greatest(s.start_ms, v.start_ms) DESC, v.start_ms, v.seq) AS n FROM s JOIN ev v ON v.source = 'signup' AND v.title_id = s.title_id AND v.start_ms < s.end_ms AND s.start_ms < v.end_ms)
 SELECT s.title_id, s.window_seq, s.i, s.start_ms, s.end_ms, p.speaker_seq FROM s LEFT JOIN p ON p.window_seq = s.window_seq AND p.n = 1""")
