@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import intervals
+from tidemark.operators import boundaries, intervals
 from tidemark.plans import search
 
 SIGNS = ".,!?;:'\"()[]{}-–—…·‘’ʼ“”"
@@ -132,3 +132,28 @@ def test_as_of_by_chunks(spark):
     for chunk in (50, 1000, 86_400_000):
         got = {x.q: (x.r_seq, x.r_v) for x in intervals.as_of(left, right, ["seq", "v"], chunk_ms=chunk).collect()}
         assert got == want
+
+
+def test_scene_split_by_chunks(spark):
+    r = random.Random(9)
+    events = [(r.choice([1, 1, 1, 2, 3]), i, None if i % 41 == 0 else r.randint(-300, 3000)) for i in range(400)]
+    cuts = sorted({(r.choice([1, 1, 2]), r.randint(-200, 3000)) for _ in range(60)})
+    df, marks = spark.createDataFrame(events, "title_id int, seq int, start_ms long").repartition(3), spark.createDataFrame(cuts, "title_id int, at_ms long")
+    want = {i: 0 if s is None else sum(u == t and at <= s for u, at in cuts) for t, i, s in events}
+    for chunk in (7, 500, 86_400_000):
+        out = boundaries.split_scenes(df, marks, chunk)
+        assert out.columns == ["title_id", "seq", "start_ms", "scene"] and {x.seq: x.scene for x in out.collect()} == want
+
+
+def test_sounds_overlap_windows(spark):
+    from tidemark.plans.requests import sounds_in_window
+
+    r = random.Random(1)
+    windows = [(1, i, 100 * i, 100 * i + r.randint(0, 300)) for i in range(30)]
+    sounds = [(1, i, s, None if i % 9 == 0 else s + r.randint(0, 400)) for i, s in enumerate(r.randint(-200, 3000) for _ in range(250))]
+    got = sorted(map(tuple, sounds_in_window(spark.createDataFrame(windows, "title_id int, seq int, start_ms long, end_ms long"), spark.createDataFrame(sounds, "title_id int, r_seq int, r_start long, r_end long"), 150).collect()))
+    want = []
+    for _, w, a, b in windows:
+        inside = sorted((s, i) for _, i, s, e in sounds if s < b and (s if e is None else e) >= a)[:12]
+        want += [(w, i, min(b, max(a, s))) for s, i in inside]
+    assert got == sorted(want) and max(sum(x[0] == w for x in want) for w in range(30)) == 12

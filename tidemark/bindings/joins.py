@@ -76,14 +76,15 @@ def j15_dialogue_in_window(spark, sf_dir):
     return dialogue_in_window(w, d, HOUR, lead_ms=HOUR // 2).select("seq", C("r_seq").alias("d_seq"), "at_ms")
 
 
-@query(f"""WITH {EV}, p AS (SELECT w.seq, d.seq AS d_seq, d.start_ms AS at_ms, row_number() OVER (PARTITION BY w.seq ORDER BY d.start_ms, d.seq) AS n FROM ev w JOIN ev d ON d.title_id = w.title_id AND w.source = 'purchase' AND d.source = 'click' AND d.start_ms BETWEEN w.start_ms AND w.end_ms)
-SELECT seq, d_seq, at_ms FROM p WHERE n <= 8""")
+@query(f"""WITH {EV}, p AS (SELECT w.seq, d.seq AS d_seq, least(w.end_ms, greatest(w.start_ms, d.start_ms)) AS at_ms, row_number() OVER (PARTITION BY w.seq ORDER BY d.start_ms, d.seq) AS n FROM ev w JOIN ev d ON d.title_id = w.title_id AND w.source = 'purchase' AND d.source = 'click' AND d.start_ms < w.end_ms AND d.end_ms >= w.start_ms)
+SELECT seq, d_seq, at_ms FROM p WHERE n <= 12""")
 def j15_sounds_in_window(spark, sf_dir):
     from ..plans.requests import sounds_in_window
 
     e = evidence(spark, sf_dir)
     w = e.where("source = 'purchase'").select("title_id", "seq", "start_ms", "end_ms")
-    return sounds_in_window(w, _moments(e, "click"), HOUR).select("seq", C("r_seq").alias("d_seq"), "at_ms")
+    d = e.where("source = 'click'").select("title_id", C("seq").alias("r_seq"), C("start_ms").alias("r_start"), C("end_ms").alias("r_end"))
+    return sounds_in_window(w, d, HOUR).select("seq", C("r_seq").alias("d_seq"), "at_ms")
 
 
 @query(f"""WITH {EV}, b AS (SELECT w.seq, max(m.k / 100.0) AS best FROM ev w JOIN ev m ON m.title_id = w.title_id AND w.source = 'view' AND m.source = 'click' AND m.start_ms >= w.start_ms - {HOUR} AND m.start_ms <= w.end_ms + {HOUR} GROUP BY w.seq)

@@ -88,12 +88,19 @@ def detect_boundaries(events: DataFrame, window_ms: int = 1200, threshold: float
     return select_boundaries(score_candidates(signals(events, least_gap), window_ms), threshold, least_ms)
 
 
-def split_scenes(events: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """events with scene (its number in the title): the last boundary at or before the start opens its scene. A running count, no range join."""
+def split_scenes(events: DataFrame, boundaries: DataFrame, chunk_ms: int = 86_400_000) -> DataFrame:
+    """events with scene (its number in the title): the last boundary at or before the start opens its scene.
+
+    A running count by chunks of time: each chunk begins with the number of boundaries of the chunks before, so only a chunk is sorted in a task.
+    """
     marks = boundaries.select("title_id", C("at_ms").alias("start_ms"), F.lit(0).alias("_side"), F.lit(1).alias("_cut"))
     rows = events.withColumns({"_side": F.lit(1), "_cut": F.lit(0)}).unionByName(marks, allowMissingColumns=True)
-    order = Window.partitionBy("title_id").orderBy("start_ms", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("scene", F.sum("_cut").over(order)).where("_side = 1").drop("_side", "_cut")
+    rows = rows.withColumn("_chunk", F.floor(C("start_ms") / chunk_ms))
+    before = Window.partitionBy("title_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = rows.groupBy("title_id", "_chunk").agg(F.sum("_cut").alias("_cut"))
+    carried = cuts.select("title_id", "_chunk", F.lit(-1).alias("_side"), F.coalesce(F.sum("_cut").over(before), F.lit(0)).cast("int").alias("_cut"))
+    order = Window.partitionBy("title_id", "_chunk").orderBy((C("_side") >= 0).cast("int"), "start_ms", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.unionByName(carried, allowMissingColumns=True).withColumn("scene", F.sum("_cut").over(order)).where("_side = 1").drop("_side", "_cut", "_chunk")
 
 
 def scene_table(placed: DataFrame) -> DataFrame:

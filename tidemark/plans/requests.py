@@ -23,12 +23,11 @@ def dialogue_in_window(windows: DataFrame, lines: DataFrame, bucket_ms: int, lea
     return hits.withColumn("_n", n).where(C("_n") <= most).withColumn("at_ms", F.greatest("r_start", "_start")).drop("_n", "_start")
 
 
-def sounds_in_window(windows: DataFrame, sounds: DataFrame, bucket_ms: int, most: int = 8) -> DataFrame:
-    """Of each window (seq) the first sounds (r_seq, r_at) that begin in its closed range."""
-    points = sounds.select("title_id", "r_seq", C("r_at").alias("r_start"), C("r_at").alias("r_end"))
-    hits = overlap_join(windows.withColumn("end_ms", C("end_ms") + 1), points, bucket_ms, closed=True)
+def sounds_in_window(windows: DataFrame, sounds: DataFrame, bucket_ms: int, most: int = 12) -> DataFrame:
+    """Of each window (seq) the first sounds (r_seq, r_start, r_end) that begin before its end and last to its start or longer; their start is moved into the window."""
+    hits = overlap_join(windows, sounds, bucket_ms, closed=True)
     n = F.row_number().over(Window.partitionBy("seq").orderBy("r_start", "r_seq"))
-    return hits.withColumn("_n", n).where(C("_n") <= most).select("seq", "r_seq", C("r_start").alias("at_ms"))
+    return hits.withColumn("_n", n).where(C("_n") <= most).select("seq", "r_seq", F.least("end_ms", F.greatest("r_start", "start_ms")).alias("at_ms"))
 
 
 def extract_json(text: Column) -> Column:

@@ -67,8 +67,8 @@ def rolling_scenes(path: str, build: Callable[[DataFrame], DataFrame], behind_ms
     """A foreachBatch function: after batch N, path/scenes/batch=N has the scenes of every title with their status.
 
     Finalized scenes are carried over as they are; the others are built anew from the evidence behind them. That evidence is kept
-    under path/open, so a batch reads what is open and not the whole past, which stays under path/evidence. Rows that end before a
-    title's finalized prefix came too late: they are left out and counted in path/late. A seek back (source playback, kind seek,
+    under path/open, so a batch reads what is open and not the whole past, which stays under path/evidence. Rows that end within a
+    title's finalized prefix came too late: they are left out and counted in path/late; one that reaches beyond it counts from its end on. A seek back (source playback, kind seek,
     to_ms) opens finalized scenes that end at or after its target again, from the whole past. A batch that is run again writes the
     same; numbers may be skipped.
     """
@@ -80,6 +80,9 @@ def rolling_scenes(path: str, build: Callable[[DataFrame], DataFrame], behind_ms
         found = batch.sparkSession.read.parquet(f"{path}/{table}").where(C("batch") < number).agg(F.max("batch")).first()[0]
         return None if found is None else f"{path}/{table}/batch={found}"
 
+    # of a row with an end at the prefix nothing is left
+    beyond = (C("start_ms") >= C("until")) | (F.coalesce("end_ms", "start_ms") > C("until"))
+
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         write = lambda df, table: df.write.mode("overwrite").parquet(f"{path}/{table}/batch={number}")
@@ -91,7 +94,7 @@ def rolling_scenes(path: str, build: Callable[[DataFrame], DataFrame], behind_ms
             final = final.join(back.hint("merge"), "title_id", "left").where("to_ms is null or end_ms < to_ms").drop("to_ms")
             until = final.groupBy("title_id").agg(F.max("end_ms").alias("until"))
             known = batch.join(until.hint("merge"), "title_id", "left")
-            late = C("until").isNotNull() & (F.coalesce("end_ms", "start_ms") < C("until"))
+            late = C("until").isNotNull() & ~beyond
             write(known.where(late).groupBy("title_id").agg(F.count("*").alias("late_events")), "late")
             batch = known.where(~late).drop("until")
         write(batch, "evidence")
@@ -104,7 +107,8 @@ def rolling_scenes(path: str, build: Callable[[DataFrame], DataFrame], behind_ms
             heads = heads.unionByName(spark.read.parquet(heads_before)).groupBy("title_id").agg(F.max("now_ms").alias("now_ms"))
         write(heads, "playhead")
         if final is not None:
-            held = held.join(until.hint("merge"), "title_id", "left").where(C("until").isNull() | (C("start_ms") >= C("until"))).drop("until")
+            held = held.join(until.hint("merge"), "title_id", "left").where(C("until").isNull() | beyond)
+            held = held.withColumn("start_ms", F.greatest("start_ms", "until")).drop("until")
         write(held, "open")
         scenes = finalize(build(spark.read.parquet(f"{path}/open/batch={number}")), spark.read.parquet(f"{path}/playhead/batch={number}"), behind_ms)
         write(scenes if final is None else scenes.unionByName(final), "scenes")
