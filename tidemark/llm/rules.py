@@ -7,8 +7,9 @@ steps (mean and covariance of the 75 % of rows with the smallest Mahalanobis
 distance) run until the determinant settles, and of the four results the one
 with the least determinant is taken. Rows farther than
 ``cutoff`` (squared distance; 20.5 is the 0.999 quantile of chi-square with five
-degrees of freedom) from their group's estimate are rejected. Groups
-with fewer than ``min_rows`` usable rows use the estimate of all rows together.
+degrees of freedom) from their group's estimate are rejected. Centre and
+covariance of a group of n usable rows are drawn towards those of all rows
+together, as if ``prior`` of those stood among its own: one rule for any size.
 
 Order statistics come from counts in fixed fine bins, so that a group with a
 third of all rows needs no single task. The square of a floor is added to each
@@ -178,16 +179,37 @@ def robust_groups(stats: DataFrame, most_steps: int = 12, share: float = 0.75, s
     return least.select("grp", "e.*").drop("start")
 
 
-def judge(docs: DataFrame, cutoff: float = 20.5, min_rows: int = 25, steps: int = 12) -> DataFrame:
+def drawn_together(groups: DataFrame, prior: float) -> DataFrame:
+    """groups (grp, rows, m.., l..) with centre and covariance drawn towards those of group *, which stays as it is: one rule for every size.
+
+    They are the moments of a mixture of the group's rows and ``prior`` rows of the whole, the distance of their centres included.
+    """
+    whole = groups.where("grp = '*'").first()  # one row of 21 numbers
+    if whole is None:
+        return groups
+    own = F.when(F.col("grp") == "*", 1.0).otherwise(F.col("rows") / (F.col("rows") + prior))
+    apart = lambda i: F.col(f"m{i}") - float(whole[f"m{i}"])
+    cov = lambda at, i, j: sum((at(i, k) * at(j, k) for k in range(1, j + 1)), at(i, 0) * at(j, 0))
+    out = groups.withColumns({f"m{i}": own * F.col(f"m{i}") + (1 - own) * float(whole[f"m{i}"]) for i in range(_P)} | {
+        f"c{i}{j}": own * cov(lambda a, k: F.col(f"l{a}{k}"), i, j) + (1 - own) * float(cov(lambda a, k: whole[f"l{a}{k}"], i, j)) + own * (1 - own) * apart(i) * apart(j) for i in range(_P) for j in range(i + 1)
+    })
+    for i in range(_P):
+        for j in range(i + 1):
+            rest = F.col(f"c{i}{j}")
+            for k in range(j):
+                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
+    return out.drop(*[f"c{i}{j}" for i in range(_P) for j in range(i + 1)])
+
+
+def judge(docs: DataFrame, cutoff: float = 20.5, prior: float = 25.0, steps: int = 12) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the squared distance of every row."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     stats = keep(vectors(base_stats(docs)).withColumn("own", F.concat(name("lang"), F.lit("\n"), name("source"))), "stats")
     usable = stats.where("not base_failed")
     rows = usable.select(F.explode(F.array(F.col("own"), F.lit("*"))).alias("grp"), *STATS)
     groups = keep(robust_groups(rows, steps).join(rows.groupBy("grp").agg(F.count("*").alias("rows")).hint("merge"), "grp"), "groups")
-    # each row's own group if that is large enough, else that of all rows
-    large = groups.where((F.col("rows") >= min_rows) & (F.col("grp") != "*")).select(F.col("grp").alias("own")).distinct()
-    placed = stats.join(F.broadcast(large) if groups.count() <= MOST_BROADCAST else large.hint("merge"), stats["own"] == large["own"], "left")
-    placed = placed.select(*[stats[c] for c in stats.columns], F.coalesce(large["own"], F.lit("*")).alias("grp"))
-    far = attach(placed, groups, "left").withColumn("distance", _distance())
+    # a group without usable rows has nothing to judge
+    groups = keep(drawn_together(groups, prior), "groups-drawn")
+    far = attach(stats.withColumn("grp", F.col("own")), groups, "left").withColumn("distance", _distance())
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"), "distance")
