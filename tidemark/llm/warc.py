@@ -86,8 +86,6 @@ def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataF
     ranges = "offset" in replica.columns and "length" in replica.columns
     where = [F.col(c).cast("long") if ranges else F.lit(None).cast("long") for c in ("offset", "length")]
     held = replica.select(F.col("file").alias("f"), F.col("place").alias("p"), F.col("digest").alias("d"), where[0].alias("o"), where[1].alias("n"))
-    if primary.isEmpty():
-        held = held.limit(0)
     # both trees have the places that either side holds
     both = primary.join(held.hint("merge"), (F.col("file") == F.col("f")) & (F.col("place") == F.col("p")), "full")
     own = (F.col("o"), F.col("n")) if ranges else (F.col("offset"), F.col("length"))
