@@ -313,7 +313,29 @@ def test_rules_judge_small_groups_by_their_own_estimate(spark):
     marked = lambda t: " ".join(w + "#" if i % 6 == 0 else w for i, w in enumerate(t.split(" ")))
     rows = [(i, prose(100 + i % 40, i), "en", "s", 0) for i in range(300)] + [(1000 + i, marked(prose(100 + i, 700 + i)), "de", "s", 0) for i in range(40)]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert rules.judge(df).where("kept").count() == 340 and rules.judge(df, min_rows=41).where("kept").count() == 300
+    assert rules.judge(df).where("kept").count() == 340 and rules.judge(df, prior=1e9).where("kept").count() == 300
+
+
+def test_drawn_together_by_numpy(spark):
+    """Moments of the mixture, for groups of 1, 30 and 5000 rows; the whole stays; no step at any size."""
+    r = np.random.default_rng(6)
+    rows, want = [], {}
+    for g, n in (("*", 9000), ("a", 1), ("b", 30), ("c", 5000)):
+        m, x = r.normal(size=5), r.normal(size=(9, 5))
+        c = x.T @ x / 9 + 0.1 * np.eye(5)
+        l = np.linalg.cholesky(c)  # noqa: E741
+        rows.append((g, n, *map(float, m), *(float(l[i, j]) for i in range(5) for j in range(i + 1))))
+        want[g] = n, m, c
+    names = [f"m{i}" for i in range(5)] + [f"l{i}{j}" for i in range(5) for j in range(i + 1)]
+    df = spark.createDataFrame(rows, "grp string, rows long, " + ", ".join(f"{x} double" for x in names))
+    for prior in (0.0, 25.0, 1e12):
+        for x in rules.drawn_together(df, prior).collect():
+            (n, m, c), (_, m0, c0) = want[x.grp], want["*"]
+            w = 1.0 if x.grp == "*" else n / (n + prior)
+            mean, cov = w * m + (1 - w) * m0, w * c + (1 - w) * c0 + w * (1 - w) * np.outer(m - m0, m - m0)
+            l = np.array([[x[f"l{i}{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])  # noqa: E741
+            assert np.allclose([x[f"m{i}"] for i in range(5)], mean) and np.allclose(l @ l.T, cov)
+    assert rules.drawn_together(df.where("grp <> '*'"), 25.0).count() == 3
 
 
 def test_mcd_step_by_numpy(spark):
@@ -365,7 +387,8 @@ def test_merkle_audit(spark):
     out = {(r.file, r.place): r.replica_digest for r in warc.audit(held, replica, fanout=4).collect()}
     assert out == {(0, 3): "x", (1, 59): "missing", (2, 17): "y"}
     assert warc.audit(held, held.select("file", "place", "digest")).count() == 0
-    assert warc.audit(held.limit(0), replica).count() == 0
+    assert rows_of(warc.audit(held.limit(0), replica), "file", "place", "digest") == sorted(((r.file, r.place, "missing") for r in replica.collect()), key=repr)
+    assert warc.audit(held, replica.limit(0)).count() == held.count() and warc.audit(held.limit(0), replica.limit(0)).count() == 0
 
 
 def test_audit_finds_extra_records(spark):
@@ -455,7 +478,7 @@ def test_drop_near_copies_of_null_ids(spark):
     rows = [(None, a), (None, a), (None, near), (None, b), (5, b), (None, ""), (None, None), (7, prose(80, 33)), (7, prose(80, 34))]
     kept = rows_of(jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "text")
     assert sum(x[1] in (a, near) for x in kept) == 1 and [x for x in kept if x[1] == b] == [(5, b)]
-    assert sum(not x[1] for x in kept) == 2 and sum(x[0] == 7 for x in kept) == 1
+    assert sum(not x[1] for x in kept) == 2 and sum(x[0] == 7 for x in kept) == 2  # unlike texts of one id are documents of their own
 
 
 def test_drop_near_copies(docs):

@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, hash_words, keep, mixed, rolling, small_batches
@@ -286,21 +286,29 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Of each group that links connect one row stays: the one with the least doc_id. Rows without words stay, each of them.
 
-    Rows of one id count as one document, of which the row with the least text hash is taken. A group of null ids only keeps one of its rows.
+    Unlike texts under one id are told apart by their sets, so no group goes whole: of a group whose least doc_id stands at
+    several texts the one with the least set key stays (of equal sets the least text hash). A group of null ids only keeps one of its rows.
     """
     names = docs.columns
     found = keep(cluster(docs, n, percent), "jaccard-clusters")
     empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = found.where("sid is not null and component_id = doc_id").select("doc_id").distinct()
-    # the window has the join's partitioning, so texts are shuffled once
-    by_id = docs.where(~empty & F.col("doc_id").isNotNull()).join(kept.hint("merge"), "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    by_id = by_id.withColumn("_n", first).where("_n = 1").select(*names)
+    named = docs.where(~empty & F.col("doc_id").isNotNull())
+    kept = found.where("sid is not null and component_id = doc_id").groupBy("component", "doc_id").agg(F.min("sid").alias("_sid_kept")).select("doc_id", "_sid_kept")
+    many = found.where("sid is not null and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    many, kept = keep(many, "jaccard-many"), keep(kept, "jaccard-kept")
+    # an id of one row needs no look at its text
+    once = named.join(kept.select("doc_id").join(many.hint("merge"), "doc_id", "left_anti").hint("merge"), "doc_id", "left_semi").select(*names)
 
     @F.pandas_udf("long")
     def sid(text: pd.Series) -> pd.Series:
         return text.map(lambda t: _short(set_key(ngram_set(t, n)))).astype("int64")
 
-    free = found.where("sid is not null and component_id is null").groupBy("component").agg(F.min("sid").alias("_sid")).select("_sid")
-    nameless = docs.where(~empty & F.col("doc_id").isNull()).withColumn("_sid", sid("text")).join(free.hint("merge"), "_sid", "left_semi").dropDuplicates(["_sid"]).select(*names)
-    return by_id.unionByName(nameless).unionByName(docs.where(empty))
+    def one_of(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+        """One row for each wanted key; names of its own are told apart from the columns of docs by nesting these."""
+        rows = rows.select(*[F.col(k) for k in keys if k == "doc_id"], F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), sid("text").alias("_sid_kept"))
+        return rows.join(wanted.hint("merge"), keys, "left_semi").groupBy(*keys).agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row.*")
+
+    again = one_of(named.join(many.hint("merge"), "doc_id", "left_semi"), kept, ["doc_id", "_sid_kept"])
+    free = found.where("sid is not null and component_id is null").groupBy("component").agg(F.min("sid").alias("_sid_kept")).select("_sid_kept")
+    nameless = one_of(docs.where(~empty & F.col("doc_id").isNull()), free, ["_sid_kept"])
+    return once.unionByName(again).unionByName(nameless).unionByName(docs.where(empty))
