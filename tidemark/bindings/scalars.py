@@ -88,7 +88,11 @@ def x12_speaker_label(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("trim(text) <> ''").select("conv_id", "turn", speaker.alias("speaker"), rest.alias("remainder"))
 
 
-@query(r"WITH c AS (SELECT conv_id, turn, trim(CASE WHEN turn % 3 = 0 THEN '[' || role || ']' WHEN turn % 3 = 1 THEN '[' || role || '] ' || text ELSE text END) AS t FROM conversations) SELECT conv_id, turn, t <> '' AND (regexp_matches(t, '^[\[(][^\])]*[\])]$') OR regexp_matches(t, '^\x{266A}.*\x{266A}?$')) AND NOT regexp_matches(t, '[\])]\s*\S') AS non_speech FROM c")
+@query(
+    "WITH c AS (SELECT conv_id, turn, trim(CASE WHEN turn % 3 = 0 THEN '[' || role || ']' WHEN turn % 3 = 1 THEN '[' || role || '] ' || text ELSE text END) AS t FROM conversations), "
+    "p AS (SELECT *, left(t, 1) AS first, least(coalesce(nullif(strpos(t, ']'), 0), length(t) + 1), coalesce(nullif(strpos(t, ')'), 0), length(t) + 1)) AS closed FROM c) "
+    "SELECT conv_id, turn, coalesce(first IN ('[', '(') AND closed = length(t) OR first = '\u266a' AND NOT contains(t, chr(10)) AND closed >= length(t), false) AS non_speech FROM p"
+)
 def x13_non_speech(spark, sf_dir):
     t = F.when(C("turn") % 3 == 0, F.concat(F.lit("["), C("role"), F.lit("]"))).when(C("turn") % 3 == 1, F.concat(F.lit("["), C("role"), F.lit("] "), C("text"))).otherwise(C("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.is_non_speech(t).alias("non_speech"))
