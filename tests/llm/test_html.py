@@ -72,3 +72,13 @@ def test_other_pages(learnt):
     assert html.extract("<form><article><p>in</p></article>", {}, {}) == "in"
     assert html.extract("<article><header><h1>H</h1></header><ul><li><a>x</a></li></ul></article><header>no</header>", {}, {}) == "H\nx"
     assert html.extract('<article><p>to be <span hidden>x</span>read</p><span class="sponsored">z</span></article>', {}, {}) == "to be read"
+
+
+def test_whole_class_names_only(learnt):
+    kept = ("dialogue", "commentary", "socialism", "searchable", "noticeable", "headers-guide", "shared-memory", "promotion-history", "related-work", "menu-of-the-day", "header", "post-header", "adage")
+    gone = ("dialog", "comments", "comment-list", "social", "search-box", "notice", "site-footer", "share_links", "promo", "related", "menu", "ads", "sponsored", "x related")
+    for words, tags in (learnt, ({}, {})):
+        for tag in ("article", "main"):
+            page = lambda name: f"<body><nav><a>n</a></nav><{tag}><h1>T</h1><p>aa bb cc dd</p><div class='{name}'><p>in here</p></div><p>ee ff gg</p></{tag}></body>"  # noqa: B023, E731
+            assert {n for n in kept if html.extract(page(n), words, tags) != "T\naa bb cc dd\nin here\nee ff gg"} == set()
+            assert {n for n in gone if html.extract(page(n), words, tags) != "T\naa bb cc dd\nee ff gg"} == set()

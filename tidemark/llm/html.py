@@ -18,9 +18,10 @@ the words of the region are scanned by their own weights: those under a half
 between the first and the last content word. Raw elements, scripts, styles,
 forms and hidden elements are never read.
 
-Class words that labelled pages do not show have prior counts (``PRIOR_STEMS``),
-to which the learnt counts are added; the same words keep comments and adverts
-inside a marked element from being learnt as content.
+Classes that labelled pages do not show have prior counts if their whole name
+speaks of what is not content (``PRIOR_NAMES``); the learnt counts are added to
+them, and they keep comments and adverts inside a marked element from being
+learnt as content. Any other class has the weight of what is around it.
 
 White space inside a block becomes one space; blocks are joined by one newline.
 Null, empty and tagless input: the plain words, or an empty text. Broken markup
@@ -55,12 +56,17 @@ BLOCKS = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CONTENT = {"article", "main"}
 SECTIONS = CONTENT | {"nav", "footer", "aside", "menu", "dialog", "header"}
-# Stems of class words that pages use for what is not content. They are prior counts, not a rule.
-PRIOR_STEMS = (
-    "ad", "ads", "advert", "adsense", "alert", "banner", "breadcrumb", "comment", "complementary", "consent", "contentinfo", "cookie", "copyright", "dialog", "disqus", "footer", "header",
-    "hidden", "login", "masthead", "menu", "menubar", "modal", "nav", "newsletter", "notice", "pager", "pagination", "popup", "promo", "recommend", "related", "respond", "search", "share",
-    "sharing", "sidebar", "signup", "social", "sponsor", "subscribe", "widget",
-)
+# Class words that pages use for what is not content, and words that only tell its form. They are prior counts, not a rule.
+PRIOR_NAMES = {
+    "ad", "advert", "advertisement", "adsense", "alert", "banner", "breadcrumb", "comment", "complementary", "consent", "contentinfo", "cookie", "copyright",
+    "dialog", "disqus", "footer", "header", "hidden", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice",
+    "pager", "pagination", "popup", "promo", "recommended", "related", "respond", "search", "searchbar", "share", "sharing", "sidebar", "signup", "social",
+    "sponsor", "sponsored", "subscribe", "widget",
+}
+PRIOR_FORMS = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "container", "form", "global", "group", "icon", "inner", "item", "left", "link", "list", "outer",
+    "panel", "primary", "right", "row", "secondary", "site", "slot", "thread", "top", "unit", "wrap", "wrapper",
+}
 #: How many words the prior counts stand for, and the weight that they give by themselves.
 PRIOR_WORDS, PRIOR_LOW = 20.0, 0.001
 #: Tags without a learnt weight: links, others, and those of elements whose words weigh under a half.
@@ -76,23 +82,28 @@ _ENDS = {raw: re.compile(rf"</{raw}\b[^>]*>?", re.I) for raw in RAW}
 
 @functools.lru_cache(maxsize=20_000)
 def _labels(attributes: str) -> tuple[str, tuple[str, ...], bool]:
-    """First class (or id), the words of class, id and role, and whether the element is hidden."""
+    """First class (or id), the names in class, id and role, and whether the element is hidden."""
     found = {a.lower(): (b or c or d).lower() for a, b, c, d in _ATTRIBUTE.findall(attributes)}
     hidden = found.get("aria-hidden") == "true" or "hidden" in attributes.lower() and bool(_BARE.search(_ATTRIBUTE.sub("", attributes)))
     first = (found.get("class", "").split() or found.get("id", "").split() or [""])[0]
-    return first, tuple(_WORD.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")))), hidden
+    return first, tuple(" ".join(found.get(k, "") for k in ("class", "id", "role")).split()), hidden
 
 
 @functools.lru_cache(maxsize=20_000)
-def _low_word(word: str) -> bool:
-    return any(word == stem or len(stem) > 3 and word.startswith(stem) or word == stem + "bar" for stem in PRIOR_STEMS)
+def _low_name(name: str) -> bool:
+    """Whether a whole class name speaks of what is not content: each of its words must be of the lists, and one of them of PRIOR_NAMES.
+
+    ``comment-list`` and ``ads`` do, ``commentary``, ``dialogue`` and ``related-work`` do not.
+    """
+    forms = [{w, w.removesuffix("s")} for w in _WORD.findall(name)]
+    return any(f & PRIOR_NAMES for f in forms) and all(f & (PRIOR_NAMES | PRIOR_FORMS) for f in forms)
 
 
 def _prior(key: str) -> tuple[float, float]:
     """Prior counts (inside, outside) of a place."""
     if key in CONTENT or key == "^plain":
         return PRIOR_WORDS, PRIOR_WORDS * PRIOR_LOW
-    if key in SECTIONS or key == "^marked" or any(map(_low_word, _WORD.findall(key.partition(".")[2]))):
+    if key in SECTIONS or key == "^marked" or _low_name(key.partition(".")[2]):
         return PRIOR_WORDS * PRIOR_LOW, PRIOR_WORDS
     return 1.0, 1.0
 
@@ -152,7 +163,7 @@ class Walk:
         """Number of the innermost marked element, 0 outside."""
         return self.stack[-1][4] if self.stack else 0
 
-    def _place_of(self, name: str, first: str, words: tuple[str, ...]) -> tuple[str, float]:
+    def _place_of(self, name: str, first: str, names: tuple[str, ...]) -> tuple[str, float]:
         if name in ("html", "body"):
             return self.place()
         if name in CONTENT and not self.blind:
@@ -161,7 +172,7 @@ class Walk:
             key = f"{name}.{first}"
             if key in self.known:
                 return key, self.known[key]
-        told = [w for w in words if "." + w in self.known or _low_word(w)]
+        told = [w for w in names if "." + w in self.known or _low_name(w) and not (self.inside and w == "header")]
         if told:
             return min(((f"{name}.{first}" if first else "." + w, self._weight("." + w)) for w in told), key=lambda x: x[1])
         if name in SECTIONS - CONTENT and not (name == "header" and self.inside):
@@ -178,7 +189,7 @@ class Walk:
                     if top[0] == name:
                         return [*out, (top[1], top[2][1])]
             return [("<" + name, self.place()[1])]
-        first, words, hidden = _labels(attributes)
+        first, names, hidden = _labels(attributes)
         key = f"<{name}.{first}" if first and name not in SECTIONS and name not in ("html", "body") else "<" + name
         if kind == "void":
             return [(key, self.place()[1])]
@@ -187,7 +198,7 @@ class Walk:
             self.stack, self.open, self.unread = [], Counter(), 0
         if name == "p" and self.stack and self.stack[-1][0] == "p":
             self._pop()
-        place = self._place_of(name, first, words)
+        place = self._place_of(name, first, names)
         unread = name in UNREAD or hidden and name not in ("html", "body")
         self.marks += marks
         self.stack.append((name, key, place, unread, self.marks if marks else self.mark()))
@@ -224,8 +235,8 @@ def count_labels(page: str) -> dict[str, list[int]]:
                 for walk in (seen, blind):
                     key = walk.place()[0]
                     add(key, inside, n)
-                    for w in set(_WORD.findall(key.partition(".")[2])):
-                        add("." + w, inside, n)
+                    if "." in key[1:]:
+                        add("." + key.partition(".")[2], inside, n)
             continue
         for key, weight in seen.step(kind, name, data):
             if not seen.unread:
