@@ -25,6 +25,11 @@ PAGES = [
     # dot segments and an explicit allow
     ("http://dots.org/a/./b/../c/..", f"<link rel=canonical href={BAD}>", "block"), ("http://dots.org/a/", None, "block"), ("http://ok.org/1", f"<link rel=canonical href={BAD}ok>", "allow"), ("http://ok.org/2", "<link rel=canonical href='http://b.net/es/ok'><link rel=canonical href='http://x.com/'>", "allow"),
     ("http://b.net/es/ok", "", "block"),
+    # white space around and in a target, an empty path, default ports, a refresh without url=, escapes
+    ("http://w.org/1", f"<link rel=canonical href='\n\t{BAD}w1 \r\n'>", "block"), ("http://w.org/2", "<link rel='\ncanonical' href='http://b.net\n/es/w2'>", "block"), ("https://e.org", "<link rel=canonical href='http://else.org/'>", "block"),
+    ("https://f.org/1", "<link rel=canonical href='https://e.org/'>", "block"), ("https://g.org/1", "<link rel=canonical href='https://E.org:443'>", "block"), ("https://g.org/2", "<link rel=canonical href='https://e.org:80'>", "allow"), ("https://e.org?q", "<link rel=canonical href='https://e.org/'>", "block"),
+    ("http://p.org:80/x", f"<link rel=canonical href={BAD}p>", "block"), ("http://p.org/x", None, "block"), ("http://p.org:/x", None, "block"), ("http://z.org/1", f"<meta http-equiv=refresh content='0;{BAD}z'>", "block"), ("http://z.org/2", f"<meta http-equiv=refresh content='3 , &quot;{BAD}z&quot;'>", "block"),
+    ("http://z.org/3", "<meta http-equiv=refresh content='5'>", "allow"), ("http://z.org/4", "<meta http-equiv=refresh content='5; url='>", "allow"), ("http://z.org/5", f"<meta http-equiv=refresh content='url = {BAD}z'>", "block"), ("http://u.org/%7ea%2f", f"<link rel=canonical href={BAD}u>", "block"), ("http://u.org/~%61%2F", None, "block"), ("http://u.org/~a/", None, "allow"), ("http://u.org/%zz%", f"<link rel=canonical href={BAD}%>", "block"),
 ]
 
 

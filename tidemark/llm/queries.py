@@ -106,12 +106,20 @@ _Q = "'" * 2  # a quote within SQL text
 
 
 def _node(url: str) -> str:
-    """A url without fragment and dot segments, scheme and host in lower case; null without ://."""
-    clean = f"regexp_replace({url}, '(?s)#.*$', '')"
+    """A url without fragment, dot segments, default port and needless escapes, scheme and host in lower case; null without ://."""
+    code = "upper(substr(x, 1, 2))"
+    escapes = f"list_transform(string_split(bare, '%')[2:], lambda x: CASE WHEN regexp_matches({code}, '{urls._UNRESERVED}') THEN chr(CAST('0x' || {code} AS INT)) WHEN regexp_matches({code}, '^[0-9A-F]{{2}}$') THEN '%' || {code} ELSE '%' || substr(x, 1, 2) END || substr(x, 3))"
+    clean = f"(SELECT string_split(bare, '%')[1] || array_to_string({escapes}, '') FROM (SELECT regexp_replace({url}, '(?s)#.*$', '') AS bare))"
+    return f"(SELECT {_parts('clean')} FROM (SELECT {clean} AS clean))"
+
+
+def _parts(clean: str) -> str:
     path = f"regexp_extract({clean}, '(?s)^.*?://[^/?]*([^?]*)', 1)"
     climb = "list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(string_split({p}, '/')[2:], lambda x: [x])), lambda done, x: CASE WHEN x[1] = '..' THEN done[1:len(done) - 1] WHEN x[1] = '.' THEN done ELSE list_concat(done, x) END)"
     flat = f"CASE WHEN regexp_matches({path}, '/[.][.]?(/|$)') THEN '/' || array_to_string(list_concat({climb.format(p=path)}, CASE WHEN regexp_matches({path}, '/[.][.]?$') THEN [''] ELSE CAST([] AS VARCHAR[]) END), '/') ELSE {path} END"
-    return f"CASE WHEN contains({url}, '://') THEN translate(regexp_extract({clean}, '(?s)^(.*?://[^/?]*)', 1), '{_UPPER}', '{_LOWER}') || {flat} || regexp_extract({clean}, '(?s)([?].*)$', 1) END"
+    head = f"translate(regexp_extract({clean}, '(?s)^(.*?://[^/?]*)', 1), '{_UPPER}', '{_LOWER}')"
+    head = f"regexp_replace(regexp_replace({head}, '^(http://.*):(80)?$', '\\1'), '^(https://.*):(443)?$', '\\1')"
+    return f"CASE WHEN contains({clean}, '://') THEN {head} || CASE WHEN {path} = '' THEN '/' ELSE {flat} END || regexp_extract({clean}, '(?s)([?].*)$', 1) END"
 
 
 def _decoded(text: str) -> str:
@@ -126,7 +134,12 @@ def _decoded(text: str) -> str:
 
 def _value(name: str) -> str:
     pattern = urls._attribute(name).replace("'", _Q)
-    return "trim(" + _decoded("(" + " || ".join(f"regexp_extract(t, '{pattern}', {k})" for k in (1, 2, 3)) + ")") + ")"
+    text = "(" + " || ".join(f"regexp_extract(t, '{pattern}', {k})" for k in (1, 2, 3)) + ")"
+    return _decoded(f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')")
+
+
+def _url(name: str) -> str:
+    return f"trim(regexp_replace({_value(name)}, '[\\t\\n\\r]', '', 'g'), chr(32) || chr(12))"
 
 
 def _resolved(target: str, base: str) -> str:
@@ -142,10 +155,10 @@ _TAGS = urls._TAG.replace("'", _Q)
 _OP2 = rf"""WITH RECURSIVE p AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN regexp_replace(url, '(?s)^.*?://', '') ELSE '' END AS rest FROM pages),
 t0 AS (SELECT row_number() OVER () AS r, url, regexp_extract_all(regexp_replace(html, '(?is){urls._UNREAD}', ' ', 'g'), '{_TAGS}') AS tags FROM p WHERE regexp_matches(html, '(?i)canonical|refresh')),
 t1 AS (SELECT r, url, unnest(tags) AS t, generate_subscripts(tags, 1) AS k FROM t0),
-b0 AS (SELECT r, {_value("href")} AS href, k FROM t1 WHERE regexp_matches(t, '(?i)^<base')),
+b0 AS (SELECT r, {_url("href")} AS href, k FROM t1 WHERE regexp_matches(t, '(?i)^<base')),
 b1 AS (SELECT r, arg_min(href, k) AS href FROM b0 WHERE href <> '' GROUP BY r),
-l0 AS (SELECT r, url, {_value("href")} AS target FROM t1 WHERE regexp_matches(t, '(?i)^<link') AND regexp_matches({_value("rel")}, '(?i)(^|\s)canonical(\s|$)')
- UNION ALL SELECT r, url, regexp_extract({_value("content")}, '(?is)\burl\s*=\s*["'']?([^"''\s]+)', 1) FROM t1 WHERE regexp_matches(t, '(?i)^<meta') AND regexp_matches({_value("http-equiv")}, '(?i)^refresh$')),
+l0 AS (SELECT r, url, {_url("href")} AS target FROM t1 WHERE regexp_matches(t, '(?i)^<link') AND regexp_matches({_value("rel")}, '(?i)(^|\s)canonical(\s|$)')
+ UNION ALL SELECT r, url, CASE WHEN regexp_matches({_value("content")}, '{urls._NOWHERE.replace("'", _Q)}') THEN '' ELSE regexp_extract({_value("content")}, '{urls._REFRESH.replace("'", _Q)}', 1) END FROM t1 WHERE regexp_matches(t, '(?i)^<meta') AND regexp_matches({_value("http-equiv")}, '(?i)^refresh$')),
 l1 AS (SELECT l0.url, l0.target, coalesce({_resolved("b1.href", "l0.url")}, l0.url) AS base FROM l0 LEFT JOIN b1 ON b1.r = l0.r),
 l2 AS (SELECT url, {_resolved("target", "base")} AS target FROM l1),
 l AS (SELECT {_node("url")} AS a, {_node("target")} AS b FROM l2 WHERE contains(target, '://')),

@@ -8,8 +8,10 @@ one member reaches the others. An explicit allow wins: a url's own rule always
 beats its class, and a class with an explicitly allowed member is not blocked.
 
 Edges come from every canonical link and meta refresh outside comments and
-scripts, with character references decoded and relative targets resolved
-against the page or its ``<base>``.
+scripts, with character references decoded, white space around them left out and relative
+targets resolved against the page or its ``<base>``. Urls that differ in the case
+of scheme or host, a default port, an empty path, dot segments, needless escapes
+or the fragment are one url.
 
 Null urls and urls without ``://`` have empty host and path, fit no rule and
 have no aliases: verdict allow. Repeated rows are all judged alike. Other
@@ -57,18 +59,37 @@ def match_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def fold_escapes(text: Column) -> Column:
+    """text with the escapes of letters, digits and ``-._~`` decoded and the hex digits of all others in upper case."""
+
+    def piece(x: Column) -> Column:
+        code, after = F.upper(F.substring(x, 1, 2)), F.substring(x, 3, 1 << 30)
+        plain = F.concat(F.chr(F.conv(code, 16, 10).cast("int")), after)
+        return F.when(code.rlike(_UNRESERVED), plain).when(code.rlike("^[0-9A-F]{2}$"), F.concat(F.lit("%"), code, after)).otherwise(F.concat(F.lit("%"), x))
+
+    pieces = F.split(text, "%")
+    return F.when(text.contains("%"), F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), piece), ""))).otherwise(text)
+
+
 def node_of(url: Column) -> Column:
-    """The url as a graph node: without fragment and dot segments, scheme and host in lower case; null without ://."""
-    clean = F.regexp_replace(url, r"(?s)#.*$", "")
+    """The url as a graph node; null without ://.
+
+    Scheme and host are in lower case, without the scheme's default port; an empty path is ``/``; fragment, dot segments and needless
+    escapes are gone.
+    """
+    clean = fold_escapes(F.regexp_replace(url, r"(?s)#.*$", ""))
     head = F.regexp_extract(clean, r"(?s)^(.*?://[^/?]*)", 1)
     path, query = F.regexp_extract(clean, r"(?s)^.*?://[^/?]*([^?]*)", 1), F.regexp_extract(clean, r"(?s)(\?.*)$", 1)
     parts = F.split(path, "/")
     climb = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
     flat = F.concat(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), climb), F.when(path.rlike(r"/\.\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
     path = F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(flat, "/"))).otherwise(path)
-    return F.when(clean.contains("://"), F.concat(F.translate(head, _UPPER, _LOWER), path, query))
+    head = F.regexp_replace(F.regexp_replace(F.translate(head, _UPPER, _LOWER), r"^(http://.*):(80)?$", "$1"), r"^(https://.*):(443)?$", "$1")
+    return F.when(clean.contains("://"), F.concat(head, F.when(path == "", "/").otherwise(path), query))
 
 
+# Hex codes of the signs that need no escape in a url.
+_UNRESERVED = "^(2[DE]|3[0-9]|4[1-9A-F]|5[0-9AF]|6[1-9A-F]|7[0-9AE])$"
 # Named character references that urls in attributes hold.
 _NAMED = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">"}
 #: Comments and elements whose contents are no markup; a page's links stand outside them.
@@ -99,6 +120,16 @@ def decode_references(text: Column) -> Column:
     return F.when(text.contains("&"), F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), piece), ""))).otherwise(text)
 
 
+#: A refresh: seconds and then the url with or without ``url=`` before it, or ``url=`` alone; and one that names none.
+_REFRESH = r"""(?is)^\s*(?:[0-9.]+\s*[;,\s]\s*(?:url\s*=\s*)?|url\s*=\s*)["']?([^"'\s]+)"""
+_NOWHERE = r"""(?is)^\s*(?:[0-9.]+\s*[;,\s]\s*)?url\s*=[\s"']*$"""
+
+
+def stripped(text: Column) -> Column:
+    """text without white space around it, and without tabs and line breaks inside, as browsers read urls."""
+    return F.regexp_replace(F.regexp_replace(text, r"[\t\n\r]", ""), r"^[ \f]+|[ \f]+$", "")
+
+
 def resolve(target: Column, base: Column) -> Column:
     """The absolute url of a link's target, seen from a base url; null for an empty target and for schemes without //."""
     root, path = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
@@ -116,7 +147,7 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     """
 
     def raw(tag: Column, name: str) -> Column:
-        return F.trim(F.concat(*[F.regexp_extract(tag, _attribute(name), k) for k in (1, 2, 3)]))
+        return F.regexp_replace(F.concat(*[F.regexp_extract(tag, _attribute(name), k) for k in (1, 2, 3)]), r"^\s+|\s+$", "")
 
     def each(start: str, test: Column, name: str, refresh: bool) -> Column:
         found = F.filter("tags", lambda t: t.rlike(rf"(?i)^<{start}") & test(t))
@@ -130,8 +161,9 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     # step by step, so that no expression holds another many times
     links = links.select("page", "base", "link.raw", "link.refresh")
     links = links.select("page", decode_references(F.col("base")).alias("base"), decode_references(F.col("raw")).alias("target"), "refresh")
-    inside = F.regexp_extract("target", r"(?is)\burl\s*=\s*[\"']?([^\"'\s]+)", 1)
-    links = links.select("page", resolve(F.trim("base"), F.col("page")).alias("base"), F.when(F.col("refresh"), inside).otherwise(F.trim("target")).alias("target"))
+    inside = F.when(F.col("target").rlike(_NOWHERE), "").otherwise(F.regexp_extract("target", _REFRESH, 1))
+    links = links.select("page", stripped(F.col("base")).alias("base"), F.when(F.col("refresh"), inside).otherwise(stripped(F.col("target"))).alias("target"))
+    links = links.select("page", resolve(F.col("base"), F.col("page")).alias("base"), "target")
     links = links.select("page", F.coalesce("base", "page").alias("base"), "target")
     links = links.select("page", resolve(F.col("target"), F.col("base")).alias("target"))
     # no filter here: it would be pushed through all steps; components() leaves out null ends and loops
