@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.confidence import confidence_rank
 from ..functions.text import comparable_ascii
 from ..operators import folds, intervals, sequences
 from ..operators.folds import ordered_fold
@@ -91,6 +92,23 @@ def w35_dense_plan(spark, sf_dir):
     return ordered_fold(m, ["title_id"], ["order", "at_ms", "seq"], lambda: folds.DensePlan(12 * HOUR, HOUR, 40), "title_id long, start_ms long, end_ms long, importance double")
 
 
+@query(recursions.DENSE_PLAN_GIVEN)
+def w35_dense_plan_given(spark, sf_dir):
+    """As w35_dense_plan; a fourth of the views are windows of six hours that are there already."""
+    e = evidence(spark, sf_dir)
+    d = e.groupBy("title_id").agg(F.max("end_ms").alias("duration_ms"))
+    given = e.where("source = 'view' and k % 4 = 0").select("title_id", "seq", C("start_ms").alias("at_ms"), C("value").alias("weight"), F.lit(None).cast("double").alias("order"), F.lit(0).cast("long").alias("duration_ms"), (C("start_ms") + 6 * HOUR).alias("until"))
+    m = e.where("source = 'click'").join(d.hint("merge"), "title_id").select("title_id", "seq", C("start_ms").alias("at_ms"), C("value").alias("weight"), (-C("value")).alias("order"), "duration_ms", F.lit(None).cast("long").alias("until"))
+    return ordered_fold(given.unionByName(m), ["title_id"], ["order", "at_ms", "seq"], lambda: folds.DensePlan(12 * HOUR, HOUR, 40), "title_id long, start_ms long, end_ms long, importance double")
+
+
+@query(recursions.EVICTED)
+def w3_evict(spark, sf_dir):
+    """What is left of the events in a store of 100 rows a title, which drops ten whenever it is over."""
+    weight = F.coalesce(*[F.when(C("source") == k, v) for k, v in recursions.RETENTION.items()])
+    return sequences.evict(evidence(spark, sf_dir), weight + confidence_rank(C("confidence")) * 2, 100)
+
+
 @query()
 def w38_accumulate_captions(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")

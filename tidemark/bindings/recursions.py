@@ -108,6 +108,23 @@ DENSE_PLAN = recursion(
     f"SELECT title_id, start_ms, start_ms + {12 * HOUR} AS end_ms, weight AS importance FROM r WHERE start_ms IS NOT NULL",
 )
 
+_FREE = "len(list_filter(o.given, lambda p: p <= o.at_ms AND o.at_ms <= p + {})) > 0".format(6 * HOUR)
+_TAKEN = f"({_HELD} OR {_FREE})"
+DENSE_PLAN_GIVEN = recursion(
+    "SELECT ev.title_id, seq, start_ms AS at_ms, value AS weight, d.duration_ms, d.given FROM ev JOIN (SELECT title_id, max(end_ms) AS duration_ms, list(start_ms) FILTER (WHERE source = 'view' AND k % 4 = 0) AS given FROM ev GROUP BY title_id) d ON d.title_id = ev.title_id WHERE source = 'click'", "weight DESC, at_ms, seq",
+    f"CAST([] AS BIGINT[]) AS planned, CAST(NULL AS BIGINT) AS start_ms, {_NONE} AS weight", f"CASE WHEN {_TAKEN} THEN r.planned ELSE list_append(r.planned, {_FROM}) END, CASE WHEN {_TAKEN} THEN NULL ELSE {_FROM} END, o.weight",
+    f"SELECT title_id, start_ms, start_ms + {12 * HOUR} AS end_ms, weight AS importance FROM r WHERE start_ms IS NOT NULL",
+)
+
+#: How much a store keeps of each source when it is over its limit.
+RETENTION = {"purchase": 100, "view": 90, "click": 60, "error": 40, "signup": 20}
+_ADDED = "list_append(r.held, {'score': o.score, 'start_ms': o.start_ms, 'seq': o.seq})"
+EVICTED = recursion(
+    "SELECT title_id, seq, start_ms, CAST(CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RETENTION.items()) + " END + rank * 2 AS DOUBLE) AS score FROM ev", "seq",
+    "CAST([] AS STRUCT(score DOUBLE, start_ms BIGINT, seq BIGINT)[]) AS held", f"CASE WHEN len(r.held) >= 100 THEN list_sort({_ADDED})[11:] ELSE {_ADDED} END",
+    "SELECT title_id, h.seq AS seq FROM (SELECT title_id, unnest(held) AS h FROM r WHERE n = z)",
+)
+
 _OVER = "(r.begin IS NOT NULL AND (o.at_ms >= r.begin + 240 OR o.cut >= 0.6))"
 _STAYS = f"(r.begin IS NOT NULL AND NOT {_OVER})"
 _FRESH = "CASE WHEN o.cut >= 0.6 THEN greatest(o.cut, 0.6) ELSE o.importance END"

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.confidence import confidence_rank
 from ..functions.labels import classify_onset
-from ..operators import boundaries, intervals, sequences
+from ..operators import boundaries, intervals, scanner, sequences
 from ..registry import query
+from . import recursions
 from .views import EV, MEDIA, WITH, evidence, frames, media, table
 
 C = F.col
@@ -29,7 +30,7 @@ def w2_upsert_by_id(spark, sf_dir):
     return sequences.upsert_by_id(rows, "id", "seq")
 
 
-_WEIGHT = {"purchase": 100, "view": 90, "click": 60, "error": 40, "signup": 20}
+_WEIGHT = recursions.RETENTION
 
 
 @query(f"{WITH}, s AS (SELECT title_id, seq, start_ms, CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _WEIGHT.items()) + " END + rank * 2 AS score FROM ev) SELECT title_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY score DESC, start_ms DESC, seq DESC) AS n FROM s) WHERE n <= 400")
@@ -155,6 +156,29 @@ def w23_w25_scan(spark, sf_dir):
     return sequences.scan(frames(spark, sf_dir), 8, 8).select("title_id", "seq", "at_ms", F.round("importance", 9).alias("importance"))
 
 
+# dark stretches, and jumps before which nothing is known
+_SCANNED = _FRAMES.replace("CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS INT) AS luma", "CASE WHEN seq // 100 % 4 = 3 THEN 0 ELSE CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS INT) END AS luma").replace(
+    "lag(seq) OVER (PARTITION BY title_id ORDER BY at_ms, seq) AS prev", "CASE WHEN seq % 50 <> 17 THEN lag(seq) OVER (PARTITION BY title_id ORDER BY at_ms, seq) END AS prev"
+)
+_LINE = "OVER (PARTITION BY title_id ORDER BY at_ms, seq ROWS UNBOUNDED PRECEDING)"
+
+
+@query(f"""WITH {_SCANNED}, bk AS (SELECT seq, avg(luma) / 255 < 0.02 AND stddev_pop(luma) / 255 < 0.01 AS blank FROM fr GROUP BY seq),
+j AS (SELECT od.title_id, od.seq, od.at_ms, od.seq % 50 = 17 AS reset, mt.seq IS NOT NULL AS seen, mt.frame_difference, mt.motion, mt.cut, mt.text_change, mt.face_change, mt.luminance, bk.blank,
+ coalesce(mt.frame_difference < 0.006 AND mt.motion < 0.02 AND mt.cut < 0.05, false) AS redundant FROM od LEFT JOIN mt ON mt.seq = od.seq JOIN bk ON bk.seq = od.seq),
+g AS (SELECT *, sum(CASE WHEN reset OR seen AND NOT redundant THEN 1 ELSE 0 END) {_LINE} AS still, sum(CASE WHEN reset THEN 1 ELSE 0 END) {_LINE} AS part, sum(CASE WHEN blank THEN 0 ELSE 1 END) {_LINE} AS run FROM j),
+l AS (SELECT *, sum(CASE WHEN redundant THEN 1 ELSE 0 END) OVER (PARTITION BY title_id, still ORDER BY at_ms, seq ROWS UNBOUNDED PRECEDING) AS streak, last_value(CASE WHEN cut >= 0.6 THEN at_ms END IGNORE NULLS) OVER (PARTITION BY title_id, part ORDER BY at_ms, seq ROWS UNBOUNDED PRECEDING) AS cut_at,
+ sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY title_id, run ORDER BY at_ms, seq ROWS UNBOUNDED PRECEDING) AS dark FROM g),
+im AS (SELECT *, (least(1.0, 1.6 * (0.15 * frame_difference + 0.25 * motion + 0.35 * cut + 0.15 * text_change + 0.1 * face_change)) + CASE WHEN at_ms - cut_at <= 1500 THEN 0.2 * (1 - (at_ms - cut_at) / 1500) ELSE 0.0 END) * CASE WHEN luminance < 0.02 AND cut < 0.5 THEN 0.3 ELSE 1.0 END AS score FROM l)
+SELECT title_id, count(*) AS observations, count(*) FILTER (WHERE seen AND NOT redundant AND score >= 0.08) AS events, count(*) FILTER (WHERE redundant) AS redundant, count(*) FILTER (WHERE cut >= 0.6) AS cuts, count(*) FILTER (WHERE blank) AS blanks,
+ CAST(max(streak) AS BIGINT) AS longest_streak, min(CASE WHEN blank AND dark = 5 THEN at_ms END) AS blank_at, (count(*) - 1) / ((max(at_ms) - min(at_ms)) / 1000) AS fps FROM im GROUP BY title_id""")
+def w25_scan_report(spark, sf_dir):
+    """The scan of frames with dark stretches and jumps: counts, streaks of still frames and where a dark run is full."""
+    f = frames(spark, sf_dir)
+    dark = F.transform("luma", lambda v: F.when(F.floor(C("seq") / 100) % 4 == 3, 0).otherwise(v))
+    return scanner.scan_report(scanner.scan_frames(f.withColumns({"luma": dark, "reset": C("seq") % 50 == 17}), 8, 8, blanks=5))
+
+
 @query("""WITH v AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM embeddings), o AS (SELECT vec_id, label, lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM embeddings),
 d AS (SELECT o.vec_id, 1 - sum(CAST(a.x AS DOUBLE) * b.x) / (sqrt(sum(CAST(a.x AS DOUBLE) * a.x)) * sqrt(sum(CAST(b.x AS DOUBLE) * b.x))) AS d, o.label FROM o JOIN v a ON a.vec_id = o.vec_id JOIN v b ON b.vec_id = o.prev AND b.i = a.i GROUP BY o.vec_id, o.label)
 SELECT label, round(avg(d), 6) AS mean_distance, count(*) >= 3 AND avg(d) > 0.55 AS overlapped FROM d GROUP BY label""")

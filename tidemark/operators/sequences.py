@@ -40,6 +40,19 @@ def retain_top(rows: DataFrame, score: Column, most: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("title_id").orderBy(score.desc(), F.desc("start_ms"), F.desc("seq")))).where(C("_n") <= most).drop("_n")
 
 
+def evict(rows: DataFrame, score: Column, most: int) -> DataFrame:
+    """title_id, seq of what a store of ``most`` rows a title holds after all rows came in the order of seq.
+
+    Whenever a title is over its limit, a tenth of the limit goes: the least scores, of equal ones the earliest. The store is the
+    state of one fold, ``most`` rows at most.
+    """
+    from .folds import Evict, ordered_fold
+
+    scored = rows.select("title_id", "seq", "start_ms", score.cast("double").alias("score"))
+    kind = rows.schema["title_id"].dataType.simpleString()
+    return ordered_fold(scored, ["title_id"], ["seq"], lambda: Evict(most), f"title_id {kind}, seq long")
+
+
 def find_silences(regions: DataFrame, least_ms: int = 1200, long_ms: int = 4000, factor: float = 3, around: int = 6) -> DataFrame:
     """title_id, start_ms, end_ms, gap_ms, significant: pauses between regions, measured against the median of the pauses around."""
     order = per_title("start_ms", "end_ms")
@@ -58,33 +71,11 @@ def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
 
-def region_difference(width: int, height: int, x: float, y: float, w: float, h: float) -> Column:
-    """Mean absolute difference of luma and prev_luma within a part of the grid."""
-    from math import ceil, floor
-
-    cells = [r * width + c + 1 for r in range(floor(y * height), min(height, ceil((y + h) * height))) for c in range(floor(x * width), min(width, ceil((x + w) * width)))]
-    return _sum(F.transform(F.array(*map(F.lit, cells)), lambda i: F.abs(F.element_at("luma", i) - F.element_at("prev_luma", i)).cast("double"))) / (len(cells) * 255.0)
-
-
 def frame_metrics(frames: DataFrame, width: int = 32, height: int = 18, block: int = 4) -> DataFrame:
-    """frames (title_id, seq, at_ms, luma, histogram, mean) with metrics against the frame before; each title's first frame goes."""
-    order = per_title("at_ms", "seq")
-    f = frames.withColumns({"prev_luma": F.lag("luma").over(order), "prev_hist": F.lag("histogram").over(order), "prev_mean": F.lag("mean").over(order)}).where("prev_luma is not null")
-    diff = F.zip_with("luma", "prev_luma", lambda a, b: F.abs(a - b).cast("double"))
-    f = f.withColumn("diff", diff).withColumn("frame_difference", _sum(C("diff")) / (width * height * 255.0))
-    f = f.withColumn("histogram_distance", 1 - _sum(F.zip_with("histogram", "prev_hist", lambda a, b: F.least(a, b).cast("double"))))
-    blocks = [[r * width + c + 1 for r in range(by, min(by + block, height)) for c in range(bx, min(bx + block, width))] for by in range(0, height, block) for bx in range(0, width, block)]
-    means = F.array(*[_sum(F.transform(F.array(*map(F.lit, cells)), lambda i: F.element_at("diff", i))) / (len(cells) * 255.0) for cells in blocks])
-    f = f.withColumn("blocks", means).withColumn("block_mean", _sum(C("blocks")) / len(blocks))
-    uneven = F.least(F.lit(1.0), (F.array_max("blocks") - C("block_mean")) / F.greatest(C("block_mean"), F.lit(0.02)))
-    f = f.withColumn("motion", F.when(C("block_mean") <= 0.001, 0.0).otherwise(F.least(F.lit(1.0), C("block_mean") * 4 * (0.4 + 0.6 * uneven))))
-    jump = F.abs(C("mean") - C("prev_mean"))
-    both = F.sqrt(F.greatest(F.lit(0.0), C("frame_difference")) * F.greatest(F.lit(0.0), C("histogram_distance")))
-    f = f.withColumn("cut", F.least(F.lit(1.0), F.greatest(both * 2.2, F.when(jump > 0.35, jump).otherwise(0.0))))
-    # fixed values: where titles, captions and faces stand in a picture
-    title, caption, face = (region_difference(width, height, *r) for r in ((0.05, 0.05, 0.9, 0.35), (0.1, 0.72, 0.8, 0.26), (0.2, 0.15, 0.6, 0.55)))
-    f = f.withColumns({"text_change": F.greatest(title, caption), "face_change": face})
-    return f.select("title_id", "seq", "at_ms", "frame_difference", "motion", "cut", "text_change", "face_change", C("mean").alias("luminance"))
+    """frames (title_id, seq, at_ms, luma) with metrics against the frame before; each title's first frame goes."""
+    from .scanner import METRICS, scan_frames
+
+    return scan_frames(frames, width, height, block=block).where("frame_difference is not null").select("title_id", "seq", "at_ms", *METRICS)
 
 
 def edge_energy(luma: Column, width: int, height: int, x: float, y: float, w: float, h: float) -> Column:
@@ -120,17 +111,13 @@ def importance(metrics: DataFrame) -> DataFrame:
 
 
 def scan(frames: DataFrame, width: int = 32, height: int = 18, least: float = 0.08) -> DataFrame:
-    """Temporal events: frame metrics, without redundant ones, of at least ``least`` importance."""
-    return importance(not_redundant(frame_metrics(frames, width, height))).where(C("importance") >= least)
+    """Temporal events: frame metrics, without redundant ones, of at least ``least`` importance.
 
+    A frame that is no longer redundant has ended the streak of still frames, so no streak lowers an event's importance.
+    """
+    from .scanner import METRICS, scan_frames
 
-def blank_runs(frames: DataFrame, least: int = 20) -> DataFrame:
-    """title_id, at_ms: where a run of ``least`` blank frames is full, once for each run."""
-    blank = (C("mean") < 0.02) & (C("std") < 0.01)
-    order = per_title("at_ms", "seq")
-    b = frames.withColumn("_blank", blank).withColumn("_run", F.sum(F.when(C("_blank"), 0).otherwise(1)).over(order))
-    n = F.row_number().over(Window.partitionBy("title_id", "_run", "_blank").orderBy("at_ms", "seq"))
-    return b.withColumn("_n", n).where(C("_blank") & (C("_n") == least)).select("title_id", "at_ms")
+    return scan_frames(frames, width, height, least).where("event").select("title_id", "seq", "at_ms", *METRICS, "importance")
 
 
 def hesitations(events: DataFrame, still: float = 0.06, least_ms: int = 250) -> DataFrame:
