@@ -43,6 +43,28 @@ def test_corrections_of_all_kinds(spark):
     assert {(x.title_id, x.seq): x.character_id for x in out.collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_long_logs_with_gaps(spark, seed):
+    r = random.Random(seed)
+    maybe = lambda x: None if r.random() < 0.08 else x
+    ops = ("single", "forward", "forward", "forward", "merge", "split", "split", "rename") + ("remove",) * (seed % 2)
+    lines = [(maybe(t), i % 90, maybe(r.randrange(40)), maybe(f"c{r.randrange(6)}"), maybe(f"s{r.randrange(4)}")) for t in (1, 2) for i in range(160)]
+    log = [(maybe(t), k, r.choice(ops), maybe(f"c{r.randrange(7)}"), maybe(f"c{r.randrange(7)}"), maybe(r.randrange(120)), maybe(r.randrange(40)), maybe(f"s{r.randrange(4)}")) for t in (1, 2, 3) for k in range(70)]
+    same = lambda x, y: x is not None and x == y
+    want = []
+    for t, i, at, who, speaker in lines:
+        for title, _, op, a, b, line, since, s in log:
+            late = at is not None and since is not None and at >= since
+            if same(t, title) and (op == "single" and same(line, i) or same(who, a) and (op in ("merge", "remove") or op == "forward" and late or op == "split" and same(speaker, s))):
+                who = None if op == "remove" else b
+        want.append((t, i, at, who))
+    out = characters.apply_corrections(
+        spark.createDataFrame(lines, "title_id long, seq long, at_ms long, character_id string, speaker_id string"),
+        spark.createDataFrame(log, "title_id long, log_seq long, op string, from_id string, to_id string, line_seq long, at_ms long, speaker_id string"),
+    )
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_corrected_characters(spark):
     people = spark.createDataFrame([(1, "c1", "ANNA", 10, 3), (1, "c2", "ANNIE", 5, 2), (1, "c3", "BEN", 7, 1), (1, "c4", None, 8, 4)], "title_id long, character_id string, name string, first_ms long, lines long")
     log = spark.createDataFrame([(1, 1, "merge", "c2", "c1", None), (1, 2, "rename", "c4", None, "Zoe"), (1, 3, "rename", "c4", None, "Zoë"), (1, 4, "remove", "c3", None, None)], "title_id long, log_seq long, op string, from_id string, to_id string, name string").selectExpr("*", "cast(null as long) line_seq", "cast(null as long) at_ms")

@@ -219,6 +219,25 @@ def p12_corrections(spark, sf_dir):
     return characters.apply_corrections(lines, log).select("title_id", "seq", "character_id")
 
 
+_OPS = {"remove": "= 0", "merge": "= 1", "split": "in (2, 3)", "forward": "in (4, 5, 6)", "single": "> 6"}
+_OP = "case " + " ".join(f"when k % 10 {test} then '{op}'" for op, test in _OPS.items()) + " end"
+
+
+@query(f"""WITH RECURSIVE {EV}, l AS (SELECT title_id, start_ms // {HOUR} AS seq, start_ms AS at_ms, 'c' || CAST(user_id % 7 AS VARCHAR) AS c, 's' || CAST(k % 3 AS VARCHAR) AS s FROM ev WHERE source = 'view'),
+g AS (SELECT title_id, {_OP} AS op, 'c' || CAST(user_id % 7 AS VARCHAR) AS a, 'c' || CAST(user_id // 7 % 7 AS VARCHAR) AS b, start_ms // {HOUR} AS line, start_ms AS since, 's' || CAST(user_id % 3 AS VARCHAR) AS s, row_number() OVER (PARTITION BY title_id ORDER BY seq) AS n, count(*) OVER (PARTITION BY title_id) AS z FROM ev WHERE source = 'signup'),
+r AS (SELECT title_id, seq, at_ms, s, c, CAST(0 AS BIGINT) AS n, row_number() OVER () AS i FROM l UNION ALL SELECT r.title_id, r.seq, r.at_ms, r.s,
+ CASE WHEN CASE g.op WHEN 'single' THEN g.line = r.seq WHEN 'forward' THEN r.c = g.a AND r.at_ms >= g.since WHEN 'split' THEN r.c = g.a AND r.s = g.s ELSE r.c = g.a END THEN CASE WHEN g.op <> 'remove' THEN g.b END ELSE r.c END, g.n, r.i FROM r JOIN g ON g.title_id = r.title_id AND g.n = r.n + 1)
+SELECT title_id, seq, at_ms, arg_max({{"c": c}}, n).c AS character_id FROM r GROUP BY i, title_id, seq, at_ms""")
+def p12_corrections_log(spark, sf_dir):
+    """Lines, known by the hour they are in, after a log of all kinds of corrections."""
+    e = evidence(spark, sf_dir)
+    name = lambda letter, x: F.concat(F.lit(letter), x.cast("string"))
+    hour = F.floor(C("start_ms") / HOUR)
+    lines = e.where("source = 'view'").select("title_id", hour.alias("seq"), C("start_ms").alias("at_ms"), name("c", C("user_id") % 7).alias("character_id"), name("s", C("k") % 3).alias("speaker_id"))
+    log = e.where("source = 'signup'").select("title_id", C("seq").alias("log_seq"), F.expr(_OP).alias("op"), name("c", C("user_id") % 7).alias("from_id"), name("c", F.floor(C("user_id") / 7) % 7).alias("to_id"), hour.alias("line_seq"), C("start_ms").alias("at_ms"), name("s", C("user_id") % 3).alias("speaker_id"))
+    return characters.apply_corrections(lines, log)
+
+
 @query()
 def p21_request_table(spark, sf_dir):
     e = evidence(spark, sf_dir)
