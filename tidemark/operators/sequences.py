@@ -86,10 +86,6 @@ def edge_energy(luma: Column, width: int, height: int, x: float, y: float, w: fl
     return F.least(F.lit(1.0), _sum(F.transform(F.array(*map(F.lit, cells)), lambda i: F.abs(F.element_at(luma, i) - F.element_at(luma, i + 1)).cast("double"))) / (len(cells) * 96.0))
 
 
-def not_redundant(metrics: DataFrame) -> DataFrame:
-    return metrics.where(~((C("frame_difference") < 0.006) & (C("motion") < 0.02) & (C("cut") < 0.05)))
-
-
 def importance(metrics: DataFrame) -> DataFrame:
     """Adds importance: weighted changes, more right after a cut and near captions, speech, sounds or seeks (boolean columns, where there are any).
 
