@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..plans import build, characters, fusion, project, requests, search
@@ -266,6 +267,34 @@ def p15_audio_spectra(spark, sf_dir):
     return audio_features(pcm(spark, sf_dir)).select("chunk", *[F.round(c, 4).alias(c) for c in ("zcr", "centroid", "flatness", "spectrum_sum")], F.size("mfcc").alias("n_mfcc"))
 
 
+def _pcm_rows(spark, sf_dir):
+    """The same chunks without pauses, a title for each label, as two channels: the vector, and half of it."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    x = table(spark, sf_dir, "embeddings").select(C("label").cast("long").alias("title_id"), C("vec_id").alias("chunk"), (place * 512).cast("long").alias("first_sample"), F.lit(16000).alias("sample_rate"), F.flatten(F.array_repeat("embedding", 8)).alias("one"))
+    return x.select("title_id", "chunk", "first_sample", "sample_rate", F.flatten(F.transform("one", lambda v: F.array(v.cast("double"), v.cast("double") / 2))).alias("both"))
+
+
+@query("""WITH c AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings), v AS (SELECT label, n, CAST(unnest(embedding) AS DOUBLE) * 0.75 AS x, unnest(range(0, 64)) AS i FROM c),
+s AS (SELECT label, x, n * 512 + i + 64 * unnest(range(0, 8)) AS spot FROM v), z AS (SELECT label, max(spot) + 1 AS size FROM s GROUP BY label), o AS (SELECT label, size, unnest(range(0, size * 3 // 4)) AS j FROM z),
+y AS (SELECT o.label, o.j, a.x * (1 - o.j * 4 % 3 / 3.0) + coalesce(b.x, a.x) * (o.j * 4 % 3 / 3.0) AS x FROM o JOIN s a ON a.label = o.label AND a.spot = o.j * 4 // 3 LEFT JOIN s b ON b.label = o.label AND b.spot = o.j * 4 // 3 + 1),
+p AS (SELECT label, j, x, lag(x) OVER (PARTITION BY label ORDER BY j) AS before FROM y), f AS (SELECT label, j, x, before, j // 120 - unnest(range(0, 3)) AS frame FROM p)
+SELECT CAST(label AS BIGINT) AS title_id, CAST(frame AS BIGINT) AS frame, CAST(frame * 10 AS BIGINT) AS start_ms, round(greatest(-100, 20 * log10(greatest(sqrt(avg(x * x)), 1e-5))), 6) AS db, round(count(*) FILTER (WHERE j > frame * 120 AND (x >= 0) <> (before >= 0)) / 299, 6) AS zcr
+FROM f WHERE frame >= 0 AND j < frame * 120 + 300 GROUP BY label, frame HAVING count(*) = 300""")
+def p15_audio_frames(spark, sf_dir):
+    """Two channels at 16 kHz as one at 12 kHz, in frames of 25 ms each 10 ms over the borders of chunks."""
+    from ..plans.signals import audio_frames, downmix
+
+    f = audio_frames(_pcm_rows(spark, sf_dir).withColumn("samples", downmix("both", 2)), 12_000, 300, 120)
+    return f.select("title_id", "frame", "start_ms", F.round("db", 6).alias("db"), F.round("zcr", 6).alias("zcr"))
+
+
+@query()
+def p15_frame_spectra(spark, sf_dir):
+    from ..plans.signals import audio_frames, downmix
+
+    return audio_frames(_pcm_rows(spark, sf_dir).withColumn("samples", downmix("both", 2))).select("title_id", "frame", "flux", "centroid", "flatness", "mfcc")
+
+
 @query("""WITH v AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, 64)) AS i FROM embeddings), l AS (SELECT vec_id, i, CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS BIGINT) AS y FROM v), b AS (SELECT vec_id, (i // 8) // 2 AS r, (i % 8) // 2 AS c, floor(avg(y) + 0.5) AS m FROM l GROUP BY 1, 2, 3)
 SELECT vec_id AS seq, CAST(sum(m) AS BIGINT) AS total FROM b GROUP BY vec_id""")
 def p16_frame_signatures(spark, sf_dir):
