@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.confidence import confidence_rank
@@ -10,7 +12,7 @@ from ..operators import folds, intervals, sequences
 from ..operators.folds import ordered_fold
 from ..registry import query
 from . import recursions
-from .views import EV, WITH, evidence, media, table
+from .views import EV, WITH, evidence, evidence_of, media, table
 
 C = F.col
 HOUR = 3_600_000
@@ -170,8 +172,25 @@ def r8_continuity(spark, sf_dir):
     return rows.join(first.select("seq", F.lit(True).alias("first")).hint("merge"), "seq", "left").select("title_id", "seq", "segment", F.coalesce("first", F.lit(False)).alias("first"))
 
 
-@query(f"""{WITH}, v AS (SELECT *, max(end_ms) OVER (PARTITION BY title_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ev WHERE source = 'click'),
+_STATUS = f"""{WITH}, v AS (SELECT *, max(end_ms) OVER (PARTITION BY title_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ev WHERE source = 'click'),
 i AS (SELECT *, sum(CASE WHEN start_ms <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY title_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS island FROM v), m AS (SELECT title_id, max(end_ms) - min(start_ms) AS ms FROM i GROUP BY title_id, island), c AS (SELECT title_id, sum(ms) AS ms FROM m GROUP BY title_id)
-SELECT v.title_id, count(*) AS events, least(1.0, CAST(any_value(c.ms) AS DOUBLE) / max(end_ms)) AS ratio, CASE WHEN max(start_ms) > min(start_ms) THEN count(*) / ((max(start_ms) - min(start_ms)) / 60000) END AS per_minute FROM v JOIN c ON c.title_id = v.title_id GROUP BY v.title_id""")
+SELECT v.title_id, count(*) AS events, least(1.0, CAST(any_value(c.ms) AS DOUBLE) / max(end_ms)) AS ratio, CASE WHEN max(start_ms) > min(start_ms) THEN count(*) / ((max(start_ms) - min(start_ms)) / 60000) END AS per_minute FROM v JOIN c ON c.title_id = v.title_id GROUP BY v.title_id"""
+
+
+@query(_STATUS)
 def r9_status(spark, sf_dir):
     return sequences.status(evidence(spark, sf_dir).where("source = 'click'"))
+
+
+@query(_STATUS)
+def r9_status_stream(spark, sf_dir):
+    """The same from a stream of the events: covered ranges as keyed state, changed keys written by each batch."""
+    from ..operators.settle import shared_folder
+    from ..streaming.stateful import live_status, read_status, status_log
+
+    # a pattern, since a stream's path may not be one file
+    path = f"{shared_folder(spark)}/status-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/{{events}}.parquet")
+    clicks = evidence_of(events).where("source = 'click'")
+    live_status(clicks).writeStream.outputMode("update").foreachBatch(status_log(f"{path}/log")).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    return read_status(spark.read.parquet(f"{path}/log"))

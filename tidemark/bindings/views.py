@@ -16,8 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as evidence: 20 titles, a source each, start and end in media milliseconds, an ordinal confidence."""
+    return evidence_of(table(spark, sf_dir, "events"))
+
+
+def evidence_of(events: DataFrame) -> DataFrame:
+    """That view of a table or a stream of events."""
     start = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long") - EPOCH_MS
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"), (F.col("user_id") % 20).alias("title_id"), "user_id", F.col("event_type").alias("source"),
         start.alias("start_ms"), (start + F.floor(F.col("value") * 60000).cast("long")).alias("end_ms"), "value", "props",
         F.get_json_object("props", "$.k").cast("long").alias("k"),

@@ -171,7 +171,8 @@ def status(events: DataFrame) -> DataFrame:
     from .intervals import covered_duration
 
     spans = events.groupBy("title_id").agg(F.count("*").alias("events"), F.max(F.coalesce("end_ms", "start_ms")).alias("_end"), ((F.max("start_ms") - F.min("start_ms")) / 60_000).alias("_minutes"))
-    out = spans.join(covered_duration(events).hint("merge"), "title_id", "left")
+    covered = covered_duration(events).withColumnRenamed("title_id", "_title")
+    out = spans.join(covered.hint("merge"), C("title_id").eqNullSafe(C("_title")), "left")
     ratio = F.when(C("_end") > 0, F.least(F.lit(1.0), F.coalesce("covered_ms", F.lit(0)) / C("_end")))
     return out.select("title_id", "events", ratio.alias("ratio"), F.when(C("_minutes") > 0, C("events") / C("_minutes")).alias("per_minute"))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,72 @@ def sessions(stream: DataFrame, at: str = "at", gap: str = "30 minutes", late: s
     return stream.withWatermark(at, late).groupBy(F.session_window(at, gap), "title_id").agg(F.count("*").alias("events"))
 
 
+class RangeSet:
+    """Disjoint ranges in order; those that touch are one. Sets merge in any order and as often as one likes."""
+
+    def __init__(self, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> None:
+        none = np.zeros(0, np.int64)
+        self.starts, self.ends = none if starts is None else starts, none if ends is None else ends
+
+    def add(self, starts: np.ndarray, ends: np.ndarray) -> None:
+        s, e = np.concatenate([self.starts, starts]), np.concatenate([self.ends, np.maximum(starts, ends)])
+        order = np.argsort(s, kind="stable")
+        s, reach = s[order], np.maximum.accumulate(e[order])
+        new = np.append(True, s[1:] > reach[:-1]) if len(s) else np.zeros(0, bool)
+        self.starts, self.ends = s[new], reach[np.append(new[1:], True)] if len(s) else s
+
+    def covered(self) -> int:
+        return int((self.ends - self.starts).sum())
+
+
+_STATUS = "title_id long, chunk long, events long, covered_ms long, first_ms long, last_ms long, end_ms long"
+
+
+def live_status(stream: DataFrame, chunk_ms: int = 86_400_000) -> DataFrame:
+    """Per title and chunk of media time: what ``status`` needs, each time a batch brings something (update mode).
+
+    The state of a key is the set of disjoint ranges covered in its chunk, four numbers besides. A range over several chunks is cut
+    at their borders and counted once, in its first; a null end is a point; rows without a start count as events of chunk null,
+    and of these the end tells how far the title goes. Rows may come late or in any order: sets merge, nothing is dropped.
+    """
+    end = F.greatest("start_ms", F.coalesce("end_ms", "start_ms"))
+    own = F.floor(C("start_ms") / chunk_ms)
+    rows = stream.select("title_id", C("start_ms").cast("long").alias("start_ms"), F.coalesce("end_ms", "start_ms").cast("long").alias("end_ms"), end.alias("_end"), own.alias("_own"))
+    rows = rows.withColumn("chunk", F.explode_outer(F.when(own.isNotNull(), F.sequence(own, F.floor(C("_end") / chunk_ms)))))
+    low, high = F.greatest("start_ms", C("chunk") * chunk_ms), F.least("_end", (C("chunk") + 1) * chunk_ms)
+    rows = rows.select("title_id", "chunk", low.alias("low"), high.alias("high"), F.coalesce(C("chunk") == C("_own"), F.lit(True)).alias("own"), "start_ms", "end_ms")
+    least = lambda *x: min((int(v) for v in x if not pd.isna(v)), default=None)
+    most = lambda *x: max((int(v) for v in x if not pd.isna(v)), default=None)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        starts, ends, events, first, last, end = pickle.loads(state.get[0]) if state.exists else (None, None, 0, None, None, None)
+        held = RangeSet(starts, ends)
+        for b in batches:
+            known = b[b["low"].notna()]
+            held.add(known["low"].to_numpy("int64"), known["high"].to_numpy("int64"))
+            mine = b[b["own"]]
+            events += len(mine)
+            first, last, end = least(first, mine["start_ms"].min()), most(last, mine["start_ms"].max()), most(end, mine["end_ms"].max())
+        state.update((pickle.dumps((held.starts, held.ends, events, first, last, end)),))
+        yield pd.DataFrame({n: pd.array([v], "Int64") for n, v in zip([x.split(" ")[0] for x in _STATUS.split(", ")], (*key, events, held.covered(), first, last, end))})
+
+    return rows.groupBy("title_id", "chunk").applyInPandasWithState(step, _STATUS, "state binary", "update", GroupStateTimeout.NoTimeout)
+
+
+def status_log(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for live_status: path/batch=N has the keys that batch N changed, and no others."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def read_status(log: DataFrame) -> DataFrame:
+    """title_id, events, ratio, per_minute as of the last batch in the log: each key's latest row, summed over the title's chunks."""
+    values = [x.split(" ")[0] for x in _STATUS.split(", ")][2:]
+    now = log.groupBy("title_id", "chunk").agg(F.max_by(F.struct(*values), "batch").alias("x")).select("title_id", "x.*")
+    t = now.groupBy("title_id").agg(F.sum("events").alias("events"), F.sum("covered_ms").alias("covered"), F.max("end_ms").alias("end"), ((F.max("last_ms") - F.min("first_ms")) / 60_000).alias("minutes"))
+    ratio = F.when(C("end") > 0, F.least(F.lit(1.0), C("covered") / C("end")))
+    return t.select("title_id", "events", ratio.alias("ratio"), F.when(C("minutes") > 0, C("events") / C("minutes")).alias("per_minute"))
+
+
 def _there(df: DataFrame, path: str) -> bool:
     spark = df.sparkSession
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
