@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .folds import Fold
+from .folds import Fold, whole_keys
 
 C = F.col
 METRICS = ["frame_difference", "motion", "cut", "text_change", "face_change", "luminance"]
@@ -148,7 +148,7 @@ def scan_frames(frames: DataFrame, width: int = 32, height: int = 18, least: flo
 
     rows = frames.where(F.size("luma") == width * height).where(~F.exists("luma", lambda x: x.isNull()))
     rows = rows.select("title_id", "seq", C("at_ms").cast("long").alias("at_ms"), C("luma").cast("array<int>").alias("luma"), *flags)
-    return rows.repartition("title_id").sortWithinPartitions("title_id", "at_ms", "seq").mapInArrow(run, schema)
+    return whole_keys(rows, ["title_id"]).sortWithinPartitions("title_id", "at_ms", "seq").mapInArrow(run, schema)
 
 
 def scan_report(scanned: DataFrame) -> DataFrame:

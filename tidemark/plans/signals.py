@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.folds import whole_keys
 from ..operators.intervals import overlap_join
 
 C = F.col
@@ -164,7 +165,7 @@ def audio_frames(chunks: DataFrame, rate: int = 16_000, frame: int = 400, hop: i
             yield give(key[0], rows)
 
     keys = ["title_id", "block"]
-    return parts.repartition(*keys).sortWithinPartitions(*keys, F.desc("rate"), "first_sample", "chunk").mapInArrow(run, schema)
+    return whole_keys(parts, keys).sortWithinPartitions(*keys, F.desc("rate"), "first_sample", "chunk").mapInArrow(run, schema)
 
 
 def frame_signatures(pictures: DataFrame, width: int = 32, height: int = 18) -> DataFrame:
