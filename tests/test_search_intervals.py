@@ -157,3 +157,16 @@ def test_sounds_overlap_windows(spark):
         inside = sorted((s, i) for _, i, s, e in sounds if s < b and (s if e is None else e) >= a)[:12]
         want += [(w, i, min(b, max(a, s))) for s, i in inside]
     assert got == sorted(want) and max(sum(x[0] == w for x in want) for w in range(30)) == 12
+
+
+def test_cues_without_length(spark):
+    """They have no share of an overlap: no pair, or a strength that is no number where points are asked for, as 0 / 0 in SQL."""
+    from tidemark.operators.joins import align_pairs
+
+    schema = "title_id int, seq long, start_ms long, end_ms long, text string"
+    a = spark.createDataFrame([(1, 1, 0, 100, "a"), (1, 2, 50, 50, "b")], schema)
+    b = spark.createDataFrame([(1, 11, 20, 90, "c"), (1, 12, 30, 30, "d")], schema)
+    right = b.selectExpr("title_id", "seq as r_seq", "start_ms as r_start", "end_ms as r_end")
+    assert [(x.seq, x.r_seq, x.strength) for x in align_pairs(a, right, 40).collect()] == [(1, 11, 1.0)]
+    got = {(x.seq, x.r_seq): x.strength for x in align_pairs(a, right, 40, points=True).collect()}
+    assert set(got) == {(1, 11), (1, 12), (2, 11)} and got[1, 11] == 1.0 and got[1, 12] != got[1, 12] and got[2, 11] != got[2, 11]

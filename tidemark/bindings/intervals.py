@@ -116,7 +116,7 @@ def j9_align_pairs(spark, sf_dir):
     from ..operators.joins import align_pairs
 
     e = evidence(spark, sf_dir)
-    return align_pairs(e.where("source = 'click'"), _side(e, "view"), BUCKET).select("seq", "r_seq", "strength")
+    return align_pairs(e.where("source = 'click'"), _side(e, "view"), BUCKET, points=True).select("seq", "r_seq", "strength")
 
 
 @query(f"""WITH {EV}, s AS (SELECT title_id, start_ms AS at_ms, seq, k FROM ev WHERE source = 'view'), q AS (SELECT title_id, start_ms AS at_ms, seq FROM ev WHERE source = 'click'),
