@@ -170,3 +170,12 @@ def test_cues_without_length(spark):
     assert [(x.seq, x.r_seq, x.strength) for x in align_pairs(a, right, 40).collect()] == [(1, 11, 1.0)]
     got = {(x.seq, x.r_seq): x.strength for x in align_pairs(a, right, 40, points=True).collect()}
     assert set(got) == {(1, 11), (1, 12), (2, 11)} and got[1, 11] == 1.0 and got[1, 12] != got[1, 12] and got[2, 11] != got[2, 11]
+
+
+def test_tracks_with_cues_without_length(spark):
+    from tidemark.plans.alignment import align_tracks
+
+    schema = "title_id int, seq long, start_ms long, end_ms long, text string"
+    a = spark.createDataFrame([(1, 1, 0, 100, "a"), (1, 2, 50, 50, "b")], schema)
+    b = spark.createDataFrame([(1, 11, 20, 90, "c"), (1, 12, 30, 30, "d")], schema)
+    assert sorted((x.primary, x.secondary) for x in align_tracks(a, b, 40).collect()) == [([], [12]), ([1], [11]), ([2], [])]
