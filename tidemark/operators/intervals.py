@@ -114,8 +114,8 @@ def near_join(left: DataFrame, right: DataFrame, tolerance_ms: int, by: str = "t
     return a.hint("merge").join(b.hint("merge"), [by, "_bucket"]).where(F.abs(C("at_ms") - C("r_at")) <= tolerance_ms).drop("_bucket")
 
 
-def as_of(left: DataFrame, right: DataFrame, columns: list[str], by: str = "title_id", tie: str = "seq", chunk_ms: int = 86_400_000) -> DataFrame:
-    """left (at_ms) with the columns of the last row of right (at_ms) at or before it, null if none: a prefix scan over chunks of time.
+def as_of(left: DataFrame, right: DataFrame, columns: list[str], by: str = "title_id", tie: str = "seq", chunk_ms: int = 86_400_000, strict: bool = False) -> DataFrame:
+    """left (at_ms) with the columns of the last row of right (at_ms) at or (strict) before it, null if none: a prefix scan over chunks of time.
 
     The last row of right in each chunk is carried over the later chunks of its title (one small row for each chunk in use) and
     stands there before all others; the rows themselves are sorted within their chunk only. Rows without a time get null.
@@ -130,7 +130,7 @@ def as_of(left: DataFrame, right: DataFrame, columns: list[str], by: str = "titl
     ends = last.unionByName(used).groupBy(by, "_chunk").agg(F.first("_hit", ignorenulls=True).alias("_hit"))
     before = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(by, "_chunk", F.lit(-1).alias("_side"), F.last("_hit", ignorenulls=True).over(before).alias("_hit")).where("_hit is not null")
-    order = Window.partitionBy(by, "_chunk").orderBy((C("_side") >= 0).cast("int"), "at_ms", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(by, "_chunk").orderBy((C("_side") >= 0).cast("int"), "at_ms", -C("_side") if strict else C("_side"), "_tie").rowsBetween(Window.unboundedPreceding, 0)
     out = both.unionByName(carried, allowMissingColumns=True).withColumn("_hit", F.last("_hit", ignorenulls=True).over(order)).where("_side = 1")
     return out.select("_row.*", *[C(f"_hit.{c}").alias(f"r_{c}") for c in columns])
 

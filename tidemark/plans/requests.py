@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.intervals import overlap_join
-from ..operators.joins import best_overlap, top_before
+from ..operators.joins import best_overlap, first_open, top_before
 
 C = F.col
 #: Shape of a window's analysis.
@@ -16,18 +15,14 @@ ANALYSIS = """struct<actions: array<struct<offset_ms: long, description: string,
 
 
 def dialogue_in_window(windows: DataFrame, lines: DataFrame, bucket_ms: int, lead_ms: int = 2000, most: int = 12) -> DataFrame:
-    """Of each window the first lines (r_seq, r_start, r_end) that reach into it or its lead-in; their start is moved into the window."""
-    wide = windows.withColumns({"_start": C("start_ms"), "start_ms": C("start_ms") - lead_ms})
-    hits = overlap_join(wide, lines, bucket_ms, closed=True)
-    n = F.row_number().over(Window.partitionBy("seq").orderBy("r_start", "r_seq"))
-    return hits.withColumn("_n", n).where(C("_n") <= most).withColumn("at_ms", F.greatest("r_start", "_start")).drop("_n", "_start")
+    """Of each window the first lines (r_seq, r_start, r_end) that reach into it or its lead-in; their start is moved into the window. One sweep, in which bucket_ms plays no part."""
+    hits = first_open(windows.withColumns({"end_ms": F.coalesce("end_ms", "start_ms"), "start_ms": C("start_ms") - lead_ms}), lines, most)
+    return hits.withColumn("start_ms", C("start_ms") + lead_ms).withColumn("at_ms", F.greatest("r_start", "start_ms"))
 
 
 def sounds_in_window(windows: DataFrame, sounds: DataFrame, bucket_ms: int, most: int = 12) -> DataFrame:
-    """Of each window (seq) the first sounds (r_seq, r_start, r_end) that begin before its end and last to its start or longer; their start is moved into the window."""
-    hits = overlap_join(windows, sounds, bucket_ms, closed=True)
-    n = F.row_number().over(Window.partitionBy("seq").orderBy("r_start", "r_seq"))
-    return hits.withColumn("_n", n).where(C("_n") <= most).select("seq", "r_seq", F.least("end_ms", F.greatest("r_start", "start_ms")).alias("at_ms"))
+    """Of each window (seq) the first sounds (r_seq, r_start, r_end) that begin before its end and last to its start or longer; their start is moved into the window. One sweep, in which bucket_ms plays no part."""
+    return first_open(windows, sounds, most).select("seq", "r_seq", F.least("end_ms", F.greatest("r_start", "start_ms")).alias("at_ms"))
 
 
 def extract_json(text: Column) -> Column:
