@@ -15,8 +15,10 @@ C = F.col
 
 def cut(events: DataFrame, dedupe_ms: int = 1500, window_ms: int = 1200, least_scene_ms: int = 6000, least_gap_ms: int = 6000) -> tuple[DataFrame, DataFrame]:
     """Events without duplicates and the boundaries between scenes, each written once."""
-    kept = dedupe_events(events, dedupe_ms).select("seq", C("end_ms").alias("_end"))
-    clean = settle(events.join(kept.hint("merge"), "seq").withColumn("end_ms", C("_end")).drop("_end"), "build-clean")
+    # events without a key are never duplicates: they pass by the shuffles
+    keyed, free = events.where("key is not null"), events.where("key is null").withColumn("end_ms", F.coalesce("end_ms", "start_ms"))
+    kept = dedupe_events(keyed, dedupe_ms).select("seq", C("end_ms").alias("_end"))
+    clean = settle(keyed.join(kept.hint("merge"), "seq").withColumn("end_ms", C("_end")).drop("_end").unionByName(free), "build-clean")
     return clean, settle(detect_boundaries(clean, window_ms, least_ms=least_scene_ms, least_gap=least_gap_ms), "build-boundaries")
 
 

@@ -56,7 +56,7 @@ def build_project(events: DataFrame, bucket_ms: int = 10_000, onset_ms: int = 15
     other = kept.select("title_id", "seq", F.md5(F.concat_ws(":", "type", "title_id", "start_ms", "seq")).alias("beat_id"), "type", "start_ms", "end_ms", none("string").alias("speaker"), "text", none("map<string,string>").alias("variants"), C("source").alias("sources"), C("sure").alias("confidence"))
     # beats of one id are one beat: the first
     one = Window.partitionBy("title_id", "beat_id").orderBy("seq")
-    beats = spoken.unionByName(other).withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    beats = settle(spoken.unionByName(other).withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n"), "project-spoken")
     beats = settle(split_scenes(beats, found), "project-beats")
     talk = beats.where("type = 'dialogue'")
     characters = settle(cue_name(ensure_characters(talk.select("title_id", C("start_ms").alias("at_ms"), "seq", C("speaker").alias("name"), none("string").alias("speaker")))), "project-characters")
